@@ -19,5 +19,47 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_segments(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_output)}
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_topk
+
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_topk(rows, rows.filter("vec_id % 100 = 0"), k=10, scale=1024.0)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_output, op3_exact_topk, op4_sharding, op7_html, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op3_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS g
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_inner_product(CAST(q.g AS DOUBLE[]), CAST(c.g AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.g) = len(c.g)
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
