@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import keep, small_batches, tasks
-from .words import LibraryWords, default_vocabulary, groups
+from .words import default_vocabulary, groups, library_words
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -134,12 +134,12 @@ def write_segments(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     def write(batches):
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), LibraryWords(path)
+        part, words = TaskContext.get().partitionId(), library_words(path)
         end = np.array([end_id], np.uint32)
         ids, lengths, run, held, number, begun = [], [], [], 0, 0, 0
 
         def segment():
-            blob = pack(np.concatenate(run)) if run else pack(np.zeros(0, np.uint32))
+            blob = pack(np.concatenate(run).astype(np.uint32))
             return pa.RecordBatch.from_pylist([{"part": part, "segment": number, "part_start": begun, "doc_ids": ids, "n_tokens": lengths, "blob": blob}], schema=ARROW)
 
         for batch in batches:

@@ -8,7 +8,9 @@ the library's own normalizer and splitter, whole.
 
 from __future__ import annotations
 
+import functools
 import json
+from array import array
 
 import numpy as np
 import regex
@@ -67,31 +69,52 @@ class Splitter:
         return self._back
 
 
-class LibraryWords:
-    """Ids of texts through the library, which sees each distinct word once while it is remembered."""
+class Remembered(dict):
+    """White-space separated pieces of plain texts to their ids as bytes; each is encoded when it is first met."""
+
+    #: Above so many pieces all are forgotten, which bounds a worker's memory.
+    MOST = 400_000
+
+    def __init__(self, library: Tokenizer):
+        super().__init__()
+        self.library = library
+        self.kind = "H" if library.get_vocab_size() <= 1 << 16 else "I"
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[-1] in ",." and piece[:-1].isalpha():  # a run of letters and a mark apart from it
+            ids = self[piece[:-1]] + self[piece[-1]]
+        else:
+            ids = array(self.kind, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
 
-    MOST = 300_000
+
+class LibraryWords:
+    """Ids of texts through the library, which sees each distinct piece of a plain text once while it is remembered."""
 
     def __init__(self, path: str):
         self.split = Splitter(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Remembered(self.split.library)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for part in groups(texts):
-            odd = [i for i, t in enumerate(part) if not self.split.plain(t)]
-            whole = {i: np.array(e.ids, np.uint32) for i, e in zip(odd, self.split.library.encode_batch_fast([part[i] for i in odd], add_special_tokens=False))}
-            lists = [self.split.find(t.lower()) if i not in whole else () for i, t in enumerate(part)]
-            if len(self.memo) > self.MOST:
-                self.memo.clear()
-            new = list(set().union(*lists) - self.memo.keys())
-            for w, e in zip(new, self.split.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, np.uint32).tobytes()
-            get = self.memo.__getitem__
-            out += [whole[i] if i in whole else np.frombuffer(b"".join(map(get, ws)), np.uint32) for i, ws in enumerate(lists)]
+        memo, get = self.memo, self.memo.__getitem__
+        for text in texts:
+            if self.split.plain(text):
+                out.append(np.frombuffer(b"".join(map(get, text.lower().split())), memo.kind))
+            else:
+                out.append(np.array(self.split.library.encode(text, add_special_tokens=False).ids, memo.kind))
+            if len(memo) > memo.MOST:
+                memo.clear()
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def library_words(path: str) -> LibraryWords:
+    """One per worker process: tasks that follow each other in a worker share what it remembers."""
+    return LibraryWords(path)
+
+
 def groups(texts: list[str], chars: int = 1_000_000):
     """Runs of texts of about so many characters; one longer text is a run of its own."""
     run: list[str] = []
