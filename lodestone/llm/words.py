@@ -73,15 +73,18 @@ class Remembered(dict):
     """White-space separated pieces of plain texts to their ids as bytes; each is encoded when it is first met."""
 
     #: Above so many pieces all are forgotten, which bounds a worker's memory.
-    MOST = 400_000
+    MOST = 600_000
 
     def __init__(self, library: Tokenizer):
         super().__init__()
-        self.library = library
+        self.library, self.model = library, library.model
+        self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
         self.kind = "H" if library.get_vocab_size() <= 1 << 16 else "I"
 
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1] in ",." and piece[:-1].isalpha():  # a run of letters and a mark apart from it
+        if piece.isalpha():  # one word, which neither the normalizer nor the splitter would change
+            ids = array(self.kind, [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]).tobytes()
+        elif piece[-1] in ",." and piece[:-1].isalpha():  # a word and a mark apart from it
             ids = self[piece[:-1]] + self[piece[-1]]
         else:
             ids = array(self.kind, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
