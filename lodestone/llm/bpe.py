@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 from .lexicon import Lexicon, build
@@ -171,7 +172,7 @@ def _ids_and_text(pairs) -> list[pa.Array]:
     return [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
 
 
-_ids_and_text.schema = [("ids", "array<int>"), ("decoded", "string")]
+_ids_and_text.schema = [("ids", T.ArrayType(T.IntegerType())), ("decoded", "string")]
 
 
 def _digests(pairs) -> list[pa.Array]:
