@@ -12,6 +12,7 @@ construction. A node's draw depends on the seed and the node alone: any task der
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -251,3 +252,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def dealt(mixed: DataFrame) -> DataFrame:
     """The mixture itself: one row per slice, each shard in its shuffled order."""
     return mixed.select("doc_id", "source", F.explode("slices").alias("x")).select("doc_id", "source", "x.*").repartition("shard").sortWithinPartitions("shard", "order", "first_word")
+
+
+def mixed_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """The mixture as documents: a row per document and pass, its text cut to the words that the pass takes.
+
+    ``mixed`` carries ``text_col``. A document taken whole keeps its text as it is; of one taken in part, each run of
+    words that follow each other is one stretch of the text, and stretches are joined by a line break.
+    """
+    kept = [c for c in mixed.columns if c not in ("slices", "size", "source_size", "target", "taken")]
+    schema = mixed.select(*kept).schema
+    word = re.compile(WORD)
+
+    def run(batches):
+        for batch in batches:
+            rows, texts = [], []
+            everything = zip(batch.column(text_col).to_pylist(), batch.column("size").to_pylist(), batch.column("slices").to_pylist())
+            for i, (text, size, slices) in enumerate(everything):
+                epochs: dict[int, list[tuple[int, int]]] = {}
+                for x in slices:
+                    epochs.setdefault(x["epoch"], []).append((x["first_word"], x["first_word"] + x["n_words"]))
+                places = None
+                for runs in epochs.values():
+                    if sum(b - a for a, b in runs) == size:
+                        part = text
+                    else:
+                        places = places or [m.span() for m in word.finditer(text)]
+                        whole: list[list[int]] = []
+                        for a, b in sorted(runs):
+                            if whole and whole[-1][1] == a:
+                                whole[-1][1] = b
+                            else:
+                                whole.append([a, b])
+                        part = "\n".join(text[places[a][0] : places[b - 1][1]] for a, b in whole)
+                    rows.append(i)
+                    texts.append(part)
+            taken = batch.select(kept).take(pa.array(rows, pa.int64()))
+            arrays = list(taken.columns)
+            arrays[kept.index(text_col)] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=kept)
+
+    return mixed.select(*kept, "size", "slices").mapInArrow(run, schema)

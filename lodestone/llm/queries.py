@@ -32,6 +32,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
@@ -44,7 +57,23 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_output, op3_exact_topk, op4_sharding, op7_html, op8_bpe)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_token_output, op3_exact_topk, op4_sharding, op5_near_duplicates, op6_nearest, op7_html, op8_bpe, op9_pii, op10_quality)
+}
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op3_exact_topk"] = """
