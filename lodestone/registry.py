@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import catalogue_corpus, catalogue_quality, catalogue_search
+from .plans.catalogue import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogue_corpus", "catalogue_quality", "catalogue_search"]
