@@ -26,15 +26,15 @@ def chunks(rows: DataFrame, capacity: int, overlap: int, text_col: str = "text",
     """Windows with their byte ranges and texts, from byte offsets (array of struct s, e) of the tokens.
 
     The first window starts at byte 0 and the last ends with the text; one between ends at the later of its
-    last token's end and the next window's start. Token ids, if given, come framed by the two special ids.
+    last token's end and the start of the token after it. Token ids, if given, come framed by the two special ids.
     """
     total = F.size(offsets_col)
     w = windows(rows.withColumn("_n", total), "_n", capacity, overlap)
     last = F.col("token_end") == F.col("_n")
     at = lambda i: F.element_at(F.col(offsets_col), i.cast("int"))
     begin = F.when(F.col("ordinal") == 0, F.lit(0)).otherwise(at(F.col("token_start") + 1)["s"])
-    following = F.col("token_start") + F.lit(capacity - overlap) + 1
-    end = F.when(last, F.octet_length(text_col)).otherwise(F.greatest(at(F.col("token_end"))["e"], at(F.least(following, F.col("_n")))["s"]))
+    following = at(F.least(F.col("token_end") + 1, F.col("_n")))["s"]
+    end = F.when(last, F.octet_length(text_col)).otherwise(F.greatest(at(F.col("token_end"))["e"], following))
     out = w.withColumn("byte_start", begin.cast("long")).withColumn("byte_end", end.cast("long"))
     raw = F.col(text_col).cast("binary")
     out = out.withColumn("chunk_text", F.substring(raw, (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")).cast("string"))

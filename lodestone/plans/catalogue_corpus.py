@@ -56,7 +56,7 @@ w AS (SELECT doc_id, text, ws, len(ws) AS n, unnest(range(0, CASE WHEN len(ws) <
 p AS (SELECT *, ordinal * 32 AS a, least(ordinal * 32 + 40, n) AS b FROM w)
 SELECT doc_id, ordinal, a AS token_start, b AS token_end,
   CAST(CASE WHEN ordinal = 0 THEN 0 ELSE octet_length(encode(array_to_string(ws[1:a], ' '))) + 1 END AS BIGINT) AS byte_start,
-  CAST(CASE WHEN b = n THEN octet_length(encode(text)) ELSE octet_length(encode(array_to_string(ws[1:b], ' '))) END AS BIGINT) AS byte_end, sha256(array_to_string(ws[a + 1 : b], ' ')) AS chunk_hash
+  CAST(CASE WHEN b = n THEN octet_length(encode(text)) ELSE octet_length(encode(array_to_string(ws[1:b], ' '))) + 1 END AS BIGINT) AS byte_end, sha256(array_to_string(ws[a + 1 : b], ' ') || CASE WHEN b = n THEN '' ELSE ' ' END) AS chunk_hash
 FROM p
 """)
 def text_chunks(t):
