@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 DROPPED = frozenset("head nav footer aside form button select svg canvas object audio video map dialog menu".split())
 NESTED = frozenset("article main div section aside nav header footer form table ul ol dl dialog menu head body blockquote figure button select svg canvas object audio video map fieldset details".split())
+ENDED = frozenset("p h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 READERS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 NAMES = READERS | frozenset(
@@ -45,6 +47,7 @@ class Page:
     def __init__(self, source: str):
         self.lines: list[tuple[str, int, int, bool]] = []
         self.stack: list[tuple[str, bool, bool, int]] = []  # element, dropped?, by readers?, container
+        self.count: Counter[str] = Counter()  # elements on the stack, by name
         self.kinds: list[str] = [""]  # containers: article, main, or none for 0
         self.parts: list[str] = []
         self.linked = 0
@@ -55,6 +58,15 @@ class Page:
     def _state(self):
         return self.stack[-1][1:] if self.stack else (False, False, 0)
 
+    def _push(self, *entry) -> None:
+        self.stack.append(entry)
+        self.count[entry[0]] += 1
+
+    def _pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.count[name] -= 1
+        return name
+
     def _flush(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
@@ -84,14 +96,14 @@ class Page:
                     hidden = True
         own = name not in ("html", "body", "main") and not words.isdisjoint(NAMES)
         by = readers or name not in ("html", "body") and not words.isdisjoint(READERS)
-        if name in ("article", "main") and not by and not hidden and not any(e[0] in DROPPED for e in self.stack):
+        if name in ("article", "main") and not by and not hidden and not any(self.count[n] for n in DROPPED):
             if self.kinds[container] != "article":
                 self.kinds.append(name)
                 container = len(self.kinds) - 1
             dropped = False
         else:
             dropped = dropped or hidden or own or name in DROPPED or name == "header" and container == 0
-        self.stack.append((name, dropped, by, container))
+        self._push(name, dropped, by, container)
 
     def _tag(self, closing: str, name: str, attrs: str) -> None:
         if name in BLOCKS or name in NESTED:
@@ -102,20 +114,27 @@ class Page:
             self.in_link = not closing
         elif name in ("br", "img", "input", "wbr"):
             self._text(" " if name == "br" else "")
-        if name == "body" and not closing:  # a body ends a head that was left open
-            self.stack = [e for e in self.stack if e[0] != "head"]
-        if name not in NESTED and not ("class" in attrs or "id" in attrs or "hidden" in attrs or "role" in attrs):
-            return
-        if name in ("br", "hr", "img", "input", "meta", "link", "wbr", "a", "html", "source", "area", "col", "embed", "base"):
+        if name == "body" and not closing and self.count["head"]:  # a body ends a head that was left open
+            while self._pop() != "head":
+                pass
+        if name in ("br", "hr", "img", "input", "meta", "link", "wbr", "html", "source", "area", "col", "embed", "base"):
             return
-        if not closing and name in NESTED:
-            if not attrs.rstrip().endswith("/"):
+        if not closing and name in BLOCKS and self.stack and self.stack[-1][0] not in NESTED and (self.stack[-1][0] in ENDED or self.stack[-1][0] == name):
+            self._pop()  # the next block ends a paragraph or item that was left open
+        if not closing:
+            if attrs.rstrip().endswith("/"):
+                return
+            if name in NESTED:
+                self._open(name, attrs)
+            elif attrs:
                 self._open(name, attrs)
-        elif closing and any(e[0] == name for e in self.stack):
-            while self.stack.pop()[0] != name:
+                if not self.stack[-1][1] or self.stack[-1][0] != name:
+                    self._pop()  # only elements that hold others, or whose text is left out, are kept track of
+        elif self.count[name]:
+            while self._pop() != name:
                 pass
-        elif closing and name in ("section", "div") and any(e[0] == "main" for e in self.stack) and self.stack[-1][0] == "main":
-            self.stack.pop()  # an element that its role made main
+        elif name in ("section", "div") and self.stack and self.stack[-1][0] == "main":
+            self._pop()  # an element that its role made main
 
     def _read(self, s: str) -> None:
         at, n = 0, len(s)

@@ -2,8 +2,9 @@
 
 Rows are linked to the rows of their group (equal texts). A label is a shard. In each round a unit (a group, or
 a piece of one that is too large for a quarter of a shard) votes: its most frequent label is where its rows want
-to be. How many rows may move from each shard to each other one follows from the capacities: the matrix of wanted moves, one
-number per pair of shards, is scaled down until no shard would be overfull, and units are let through by a hash.
+to be; the pieces of a large group want to as few shards as can hold it. How many rows may move from each shard to
+each other one follows from the capacities: the matrix of wanted moves of linked rows, one number per pair of shards,
+is scaled down until no shard would be overfull, and units are let through by a hash. Unlinked rows give way.
 After the rounds, the rows above a shard's exact quota, unlinked ones first, fill the shards below theirs.
 Votes are counted before they are shuffled, and a group is never joined with itself.
 """
@@ -34,7 +35,20 @@ def allowed(moves: np.ndarray, sizes: np.ndarray, capacity: float) -> np.ndarray
     return x
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.25) -> DataFrame:
+def homes(sizes: dict, pieces: dict, shards: int, quota: float) -> dict:
+    """Shards for the pieces of large groups, largest group first, each where most room is left; (group, piece) to shard."""
+    room, out = [quota] * shards, {}
+    for group in sorted(sizes, key=lambda g: (-sizes[g], bytes(g))):
+        share, shard = sizes[group] / pieces[group], None
+        for piece in range(pieces[group]):
+            if shard is None or room[shard] < share / 2:
+                shard = max(range(shards), key=lambda s: (room[s], -s))
+            room[shard] -= share
+            out[group, piece] = shard
+    return out
+
+
+def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.02) -> DataFrame:
     """Labels for ``rows`` (row, group, label, ...) after the rounds; adds ``linked``: rows of its unit that share its label.
 
     The driver sees one number per pair of shards and the keys of groups larger than a quarter of a shard,
@@ -44,9 +58,12 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.25
     if not total:
         return rows.withColumn("linked", F.lit(0).cast("long"))
     piece = max(1, total // (4 * shards))
-    big = rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > piece)
-    pieces = big.select("group", F.ceil(F.col("n") / piece).alias("_pieces")).limit(4 * shards + 1)
-    rows = rows.join(F.broadcast(pieces), "group", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), "_pieces"), F.lit(0)).cast("long")).drop("_pieces")
+    big = {r["group"]: r["n"] for r in rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > piece).collect()}
+    pieces = {g: -(-n // piece) for g, n in big.items()}
+    spark = rows.sparkSession
+    cuts = spark.createDataFrame([(bytes(g), n) for g, n in pieces.items()], "group binary, _pieces int")
+    home = spark.createDataFrame([(bytes(g), p, s) for (g, p), s in homes(big, pieces, shards, total / shards).items()], "group binary, piece long, _home int")
+    rows = rows.join(F.broadcast(cuts), "group", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), "_pieces"), F.lit(0)).cast("long")).drop("_pieces")
     rows = keep(rows, "shard-rows")
 
     def votes(now: DataFrame) -> DataFrame:
@@ -56,10 +73,11 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.25
         )
 
     for turn in range(rounds):
-        wants = votes(rows).filter("_members > 1").select("group", "piece", "_to")
-        joined = keep(rows.join(wants, ["group", "piece"], "left").withColumn("_to", F.coalesce("_to", "label")), "shard-wants")
+        wants = votes(rows).filter("_members > 1").join(F.broadcast(home), ["group", "piece"], "left").select("group", "piece", F.coalesce("_home", "_to").alias("_to"))
+        joined = rows.join(wants, ["group", "piece"], "left").withColumn("_bound", F.col("_to").isNotNull()).withColumn("_to", F.coalesce("_to", "label"))
+        joined = keep(joined, "shard-wants")
         moves, sizes = np.zeros((shards, shards)), np.zeros(shards)
-        for r in joined.groupBy("label", "_to").count().collect():
+        for r in joined.filter("_bound").groupBy("label", "_to").count().collect():
             moves[r["label"], r["_to"]] += r["count"]
             sizes[r["label"]] += r["count"]
         np.fill_diagonal(moves, 0)
@@ -68,7 +86,7 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.25
         flow = allowed(moves, sizes, (1 + slack) * total / shards) / np.maximum(moves, 1)
         gate = F.element_at(F.array(*[F.lit(int(f * STEPS)) for f in flow.ravel()]), F.col("label") * shards + F.col("_to") + 1)
         goes = F.pmod(F.xxhash64(F.lit(turn), "group", "piece"), F.lit(STEPS)) < gate
-        rows = joined.withColumn("label", F.when(goes, F.col("_to")).otherwise(F.col("label"))).drop("_to")
+        rows = joined.withColumn("label", F.when(goes, F.col("_to")).otherwise(F.col("label"))).drop("_to", "_bound")
     final = votes(rows).filter("_members > 1").select("group", "piece", "_by")
     out = rows.join(final, ["group", "piece"], "left")
     return out.withColumn("linked", F.coalesce(F.col("_by")[F.col("label")], F.lit(1)).cast("long")).drop("_by", "piece")
