@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that a Python worker gets; with whole texts a batch stays within some megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch that a Python worker gets, whatever the lengths of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -38,9 +38,10 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows, so that a batch of long texts fits a worker."""
+    """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, so that a batch of long texts fits a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
