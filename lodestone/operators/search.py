@@ -15,7 +15,7 @@ def candidate_limit(mode: str, limit: int) -> int:
     return min(max(4 * limit, 100), 4096) if mode == "hybrid" else limit
 
 
-def validate_request(query: str, mode: str = "hybrid", limit: int = 10, root: str | None = None, media_type: str | None = None) -> None:
+def validate_request(query: str, mode: str = "semantic", limit: int = 10, root: str | None = None, media_type: str | None = None) -> None:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     if not 1 <= limit <= 1000:

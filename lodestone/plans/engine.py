@@ -197,7 +197,7 @@ class Engine:
         drop = {k: None for k in now.manifest["tables"]["embeddings"] if int(k.split("/")[0]) in retired}
         self.store.commit(now.manifest | {"generations": states}, {"embeddings": drop})
 
-    def search(self, query: str, mode: str = "hybrid", limit: int = 10, root: str | None = None, media_type: str | None = None) -> DataFrame:
+    def search(self, query: str, mode: str = "semantic", limit: int = 10, root: str | None = None, media_type: str | None = None) -> DataFrame:
         """Ranked chunks with their documents, from one pinned snapshot."""
         search.validate_request(query, mode, limit, root, media_type)
         now = self.store.snapshot()

@@ -38,7 +38,7 @@ def parse(line: str) -> dict:
         raise FrameError("cancel needs a target")
     if op == "search":
         try:
-            search.validate_request(frame.get("query") or "", frame.get("mode", "hybrid"), frame.get("limit", 10), frame.get("root"), frame.get("media_type"))
+            search.validate_request(frame.get("query") or "", frame.get("mode", "semantic"), frame.get("limit", 10), frame.get("root"), frame.get("media_type"))
         except (ValueError, TypeError) as e:
             raise FrameError(str(e)) from e
     return frame
@@ -86,7 +86,7 @@ class Queue:
 
 def answer(frame: dict, find: Callable[..., DataFrame]) -> list[str]:
     """Result lines of a search and one that closes it; a response above the bound becomes one error."""
-    rows = find(frame["query"], frame.get("mode", "hybrid"), frame.get("limit", 10), frame.get("root"), frame.get("media_type")).toJSON().collect()  # at most the limit
+    rows = find(frame["query"], frame.get("mode", "semantic"), frame.get("limit", 10), frame.get("root"), frame.get("media_type")).toJSON().collect()  # at most the limit
     lines = [json.dumps({"v": 1, "id": frame["id"], "type": "search_result", **json.loads(r)}) for r in rows]
     lines.append(json.dumps({"v": 1, "id": frame["id"], "type": "search_completed", "results": len(rows)}))
     if sum(len(x.encode()) for x in lines) > MOST_RESPONSE:
@@ -127,7 +127,7 @@ def serve(spark: SparkSession, requests: str, find: Callable[..., DataFrame], em
 def valid_frames(lines: DataFrame) -> DataFrame:
     """The declarative half: request lines parsed and checked without Python, for streams and tables alike."""
     x = lines.select("value", F.from_json("value", FRAME).alias("f")).select("value", "f.*")
-    ok = (F.col("v") == 1) & (F.length("id") > 0) & F.when(F.col("op") == "search", (F.length(F.trim("query")) > 0) & F.coalesce(F.col("mode"), F.lit("hybrid")).isin(*search.MODES) & F.coalesce(F.col("limit"), F.lit(10)).between(1, 1000)).otherwise(
+    ok = (F.col("v") == 1) & (F.length("id") > 0) & F.when(F.col("op") == "search", (F.length(F.trim("query")) > 0) & F.coalesce(F.col("mode"), F.lit("semantic")).isin(*search.MODES) & F.coalesce(F.col("limit"), F.lit(10)).between(1, 1000)).otherwise(
         (F.col("op") == "cancel") & (F.length("target") > 0)
     )
     return x.withColumn("valid", F.coalesce(ok, F.lit(False)) & (F.octet_length("value") <= MOST_FRAME))
