@@ -124,51 +124,93 @@ def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             triple = pa.list_(pa.struct([(c, pa.int64()) for c in ("entity", "term", "context")]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(base, ARROW_SPAN), pa.array(near, triple)], names=["doc_id", "tk", "base", "near"])
 
-    return keep(rows.mapInArrow(run, schema), "pii-base")
+    return keep(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "pii-base")
 
 
-def disclosing(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
-    """(tk, terms): the spans of disclosing terms in every text that holds one."""
-    spark = docs.sparkSession
-    empty = spark.createDataFrame([], T.StructType([T.StructField("tk", T.BinaryType()), T.StructField("terms", SPAN)]))
-    pairs = base.select("tk", F.explode("near").alias("x")).select("tk", "x.*").distinct()
-    held = pairs.select("entity", "tk").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # first by context, so that no entity or term gathers rows before they are counted
-    per = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("_texts"))
-    likely = keep(per.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("_texts").alias("n_te")).filter(F.col("contexts") >= CONTEXTS), "pii-likely")
-    spots = likely.select(F.shiftrightunsigned("term", 64 - MASK_BITS).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()  # 2**MASK_BITS numbers at most
+def _mask(terms: DataFrame) -> np.ndarray | None:
+    """A fixed-size filter of term hashes; None if there are no terms. At most 2**MASK_BITS numbers reach the driver."""
+    spots = terms.select(F.shiftrightunsigned("term", 64 - MASK_BITS).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()
     if not len(spots):
-        return empty
+        return None
     mask = np.zeros(1 << MASK_BITS, bool)
     mask[spots] = True
-    sent = spark.sparkContext.broadcast(np.packbits(mask).tobytes())
-    texts = docs.select(text_key(text_col).alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return np.packbits(mask)
+
+
+def _hits(part: list[str], mask: np.ndarray):
+    """Words of the texts that pass the filter: hashes, their texts' numbers, byte offsets."""
+    hashes, per, start, end = word_hashes(part, in_place=True)
+    hit = np.flatnonzero(mask[(hashes >> np.uint64(64 - MASK_BITS)).astype(np.int64)])
+    return hashes[hit], np.searchsorted(np.cumsum(per), hit, "right"), start[hit], end[hit]
+
+
+def term_documents(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_t): documents that hold each term, over all documents; counted in the tasks before they are shuffled."""
+    packed = _mask(terms)
+    if packed is None:
+        return texts.sparkSession.createDataFrame([], "term long, n_t long")
+    sent = texts.sparkSession.sparkContext.broadcast(packed.tobytes())
+
+    def run(batches):
+        mask = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        seen: dict[int, int] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
+        for batch in batches:
+            for part in groups(batch.column("text").to_pylist()):
+                hashes, owner, _, _ = _hits(part, mask)
+                pairs = np.unique(np.stack([hashes.view(np.int64), owner]), axis=1)
+                for term, n in zip(*(x.tolist() for x in np.unique(pairs[0], return_counts=True))):
+                    seen[term] = seen.get(term, 0) + n
+            if len(seen) > 500_000:
+                yield out()
+                seen.clear()
+        yield out()
+
+    return texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(tk, start, end) of all words of all texts that are one of the terms, in code points."""
+    packed = _mask(terms)
+    if packed is None:
+        return texts.sparkSession.createDataFrame([], "tk binary, start long, end long")
+    sent = texts.sparkSession.sparkContext.broadcast(packed.tobytes())
 
     def run(batches):
         mask = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
             keys, at_row = batch.column("tk").to_pylist(), 0
             for part in groups(batch.column("text").to_pylist()):
-                hashes, per, start, end = word_hashes(part, in_place=True)
-                hit = np.flatnonzero(mask[(hashes >> np.uint64(64 - MASK_BITS)).astype(np.int64)])
-                owner = np.searchsorted(np.cumsum(per), hit, "right")
-                flat = np.frombuffer(b" ".join(t.encode("utf-8", "replace") for t in part) + b" ", np.uint8)
-                before = _points(flat)
-                first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
+                hashes, owner, start, end = _hits(part, mask)
+                before = _points(np.frombuffer(b" ".join(t.encode("utf-8", "replace") for t in part) + b" ", np.uint8))
+                first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])[owner]
                 rows = [keys[at_row + o] for o in owner.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.binary()), pa.array(hashes[hit].view(np.int64)), pa.array(before[start[hit]] - first[owner]), pa.array(before[end[hit]] - first[owner])], names=["tk", "term", "start", "end"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(before[start] - first), pa.array(before[end] - first)], names=["tk", "term", "start", "end"])
                 at_row += len(part)
 
-    terms = likely.select("term").distinct()
-    there = keep(texts.mapInArrow(run, "tk binary, term long, start long, end long").join(terms, "term", "left_semi").distinct(), "pii-terms")
-    n_t = there.select("tk", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = base.count()
-    bits = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    bad = likely.join(held, "entity").join(n_t, "term").filter((F.col("n_te") >= SHARE * F.col("n_t")) & (bits >= BITS)).select("term").distinct()
-    spans = there.join(bad, "term", "left_semi").groupBy("tk", "start", "end").agg(F.lit("term").alias("kind"))
-    return keep(spans.groupBy("tk").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("terms")), "pii-disclosing")
+    return texts.mapInArrow(run, "tk binary, term long, start long, end long").join(terms, "term", "left_semi").select("tk", "start", "end").distinct()
+
+
+def disclosing(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
+    """(tk, terms): the spans of disclosing terms in every text that holds one.
+
+    All counts are of documents, over all of them; copies of a text count, but give no new contexts.
+    """
+    near = base.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    held = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    # a document counts once; contexts are counted before they meet, so that no entity or term gathers rows
+    per = near.groupBy("entity", "term", "row").agg(F.min("context").alias("context")).groupBy("entity", "term", "context").agg(F.count("*").alias("_n"))
+    likely = per.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("_n").alias("n_te")).filter(F.col("contexts") >= CONTEXTS)
+    likely = keep(likely.join(held, "entity"), "pii-likely")
+    texts = docs.select(text_key(text_col).alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n_t = term_documents(texts, likely.select("term"))
+    bits = F.log2(F.col("n_te") * F.lit(float(base.count())) / (F.col("n_t") * F.col("n_e")))
+    bad = keep(likely.join(n_t, "term").filter((F.col("n_te") >= SHARE * F.col("n_t")) & (bits >= BITS)).select("term").distinct(), "pii-terms")
+    spans = occurrences(texts, bad).select("tk", F.struct(F.lit("term").alias("kind"), "start", "end").alias("x"))
+    return keep(spans.groupBy("tk").agg(F.sort_array(F.collect_list("x")).alias("terms")).select("tk", F.col("terms").cast(SPAN)), "pii-disclosing")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
