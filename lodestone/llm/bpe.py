@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import keep, small_batches
 from .lexicon import Lexicon, build
 from .words import WORD_END, Splitter, byte_letters, default_vocabulary, groups
 
@@ -87,56 +87,93 @@ class Merger:
 
 
 class Encoder:
-    """Texts to ids in one worker: remembered words first, then the lexicon, then merging."""
+    """Texts to ids in one worker: remembered pieces first, then the lexicon, then merging.
 
-    MOST = 300_000
+    Plain texts are looked up by white-space separated pieces, which are one or a few words each.
+    """
+
+    #: Above so many remembered pieces all are forgotten, which bounds a worker's memory.
+    MOST = 400_000
 
     def __init__(self, path: str, lexicon: Lexicon):
         self.split, self.merger, self.lexicon = Splitter(path), Merger(path), lexicon
         self.ids: dict = {}
         self.text: dict = {}
 
-    def learn(self, words: set) -> None:
+    def learn(self, pieces) -> None:
         if len(self.ids) > self.MOST:
             self.ids.clear()
             self.text.clear()
-        new = [w for w in words if w not in self.ids]
-        found = self.lexicon.find([w.encode("utf-8") if isinstance(w, str) else b"" for w in new])
-        for w, ids in zip(new, found):
-            ids = [w] if isinstance(w, int) else self.merger.ids(w) if ids is None else ids
-            self.ids[w] = " ".join(map(str, ids))
-            self.text[w] = self.merger.decode(ids)
+        new = [p for p in pieces if p not in self.ids]
+        lists = [[p] if isinstance(p, int) or p.isalpha() else self.split.find(p) for p in new]
+        words = list({w for ws in lists for w in ws if isinstance(w, str)})
+        known = {w: self.merger.ids(w) if ids is None else ids for w, ids in zip(words, self.lexicon.find([w.encode("utf-8") for w in words]))}
+        for p, ws in zip(new, lists):
+            ids = [i for w in ws for i in (known[w] if isinstance(w, str) else [w])]
+            self.ids[p] = " ".join(map(str, ids))
+            self.text[p] = self.merger.decode(ids)
 
     def written(self, texts: list[str]):
         """Per text: the decimal ids joined by spaces, and the decoded text."""
         for part in groups(texts):
-            lists = [self.split.words(t) for t in part]
+            lists = [t.lower().split() if self.split.plain(t) else self.split.words(t) for t in part]
             self.learn(set().union(*lists))
-            for ws in lists:
-                yield " ".join(map(self.ids.__getitem__, ws)), " ".join(map(self.text.__getitem__, ws))
+            for pieces in lists:
+                yield " ".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.text.__getitem__, pieces))
+
+
+_encoders: dict = {}
+
+
+def encoder(path: str, blob: bytes) -> Encoder:
+    """One per worker process and lexicon: tasks that follow each other in a worker share what it remembers."""
+    key = (path, hashlib.blake2b(blob).digest())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, Lexicon.mapped(blob))
+    return _encoders[key]
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` most frequent words of all texts, ties by the word; counted in full, collected up to the bound."""
+    """The most frequent words of all texts, ``most`` of them or fewer: all words above the count at which they fit.
+
+    Words are counted in full over all texts. The driver sees how many words have each count, and the words above
+    the cut, which ``most`` bounds.
+    """
 
     def count(batches):
-        split, seen = Splitter(path), Counter()
+        split, seen, odd = Splitter(path), Counter(), Counter()
 
         def out():
-            words = [w for w in seen if isinstance(w, str)]  # special tokens' ids are no words
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "n"])
+            words = Counter({w: n for w, n in odd.items() if isinstance(w, str)})  # special tokens' ids are no words
+            for piece, n in seen.items():
+                if piece.isalpha():
+                    words[piece] += n
+                else:
+                    for w in split.find(piece):
+                        words[w] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for part in groups([t for t in batch.column(0).to_pylist() if t]):
-                for text in part:
-                    seen.update(split.words(text))
-                if len(seen) > 400_000:
+            for text in batch.column(0).to_pylist():
+                if text and split.plain(text):
+                    seen.update(text.lower().split())
+                elif text:
+                    odd.update(split.words(text))
+                if len(seen) + len(odd) > 500_000:
                     yield out()
                     seen.clear()
+                    odd.clear()
         yield out()
 
     counts = docs.select(F.col(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = keep(counts.filter("n > 1"), "word-counts")
+    room, least = most, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        if r["words"] > room:
+            break
+        room, least = room - r["words"], r["n"]
+    return [] if least is None else [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()]
 
 
 def compile_lexicon(words: list[str], path: str) -> bytes:
@@ -151,10 +188,10 @@ def _encoded(docs: DataFrame, keep_cols: list[str], text_col: str, vocabulary: s
     blob = spark.sparkContext.broadcast(compile_lexicon(frequent_words(docs, path, text_col, most), path))
 
     def run(batches):
-        encoder = Encoder(path, Lexicon.mapped(blob.value))
+        mine = encoder(path, blob.value)
         for batch in batches:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep_cols] + emit(encoder.written(texts)), names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep_cols] + emit(mine.written(texts)), names=names)
 
     cols = [F.col(c) for c in keep_cols]
     kept = docs.select(*cols).schema
