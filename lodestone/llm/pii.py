@@ -242,15 +242,15 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with every span in ``text_col`` replaced by its kind in brackets; where spans overlap, the earlier and longer one counts."""
     small_batches(docs.sparkSession)
     base = found(docs, id_col, text_col)
-    terms = disclosing(docs, base, text_col).withColumnRenamed("tk", "_tk")
-    rows = docs.withColumn("_key", text_key(text_col)).join(terms, F.col("_key") == F.col("_tk"), "left").drop("_key", "_tk").withColumnRenamed("terms", "_terms")
+    terms = disclosing(docs, base, text_col).withColumnRenamed("tk", "__ls_tk")
+    rows = docs.withColumn("__ls_key", text_key(text_col)).join(terms, F.col("__ls_key") == F.col("__ls_tk"), "left").drop("__ls_key", "__ls_tk").withColumnRenamed("terms", "__ls_terms")
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, extra in zip(batch.column(text_col).to_pylist(), batch.column("_terms").to_pylist()):
+            for text, extra in zip(batch.column(text_col).to_pylist(), batch.column("__ls_terms").to_pylist()):
                 spans = [(a, -b, KINDS[k]) for k, a, b in base_spans(text)] if text else []
                 spans += [(x["start"], -x["end"], x["kind"]) for x in extra or []]
                 if spans:
@@ -265,4 +265,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             arrays[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.select(*names, "_terms").mapInArrow(run, docs.schema)
+    return rows.select(*names, "__ls_terms").mapInArrow(run, docs.schema)
