@@ -65,7 +65,12 @@ class Net:
         out = self.tables[0][pair[0 : 2 * n : 2]]
         for j in range(1, WIDTH // 2):
             out += self.tables[j][pair[2 * j : 2 * j + 2 * n : 2]]
-        return out.reshape(-1, HALF // STRIDE, FILTERS), flat, np.array(counts)
+        out = out.reshape(-1, HALF // STRIDE, FILTERS)
+        ends = np.cumsum(counts)  # a text's last filters see zeros behind it, not the next text
+        for place in range((HALF - WIDTH) // STRIDE + 1, HALF // STRIDE):
+            at = (ends - 1) * HALF + STRIDE * place
+            out[ends - 1, place] = sum(self.tables[j][pair[at + 2 * j] if STRIDE * place + 2 * j < HALF else 0] for j in range(WIDTH // 2))
+        return out, flat, np.array(counts)
 
     def upper(self, pooled: np.ndarray, counts: np.ndarray):
         """From pooled half chunks to logits; what the gradients need comes along."""
@@ -106,11 +111,11 @@ class Net:
 
         for t in texts:
             counts.append(pieces(t))
-            if len(t) > SPAN:  # spans end at half chunks; a filter that crosses a span's end sees the next bytes as zeros
+            if len(t) > SPAN:  # spans end at half chunks and come with the bytes that their last filters see
                 flush()
                 for a in range(0, len(t), SPAN):
-                    r, _, _ = self.responses([t[a : a + SPAN]])
-                    pooled.append(r.max(axis=1))
+                    r, _, _ = self.responses([t[a : a + SPAN + WIDTH - 1]])
+                    pooled.append(r.max(axis=1)[: SPAN // HALF if a + SPAN < len(t) else None])
                 continue
             if held + len(t) > SPAN:
                 flush()
@@ -146,8 +151,12 @@ class Net:
         at = half * HALF + where[half, unit] * STRIDE
         size = WIDTH * 256 * FILTERS
         total = np.zeros(size)
+        final = np.zeros(len(r), bool)
+        final[np.cumsum(counts) - 1] = True
+        final = final[half]
         for j in range(WIDTH):
-            total += np.bincount((j * 256 + flat[at + j].astype(np.int64)) * FILTERS + unit, gx, size)
+            byte = np.where(final & (at % HALF + j >= HALF), 0, flat[at + j])
+            total += np.bincount((j * 256 + byte.astype(np.int64)) * FILTERS + unit, gx, size)
         out["filter"] = total.reshape(WIDTH, 256, FILTERS).astype(np.float32)
         return out, float((weight * -(y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9))).mean())
 

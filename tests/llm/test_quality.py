@@ -50,6 +50,8 @@ def test_learns_and_scores_alike_in_any_batch():
     got = net.score(x)
     assert ((got >= quality.THRESHOLD) == y)[160:].mean() >= 0.95
     assert np.allclose(got, np.concatenate([net.score(x[i : i + 7]) for i in range(0, 240, 7)]), atol=1e-6)
+    edge = [b"a" * n for n in range(500, 520)] + [b"b" * quality.SPAN + b"c" * n for n in (0, 1, 255, 256, 300)]
+    assert np.allclose(net.score(edge), np.concatenate([net.score([t]) for t in edge]), atol=1e-6)
     again = quality.fit(x[:160], y[:160], epochs=3)
     assert (again.score(x) == got).all()
 
