@@ -92,26 +92,41 @@ class Encoder:
     Plain texts are looked up by white-space separated pieces, which are one or a few words each.
     """
 
-    #: Above so many remembered pieces all are forgotten, which bounds a worker's memory.
+    #: Above so many remembered pieces only those that are words of the lexicon stay, which bounds a worker's memory.
     MOST = 400_000
 
     def __init__(self, path: str, lexicon: Lexicon):
         self.split, self.merger, self.lexicon = Splitter(path), Merger(path), lexicon
         self.ids: dict = {}
         self.text: dict = {}
+        self.frequent: list[str] = []
+        tokens = self.merger.tokens
+        self.token = [tokens.get(i, "") for i in range(max(tokens) + 1)]
+        self.number = [str(i) for i in range(len(self.token))]
 
-    def learn(self, pieces) -> None:
+    def forget(self) -> None:
+        self.ids = {p: self.ids[p] for p in self.frequent}
+        self.text = {p: self.text[p] for p in self.frequent}
+
+    def learn(self, pieces: set) -> None:
         if len(self.ids) > self.MOST:
-            self.ids.clear()
-            self.text.clear()
+            self.forget()
         new = [p for p in pieces if p not in self.ids]
-        lists = [[p] if isinstance(p, int) or p.isalpha() else self.split.find(p) for p in new]
-        words = list({w for ws in lists for w in ws if isinstance(w, str)})
-        known = {w: self.merger.ids(w) if ids is None else ids for w, ids in zip(words, self.lexicon.find([w.encode("utf-8") for w in words]))}
-        for p, ws in zip(new, lists):
-            ids = [i for w in ws for i in (known[w] if isinstance(w, str) else [w])]
-            self.ids[p] = " ".join(map(str, ids))
-            self.text[p] = self.merger.decode(ids)
+        lists = {p: [p] if isinstance(p, int) else self.split.find(p) for p in new if isinstance(p, int) or not p.isalpha()}
+        words = list({p for p in new if p not in lists} | {w for ws in lists.values() for w in ws if isinstance(w, str)})
+        found = self.lexicon.find([w.encode("utf-8") for w in words])
+        known = {w: self.merger.ids(w) if ids is None else ids for w, ids in zip(words, found)}
+        hit = {w for w, ids in zip(words, found) if ids is not None}
+        number, token = self.number, self.token
+        for p in new:
+            if p in lists:
+                ids = [i for w in lists[p] for i in (known[w] if isinstance(w, str) else [w])]
+            else:
+                ids = known[p]
+                if p in hit:
+                    self.frequent.append(p)
+            self.ids[p] = " ".join([number[i] for i in ids])
+            self.text[p] = " ".join([token[i] for i in ids])
 
     def written(self, texts: list[str]):
         """Per text: the decimal ids joined by spaces, and the decoded text."""
