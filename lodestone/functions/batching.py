@@ -87,3 +87,9 @@ def embed_all(ids: list[list[int]], infer, limits: Limits, dimensions: int) -> n
 def usable(free: int, total: int, fraction: float = 1.0) -> int:
     """Bytes of a device to plan with: headroom is the greater of 512 MiB and 15 %."""
     return max(0, int(min(free, total * fraction)) - max(512 << 20, total * 15 // 100))
+
+
+def choose(devices: list[dict], fraction: float = 1.0) -> dict | None:
+    """The device (index, uuid, free, total) with most usable memory, the first of equal ones; None if none has any."""
+    best = max(devices, key=lambda d: usable(d["free"], d["total"], fraction), default=None)
+    return best if best and usable(best["free"], best["total"], fraction) > 0 else None

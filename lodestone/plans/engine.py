@@ -60,6 +60,8 @@ class Engine:
         with self.store.writer():
             run = hashlib.sha256(f"{datetime.now(timezone.utc).isoformat()}{names}".encode()).hexdigest()[:32]
             failures: list[tuple[str, str, str]] = []
+            started = datetime.now(timezone.utc).isoformat()
+            self._record({"id": run, "kind": "ingest", "status": "running", "started_at": started, "counts": {}})
             for name in names:
                 try:
                     expanded = inputs.expand(name)
@@ -78,14 +80,19 @@ class Engine:
                 if fail_fast and failures:
                     break
             counts["failed"] = len(failures)
-            now = self.store.snapshot().manifest
-            entry = {"id": run, "kind": "ingest", "status": "partial" if failures else "completed", "started_at": datetime.now(timezone.utc).isoformat(), "counts": counts}
-            runs = (now["runs"] + [entry])[-KEPT_RUNS:]
-            kept = {r["id"] for r in runs}
-            failed = {k: v for k, v in (now["failures"] | {run: failures[:KEPT_FAILURES]}).items() if k in kept}
-            self.store.commit(now | {"runs": runs, "failures": failed}, {})
+            entry = {"id": run, "kind": "ingest", "status": "partial" if failures else "completed", "started_at": started, "finished_at": datetime.now(timezone.utc).isoformat(), "counts": counts}
+            self._record(entry, failures)
         return counts
 
+    def _record(self, entry: dict, failures: list | None = None) -> None:
+        """Put a run's state into the manifest; runs that an earlier process left unfinished are marked as interrupted."""
+        now = self.store.snapshot().manifest
+        others = [r | {"status": "interrupted"} if r["status"] == "running" else r for r in now["runs"] if r["id"] != entry["id"]]
+        runs = (others + [entry])[-KEPT_RUNS:]
+        kept = {r["id"] for r in runs}
+        failed = {k: v for k, v in (now["failures"] | {entry["id"]: (failures or [])[:KEPT_FAILURES]}).items() if k in kept}
+        self.store.commit(now | {"runs": runs, "failures": failed}, {})
+
     def _ingest_root(self, root: inputs.Root, run: str, counts: dict, fail_fast: bool) -> list[tuple[str, str, str]]:
         now = self.store.snapshot()
         manifest, recipe = now.manifest, self.recipe(root)
@@ -111,7 +118,8 @@ class Engine:
         if wrong or new_vectors.count() != made.count():
             return [*failed, (root.identity, sync.OTHER_ERROR, "vectors are missing or not of unit length")]
         gone = sync.pruned(stored, found, root.id, complete=root.directory is not None and root.complete)
-        next_docs = sync.replaced(stored, docs.drop("text"), gone)
+        seen = found.select("document_id", F.lit(run).alias("_seen"))  # failed items were seen too
+        next_docs = sync.replaced(stored, docs.drop("text"), gone).join(seen, "document_id", "left").withColumn("last_seen_run", F.coalesce("_seen", "last_seen_run"))
         drop = docs.select("document_id").unionByName(gone.select("document_id")).distinct()
         next_chunks = old_chunks.join(drop, "document_id", "left_anti").unionByName(made)
         parts = {"documents": {root.id: next_docs}, "chunks": {root.id: next_chunks}, "embeddings": {}}

@@ -248,3 +248,26 @@ def checked_lines(path: str, sha256: str, most: int = 1 << 20) -> Iterator[bytes
             yield body
     if digest.hexdigest() != sha256:
         raise InputError(f"unsupported: wrong hash of {path}")
+
+
+def ensure_file(url: str, path: str, sha256: str, most: int = 4 << 30, attempts: int = 3, get=fetch) -> str:
+    """A cached download with a known hash: tried again on failure, put in place only once the hash is right."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            if hashlib.file_digest(f, "sha256").hexdigest() == sha256:
+                return path
+    problem: Exception | None = None
+    for _ in range(attempts):
+        try:
+            data = get(url, most).content
+        except (InputError, OSError) as e:
+            problem = e
+            continue
+        if hashlib.sha256(data).hexdigest() != sha256:
+            problem = InputError(f"input_failed: wrong hash of {url}")
+            continue
+        with tempfile.NamedTemporaryFile(dir=os.path.dirname(path) or ".", delete=False) as f:
+            f.write(data)
+        os.replace(f.name, path)
+        return path
+    raise problem or InputError("input_failed")

@@ -82,3 +82,9 @@ def test_embedding_keeps_order_and_halves():
 
     got = batching.embed_all([[1] * n for n in (5, 1, 4, 2, 3)], infer, batching.Limits(4, 1000), 1)
     assert got.ravel().tolist() == [5, 1, 4, 2, 3] and max(calls) == 4 and min(calls) <= 2
+
+
+def test_device_choice():
+    gb = 1 << 30
+    assert batching.choose([{"free": 2 * gb, "total": 8 * gb}, {"free": 6 * gb, "total": 8 * gb}])["free"] == 6 * gb
+    assert batching.choose([]) is None and batching.choose([{"free": 0, "total": gb}]) is None

@@ -47,6 +47,16 @@ def test_failure_keeps_old_document(spark, tmp_path, tree):
     assert run["status"] == "partial" and e.store.snapshot().manifest["failures"][run["id"]][0][1] == "binary_input"
 
 
+def test_runs_and_seen_marks(spark, tmp_path, tree):
+    e = engine(spark, tmp_path / "store")
+    e.ingest([str(tree)])
+    e._record({"id": "lost", "kind": "ingest", "status": "running", "started_at": "", "counts": {}})
+    e.ingest([str(tree)])
+    now = e.store.snapshot()
+    assert [r["status"] for r in now.manifest["runs"]] == ["completed", "interrupted", "completed"]
+    assert {r["last_seen_run"] for r in now.table("documents").collect()} == {now.manifest["runs"][-1]["id"]}
+
+
 def test_bad_vectors_change_nothing(spark, tmp_path, tree):
     e = engine(spark, tmp_path / "store")
     e.ingest([str(tree)])

@@ -111,3 +111,23 @@ def test_parse_size():
     for bad in ("0", "1TB", "x"):
         with pytest.raises(ValueError):
             parse_size(bad)
+
+
+def test_ensure_file(tmp_path):
+    import hashlib
+
+    answers = [OSError("down"), b"bad", b"good"]
+
+    def get(url, most):
+        a = answers.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        return i.Item(url, content=a)
+
+    want, at = hashlib.sha256(b"good").hexdigest(), str(tmp_path / "f")
+    assert open(i.ensure_file("https://h/f", at, want, get=get), "rb").read() == b"good"
+    assert i.ensure_file("https://h/f", at, want, get=get) == at and not answers
+    answers[:] = [b"bad"] * 3
+    with pytest.raises(i.InputError):
+        i.ensure_file("https://h/f", str(tmp_path / "g"), want, get=get)
+    assert not (tmp_path / "g").exists()
