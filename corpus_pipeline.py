@@ -12,7 +12,8 @@ from lodestone.llm.common import keep, table
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on labelled rows of these documents, does not reject."""
     net = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs.withColumn("__ls_id", F.col("doc_id")), net, id_col="__ls_id", keep_cols=docs.columns).filter("predicted = 1").select(docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    return quality.classify(docs, net, keep_cols=others).filter("predicted = 1").select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
