@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -45,9 +46,10 @@ def hashed_embedder(dimensions: int) -> Embed:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base: str, embed: Embed, dimensions: int, capacity: int = 510, overlap: int = 64, offsets=word_offsets, model: str = "injected", custom: dict | None = None, most_bytes: int = 64 << 20):
+    def __init__(self, spark: SparkSession, base: str, embed: Embed, dimensions: int, capacity: int = 510, overlap: int = 64, offsets=word_offsets, model: str = "injected", query_prefix: str = "", custom: dict | None = None, most_bytes: int = 64 << 20):
         self.spark, self.store, self.embed, self.dimensions = spark, Store(spark, base), embed, dimensions
         self.capacity, self.overlap, self.offsets, self.model, self.custom, self.most = capacity, overlap, offsets, model, custom or {}, most_bytes
+        self.query_prefix = query_prefix
 
     def recipe(self, root: inputs.Root) -> str:
         """Everything that a stored document depends on besides its bytes."""
@@ -212,6 +214,8 @@ class Engine:
         if now.manifest["flags"].get("synthetic_vectors"):
             raise StoreError("the store holds synthetic vectors")
         known = [(k, v["identity"]) for k, v in now.manifest["roots"].items()]
+        if root is not None and not any(root in pair for pair in known) and os.path.exists(root):
+            root = "file://" + os.path.realpath(root)  # a local path stands for its root's identity
         roots = self.spark.createDataFrame(known, "id string, identity string")
         chunks, live = now.table("chunks"), now.active_vectors()
         scope = search.scoped(chunks, roots, root, media_type)
@@ -220,7 +224,7 @@ class Engine:
         depth = search.candidate_limit(mode, limit)
         near = words = None
         if mode != "lexical":
-            near = dense.knn(rows, self.embed([query])[0], depth) if rows.limit(1).count() else rows.select("chunk_id", F.lit(0.0).alias("distance")).limit(0)
+            near = dense.knn(rows, self.embed([self.query_prefix + query])[0], depth) if rows.limit(1).count() else rows.select("chunk_id", F.lit(0.0).alias("distance")).limit(0)
         if mode != "semantic":
             scored = lexical.bm25(chunks, lexical.query_phrases(query))
             words = lexical.top(scored.join(rows.select("chunk_id"), "chunk_id", "left_semi"), depth)
