@@ -8,7 +8,7 @@ from lodestone.plans.store import Store, StoreError
 
 
 def engine(spark, base, **more):
-    return Engine(spark, str(base), hashed_embedder(16), 16, capacity=8, overlap=2, **more)
+    return Engine(spark, str(base), hashed_embedder(256), 256, capacity=8, overlap=2, **more)
 
 
 @pytest.fixture
@@ -61,7 +61,7 @@ def test_bad_vectors_change_nothing(spark, tmp_path, tree):
     e = engine(spark, tmp_path / "store")
     e.ingest([str(tree)])
     (tree / "a.txt").write_text("new text")
-    e.embed = lambda texts: [[2.0] * 16 for _ in texts]
+    e.embed = lambda texts: [[2.0] * 256 for _ in texts]
     assert e.ingest([str(tree)])["failed"] == 1
     assert e.search("kappa", "lexical").count() == 1
 
