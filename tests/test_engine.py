@@ -74,7 +74,7 @@ def test_search_modes_filters_and_rebuild(spark, tmp_path, tree):
     assert hits[0]["rank"] == 1 and hits[0]["uri"].endswith("a.txt") and hits[0]["fusion_score"] == pytest.approx(2 / 61)
     assert e.search("alpha", "semantic", 5, media_type="text/markdown").count() == 1
     assert e.search("alpha", "hybrid", 5, root="nowhere").count() == 0
-    assert e.search("alpha", "semantic", 5, root=str(tree / "a.txt")).count() == 1
+    assert e.search("alpha", "semantic", 5, root=str(tree / "a.txt")).count() == 2
     generation = e.rebuild()
     assert generation == 2 and e.status()["active_generation"] == 2 and e.status()["embeddings"] == e.status()["chunks"]
     assert e.remove("file://" + os.path.realpath(tree / "a.txt")) == 1 and e.status()["roots"] == 1
