@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, tidy
 from .vectors import Lists, all_blocks, blocks, matrices, merge, valid
 
 #: Pivots, places kept of each order, rows of a tile, and the part of a tile's rows that is ranked by true distance.
@@ -73,7 +73,7 @@ def build_index(rows: DataFrame, pivots: np.ndarray, places: int = PLACES) -> Da
         if n:
             yield from tile(held)
 
-    return keep(rows.mapInArrow(post, INDEX), "permutation-index")
+    return keep(rows.mapInArrow(tidy(post), INDEX), "permutation-index")
 
 
 def footrule(near: np.ndarray, starts, rows, places_of, n: int, places: int) -> np.ndarray:
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
             for top, (number, own, _, _) in zip(tops, asked.value):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number[top.rows], own[top.rows], top.ids, 0.0 - top.score)] + [pa.array(np.full(len(top.rows), part, np.int32))], names=["query", "query_id", "vec_id", "score", "part"])
 
-        partial = index.mapInArrow(search, "query long, query_id long, vec_id long, score double, part int")
+        partial = index.mapInArrow(tidy(search), "query long, query_id long, vec_id long, score double, part int")
         found.append(merge(partial, parts, k, [F.asc("score"), F.asc("vec_id")]))
     return all_blocks(found, empty)
 

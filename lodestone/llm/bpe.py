@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, small_batches
+from .common import groups, keep, small_batches, tidy
 from .lexicon import Lexicon, build
-from .words import WORD_END, Splitter, byte_letters, default_vocabulary, groups
+from .words import WORD_END, Splitter, byte_letters, default_vocabulary
 
 #: Words of the lexicon, the most frequent of the corpus; a bound on what is collected and sent to executors.
 LEXICON_WORDS = 1 << 17
@@ -92,8 +92,9 @@ class Encoder:
     Plain texts are looked up by white-space separated pieces, which are one or a few words each.
     """
 
-    #: Above so many remembered pieces only those that are words of the lexicon stay, which bounds a worker's memory.
-    MOST = 400_000
+    #: Above so many remembered pieces, and at a task's end, only those that are words of the lexicon stay; this bounds a
+    #: worker's memory.
+    MOST = 300_000
 
     def __init__(self, path: str, lexicon: Lexicon):
         self.split, self.merger, self.lexicon = Splitter(path), Merger(path), lexicon
@@ -137,7 +138,7 @@ class Encoder:
                 yield " ".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.text.__getitem__, pieces))
 
 
-_encoders: dict = {}
+_encoders: dict = {}  # the latest only
 
 
 def encoder(path: str, blob: bytes) -> Encoder:
@@ -181,7 +182,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
                     odd.clear()
         yield out()
 
-    counts = docs.select(F.col(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col)).mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = keep(counts.filter("n > 1"), "word-counts")
     room, least = most, None
     for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
@@ -204,16 +205,19 @@ def _encoded(docs: DataFrame, keep_cols: list[str], text_col: str, vocabulary: s
 
     def run(batches):
         mine = encoder(path, blob.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep_cols] + emit(mine.written(texts)), names=names)
+        try:
+            for batch in batches:
+                texts = [t or "" for t in batch.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep_cols] + emit(mine.written(texts)), names=names)
+        finally:
+            mine.forget()
 
     cols = [F.col(c) for c in keep_cols]
     kept = docs.select(*cols).schema
     for f in emit.schema:
         kept = kept.add(f[0], f[1])
     names = kept.fieldNames()
-    return docs.select(*cols, F.col(text_col).alias("_text")).mapInArrow(run, kept)
+    return docs.select(*cols, F.col(text_col).alias("_text")).mapInArrow(tidy(run), kept)
 
 
 def _ids_and_text(pairs) -> list[pa.Array]:

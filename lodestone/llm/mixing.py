@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, small_batches
+from .common import keep, small_batches, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose totals the driver plans with; one short row each.
@@ -246,7 +246,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             more = [pa.array(plan.size[src], pa.int64()), pa.array(np.asarray(goal)[src] if len(src) else [], pa.float64()), pa.array(taken, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + more, names=[*kept, "source_size", "target", "taken", "slices"])
 
-    return placed.select("_s", "_at", *kept).mapInArrow(cut, schema).withColumnsRenamed({f"_carry_{c}": c for c in carry})
+    return placed.select("_s", "_at", *kept).mapInArrow(tidy(cut), schema).withColumnsRenamed({f"_carry_{c}": c for c in carry})
 
 
 def dealt(mixed: DataFrame) -> DataFrame:
@@ -292,4 +292,4 @@ def mixed_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
             arrays[kept.index(text_col)] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=kept)
 
-    return mixed.select(*kept, "size", "slices").mapInArrow(run, schema)
+    return mixed.select(*kept, "size", "slices").mapInArrow(tidy(run), schema)

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, small_batches, tasks
-from .words import default_vocabulary, groups, library_words
+from .common import groups, keep, small_batches, tasks, tidy
+from .words import default_vocabulary, library_words
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -158,7 +158,7 @@ def write_segments(docs: DataFrame, vocabulary: str | None = None, id_col: str =
         if ids:
             yield segment()
 
-    return keep(rows.mapInArrow(write, SEGMENTS), "token-segments")
+    return keep(rows.mapInArrow(tidy(write), SEGMENTS), "token-segments")
 
 
 ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("blob", pa.binary())])
@@ -188,7 +188,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                     names=["part", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = segments.select("part", "part_start", "doc_ids", "n_tokens", "blob").mapInArrow(read, schema)
+    docs = segments.select("part", "part_start", "doc_ids", "n_tokens", "blob").mapInArrow(tidy(read), schema)
     return docs.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

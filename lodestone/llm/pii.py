@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, small_batches, text_key
+from .common import groups, keep, small_batches, text_key, tidy
 from .shingles import word_hashes
-from .words import groups
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity, different contexts, the share of a term's texts, and bits of mutual information.
@@ -124,7 +123,7 @@ def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             triple = pa.list_(pa.struct([(c, pa.int64()) for c in ("entity", "term", "context")]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(base, ARROW_SPAN), pa.array(near, triple)], names=["doc_id", "tk", "base", "near"])
 
-    return keep(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "pii-base")
+    return keep(rows.mapInArrow(tidy(run), schema).withColumn("row", F.monotonically_increasing_id()), "pii-base")
 
 
 def _mask(terms: DataFrame) -> np.ndarray | None:
@@ -169,7 +168,7 @@ def term_documents(texts: DataFrame, terms: DataFrame) -> DataFrame:
                 seen.clear()
         yield out()
 
-    return texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return texts.select("text").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -191,7 +190,7 @@ def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(before[start] - first), pa.array(before[end] - first)], names=["tk", "term", "start", "end"])
                 at_row += len(part)
 
-    return texts.mapInArrow(run, "tk binary, term long, start long, end long").join(terms, "term", "left_semi").select("tk", "start", "end").distinct()
+    return texts.mapInArrow(tidy(run), "tk binary, term long, start long, end long").join(terms, "term", "left_semi").select("tk", "start", "end").distinct()
 
 
 def disclosing(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
@@ -265,4 +264,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             arrays[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.select(*names, "__ls_terms").mapInArrow(run, docs.schema)
+    return rows.select(*names, "__ls_terms").mapInArrow(tidy(run), docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 WIDTH, STRIDE, FILTERS, HALF, HIDDEN = 8, 2, 32, 256, 24
 #: Labelled rows of each class that training looks at, and the longest text (in characters) among them.
@@ -234,5 +234,5 @@ def classify(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(net.score(batch.column("_text").to_pylist()), pa.float64())], names=[*names, "score"])
 
-    out = rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = rows.mapInArrow(tidy(run), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     return out.withColumnsRenamed({f"_keep_{c}": c for c in keep_cols})

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .vectors import Lists, all_blocks, best, blocks, matrices, merge, valid
 
 #: A tile of scores has so many queries and candidates: 16 MB of doubles.
@@ -78,7 +79,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float
             for top, (number, own, _) in zip(tops, asked.value):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number[top.rows], own[top.rows], top.ids, top.score)] + [pa.array(np.full(len(top.rows), part, np.int32))], names=["query", "query_id", "vec_id", "score", "part"])
 
-        partial = rows.mapInArrow(search, schema)
+        partial = rows.mapInArrow(tidy(search), schema)
         found.append(merge(partial, parts, k, [F.desc("score"), F.asc("vec_id")]))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return all_blocks(found, empty)

@@ -116,17 +116,3 @@ class LibraryWords:
 def library_words(path: str) -> LibraryWords:
     """One per worker process: tasks that follow each other in a worker share what it remembers."""
     return LibraryWords(path)
-
-
-def groups(texts: list[str], chars: int = 1_000_000):
-    """Runs of texts of about so many characters; one longer text is a run of its own."""
-    run: list[str] = []
-    n = 0
-    for t in texts:
-        if run and n + len(t) > chars:
-            yield run
-            run, n = [], 0
-        run.append(t)
-        n += len(t)
-    if run:
-        yield run
