@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups, keep, small_batches, tidy
+from .common import groups, keep, remembered, small_batches, tidy
 from .lexicon import Lexicon, build
 from .words import WORD_END, Splitter, byte_letters, default_vocabulary
 
@@ -138,7 +138,7 @@ class Encoder:
                 yield " ".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.text.__getitem__, pieces))
 
 
-_encoders: dict = {}  # the latest only
+_encoders: dict = remembered.setdefault(__name__, {})  # the latest only
 
 
 def encoder(path: str, blob: bytes) -> Encoder:

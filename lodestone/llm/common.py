@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch that a Python worker gets, whatever the lengths of texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -47,10 +47,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What a worker process remembers between tasks, by the module that fills it.
+remembered: dict[str, dict] = {}
+
+
 def tidy(function):
-    """A batch function that gives its freed memory back when its task ends: workers live on, and others need the room."""
+    """A batch function that makes room: workers live on from task to task.
+
+    What other operators remembered in this worker goes at the start; freed memory is given back at the end.
+    """
+    owner = function.__module__
 
     def run(batches):
+        for module in [m for m in remembered if m != owner]:
+            remembered[module].clear()
+        give_back()
         try:
             yield from function(batches)
         finally:

@@ -8,7 +8,6 @@ the library's own normalizer and splitter, whole.
 
 from __future__ import annotations
 
-import functools
 import json
 from array import array
 
@@ -16,6 +15,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import remembered
+
 # Fixed value: the splitting pattern of the vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but plain ASCII and the composed Latin letters (whose lower case is one letter) needs the library.
@@ -112,7 +113,11 @@ class LibraryWords:
         return out
 
 
-@functools.lru_cache(maxsize=1)
+_memos: dict = remembered.setdefault("lodestone.llm.pfor", {})
+
+
 def library_words(path: str) -> LibraryWords:
     """One per worker process: tasks that follow each other in a worker share what it remembers."""
-    return LibraryWords(path)
+    if path not in _memos:
+        _memos[path] = LibraryWords(path)
+    return _memos[path]
