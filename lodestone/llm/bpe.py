@@ -24,6 +24,8 @@ from .words import WORD_END, Splitter, byte_letters, default_vocabulary
 
 #: Words of the lexicon, the most frequent of the corpus; a bound on what is collected and sent to executors.
 LEXICON_WORDS = 1 << 17
+#: Pieces that a task counts before it passes their counts on.
+COUNTED = 150_000
 
 
 class Merger:
@@ -94,7 +96,7 @@ class Encoder:
 
     #: Above so many remembered pieces, and at a task's end, only those that are words of the lexicon stay; this bounds a
     #: worker's memory.
-    MOST = 300_000
+    MOST = 150_000
 
     def __init__(self, path: str, lexicon: Lexicon):
         self.split, self.merger, self.lexicon = Splitter(path), Merger(path), lexicon
@@ -176,7 +178,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
                     seen.update(text.lower().split())
                 elif text:
                     odd.update(split.words(text))
-                if len(seen) + len(odd) > 500_000:
+                if len(seen) + len(odd) > COUNTED:
                     yield out()
                     seen.clear()
                     odd.clear()
