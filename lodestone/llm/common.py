@@ -76,7 +76,7 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def groups(texts: list[str], chars: int = 1_000_000):
+def groups(texts: list[str], chars: int = 400_000):
     """Runs of texts of about so many characters; one longer text is a run of its own."""
     run: list[str] = []
     n = 0
