@@ -9,9 +9,10 @@ Equal texts are one node throughout. A bucket's nodes are not compared with each
 leader; links join nodes to components, and a bucket stays open while it holds several components. Open buckets of
 SMALL nodes or fewer are compared in full, but for pairs of one component. In larger ones every node is compared
 with further leaders and, in the order of its samples read from the bucket's band on, with its next neighbours and with
-the nearest nodes of other components: the longer two nodes agree, the nearer they stand. So the work is linear in a group of near copies of any size, and a link
-is lost only if none of the some five buckets that its nodes share leads from one component to the other; the README
-gives the measured figure.
+the nearest nodes of other components: the longer two nodes agree, the nearer they stand. What is still open then is
+compared exactly: every node outside a bucket's largest component meets all nodes of other components, block by block,
+so no pair of different components that shares a bucket is left out. That part grows with the nodes outside the
+largest component times the bucket.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ BIN_BITS, BIN_PIECES = 18, 8
 #: A shingle's weight is its count times 1 + LIFT * idf, idf between 0 and 1. A larger lift lets the rare shingles of
 #: an edit outweigh what a large group of copies shares, because copies raise the frequency of all that they share.
 LIFT = 0.25
-#: Open buckets up to this size are compared in full; in larger ones a node meets so many next neighbours,
-#: and one outside the bucket's largest component so many on each side.
-SMALL, NEXT, WIDE = 16, 3, 12
+#: Open buckets up to this size are compared in full; in larger ones a node first meets so many next neighbours.
+SMALL, NEXT = 16, 3
+#: Nodes and bytes of sets of one side of a block, on average, and the turns in which the buckets are compared by blocks.
+BLOCK, BLOCK_BYTES, TURNS = 256, 8 << 20, 3
 #: Bits of the fixed-size filter that spares texts without candidates a shuffle.
 FILTER_BITS = 24
 
@@ -253,10 +255,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     comps = spark.createDataFrame([], "node long, comp long")
     links = done = spark.createDataFrame([], "a long, b long")
     open_ = buckets.select("band", "node", "order")
-    for meet in (_first, _second, _neighbours, _across, _third, *map(_minor, range(4)), _small):
-        now = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = now.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("n")).filter("_lo <> _hi").select("band", "n")
-        now = keep(now.join(mixed, "band"), "dup-open")
+    for meet in (_first, _second, _neighbours, _across, _third, _small):
+        now = _open(open_, comps)
         met = meet(now).filter("comp <> with_comp")
         pairs = met.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
         pairs = keep(pairs.join(done, ["a", "b"], "left_anti"), "dup-pairs")
@@ -264,12 +264,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         done, links = done.unionByName(pairs), links.unionByName(found)
         comps = components(links)
         open_ = now.select("band", "node", "order")
+    for turn in range(TURNS):  # links of one turn close buckets of the next
+        now = _open(open_.filter(F.pmod("band", F.lit(TURNS)) == turn), comps)
+        found = keep(_blocks(now.filter(F.col("n") > SMALL), sets, least), "dup-found")
+        links = links.unionByName(found)
+        comps = components(links)
     roots = nodes.select("tk", "node").join(comps, "node", "left").select("tk", F.coalesce("comp", "node").alias("root"))
     members = keep(signed.select("row", "doc_id", "tk").join(roots, "tk"), "dup-members")
     first = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("_first"))
     return members.join(first, "root").select("doc_id", "class_id", "class_size", (F.col("row") == F.col("_first.row")).alias("keep"), "tk")
 
 
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """The buckets that hold several components, with their nodes' components and their size n."""
+    now = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = now.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("n")).filter("_lo <> _hi").select("band", "n")
+    return keep(now.join(mixed, "band"), "dup-open")
+
+
 def _lead(now: DataFrame, turn: int) -> DataFrame:
     """Every node of a bucket with the bucket's leader of this turn."""
     best = now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "comp")).alias("x"))
@@ -310,25 +322,6 @@ def _across(now: DataFrame) -> DataFrame:
     return met
 
 
-def _minor(shift: int):
-    """Nodes outside their bucket's largest component with the WIDE nearest nodes on each side, in the order of the
-    samples from so many bands on."""
-
-    def meet(now: DataFrame) -> DataFrame:
-        start = 4 * ROWS * shift
-        now = now.withColumn("order", F.expr(f"concat(substring(order, {start + 1}), substring(order, 1, {start}))"))
-        sizes = now.groupBy("band", "comp").agg(F.count("*").alias("_c"))
-        largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("_c", "comp")).alias("_largest"))
-        w = Window.partitionBy("band").orderBy("order", "node")
-        me = F.struct(F.col("node").alias("with"), F.col("comp").alias("with_comp"))
-        near = F.array(*[f(me, k).over(w) for k in range(1, WIDE + 1) for f in (F.lag, F.lead)])
-        few = now.withColumn("_near", near).join(largest, "band").filter("comp <> _largest")
-        others = F.filter("_near", lambda x: x.isNotNull() & (x["with_comp"] != F.col("comp")))
-        return few.select("node", "comp", F.explode(others).alias("x")).select("node", "comp", "x.*")
-
-    return meet
-
-
 def _small(now: DataFrame) -> DataFrame:
     """All pairs of different components in buckets of SMALL nodes or fewer."""
     few = now.filter(F.col("n") <= SMALL).select("band", "node", "comp")
@@ -336,6 +329,63 @@ def _small(now: DataFrame) -> DataFrame:
     return few.join(other, "band").filter("node < with")
 
 
+def _blocks(now: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the nodes outside their bucket's largest component and all nodes of other components.
+
+    Both sides are cut into hashed blocks; every block of the one meets every block of the other in a task of its own,
+    which gets each set once, not once a pair.
+    """
+    sized = now.select("band", "node", "comp").join(sets.select("node", F.octet_length("ids").cast("long").alias("_bytes")), "node")
+    sizes = sized.groupBy("band", "comp").agg(F.count("*").alias("_c"), F.sum("_bytes").alias("_b"))
+    cut = sizes.groupBy("band").agg(F.max_by(F.struct("comp", "_c", "_b"), F.struct("_c", "comp")).alias("_most"), F.sum("_c").alias("_n"), F.sum("_b").alias("_all"))
+
+    def pieces(nodes, size):
+        return F.greatest(F.ceil(nodes / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+
+    cut = cut.select("band", F.col("_most.comp").alias("_largest"), pieces(F.col("_n") - F.col("_most._c"), F.col("_all") - F.col("_most._b")).alias("_few"), pieces(F.col("_n"), F.col("_all")).alias("_many"))
+    cut = sized.join(cut, "band").withColumn("minor", F.col("comp") != F.col("_largest"))
+
+    def dealt(rows: DataFrame, few: bool) -> DataFrame:
+        own, other = ("_few", "_many") if few else ("_many", "_few")
+        mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
+        rows = rows.select("band", "node", "comp", "minor", mine.alias("_own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other"))
+        i, j = ("_own", "_other") if few else ("_other", "_own")
+        return rows.select("band", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(few).alias("few"), "node", "comp", "minor")
+
+    rows = dealt(cut.filter("minor"), True).unionByName(dealt(cut, False)).join(sets, "node")
+    # a shuffle deals the blocks; every task sees one block at a time
+    return rows.groupBy("band", "i", "j").applyInArrow(lambda t: _block_links(t, least), "a long, b long").distinct()
+
+
+def _block_links(table: pa.Table, least: float) -> pa.Table:
+    """Links of one block; pairs that earlier links of the block have joined are not compared."""
+    few = np.array(table.column("few").to_pylist(), bool)
+    node, minor = table.column("node").to_numpy(), np.array(table.column("minor").to_pylist(), bool)
+    group = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+    ids = [np.frombuffer(x, np.uint64) for x in table.column("ids").to_pylist()]
+    weights = [np.frombuffer(x, np.float32) for x in table.column("weights").to_pylist()]
+    many = np.flatnonzero(~few)
+    found = []
+    if len(many):
+        size, total = np.array([len(ids[x]) for x in many]), np.array([float(weights[x].sum()) for x in many])
+        all_ids, all_weights = np.concatenate([ids[x] for x in many]), np.concatenate([weights[x] for x in many])
+        for x in np.flatnonzero(few).tolist():
+            want = (group[many] != group[x]) & (~minor[many] | (node[many] > node[x]))
+            if not want.any():
+                continue
+            inside = np.repeat(want, size)
+            theirs, own = all_ids[inside], ids[x]
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            both = np.where(own[at] == theirs, np.minimum(weights[x][at], all_weights[inside]), 0).astype(np.float64)
+            shared = np.add.reduceat(both, np.cumsum(size[want]) - size[want])
+            near = shared >= (least - 1e-4) * (total[want] + float(weights[x].sum()) - shared)  # those about the limit are settled as all pairs are
+            for y in many[want][near].tolist():
+                if group[y] != group[x] and similarity(ids[x], weights[x], ids[y], weights[y]) >= least:
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+                    group[group == group[y]] = group[x]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the row that ``classes`` keeps."""
     kept = keep(classes(docs, id_col, text_col, least).filter("keep").select(F.col("doc_id").alias("__ls_id"), F.col("tk").alias("__ls_tk")), "dup-kept")

@@ -67,6 +67,19 @@ def test_classes_equal_brute_force(spark, docs_schema):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["keep"])
 
 
+def test_open_buckets_are_compared_exactly(spark, monkeypatch):
+    """One bucket of 90 nodes, several blocks a side: a large component and single nodes, whose only links lie far apart."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    kinds = [np.sort(rng.choice(1 << 40, 50, replace=False).astype(np.uint64)) for _ in range(60)]
+    kind = [*range(60), *range(30)]  # node i and node i + 60 are equal, for i below 30
+    sets = [(i, bytearray(kinds[k].tobytes()), bytearray(np.ones(50, np.float32).tobytes())) for i, k in enumerate(kind)]
+    comp = [50 if 50 <= i < 70 else i for i in range(90)]
+    now = spark.createDataFrame([(7, i, comp[i], 90) for i in range(90)], "band long, node long, comp long, n long")
+    got = neardup._blocks(now, spark.createDataFrame(sets, "node long, ids binary, weights binary"), 0.8).collect()
+    assert sorted(map(tuple, got)) == [(i, i + 60) for i in range(30)]
+
+
 def test_consistent_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     ids = np.sort(rng.choice(1 << neardup.ID_BITS, 3000, replace=False).astype(np.uint64))
