@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give them away.
 
 What the patterns find (addresses, numbers) are the protected entities. For every entity and every word near it the
-corpus says how strongly the word reveals the entity: the share of the word's texts that hold the entity, and the
-pointwise mutual information of the two. Words that pass both thresholds, with enough different contexts, are
-disclosing terms; wherever they occur they become spans too, and are generalised with the entities.
+corpus says how strongly the word reveals the entity: the share of the word's texts that hold the entity, and either the
+pointwise mutual information of the two or, for entities too frequent to reach it, the share of the entity's own
+information that the word reveals, with contexts enough that chance does not explain it. Words that pass are disclosing
+terms; wherever they occur they become spans too, and are generalised with the entities.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from .shingles import word_hashes
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity, different contexts, the share of a term's texts, and bits of mutual information.
 NEAR, CONTEXTS, SHARE, BITS = 6, 3, 0.5, 6.0
+#: Whatever the entity's frequency: the share of its information that a term reveals, and the evidence in nats, contexts
+#: times the divergence of the entity's share among the term's documents from that among all. Copies add none.
+REVEALED, EVIDENCE = 0.5, 7.0
 #: Shortest term in bytes; bits of the fixed-size filter of candidate terms.
 SHORTEST, MASK_BITS = 4, 20
 
@@ -193,6 +197,16 @@ def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return texts.mapInArrow(tidy(run), "tk binary, term long, start long, end long").join(terms, "term", "left_semi").select("tk", "start", "end").distinct()
 
 
+def _discloses(n: float):
+    """Whether n_te, n_t, n_e and contexts make a term of ``n`` documents a disclosing one."""
+    share, own = F.col("n_te") / F.col("n_t"), F.col("n_e") / F.lit(n)
+    bits = F.log2(share / own)
+    revealed = F.when(own < 1, bits / -F.log2(own))  # 1 where the term's documents all hold the entity
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - own))).otherwise(0.0)
+    evidence = F.col("contexts") * (share * F.log(share / own) + rest)
+    return (share >= SHARE) & ((bits >= BITS) | F.coalesce((revealed >= REVEALED) & (evidence >= EVIDENCE), F.lit(False)))
+
+
 def disclosing(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
     """(tk, terms): the spans of disclosing terms in every text that holds one.
 
@@ -206,8 +220,7 @@ def disclosing(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
     likely = keep(likely.join(held, "entity"), "pii-likely")
     texts = docs.select(text_key(text_col).alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_t = term_documents(texts, likely.select("term"))
-    bits = F.log2(F.col("n_te") * F.lit(float(base.count())) / (F.col("n_t") * F.col("n_e")))
-    bad = keep(likely.join(n_t, "term").filter((F.col("n_te") >= SHARE * F.col("n_t")) & (bits >= BITS)).select("term").distinct(), "pii-terms")
+    bad = keep(likely.join(n_t, "term").filter(_discloses(float(base.count()))).select("term").distinct(), "pii-terms")
     spans = occurrences(texts, bad).select("tk", F.struct(F.lit("term").alias("kind"), "start", "end").alias("x"))
     return keep(spans.groupBy("tk").agg(F.sort_array(F.collect_list("x")).alias("terms")).select("tk", F.col("terms").cast(SPAN)), "pii-disclosing")
 

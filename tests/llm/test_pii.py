@@ -83,3 +83,17 @@ def test_brute_force_counts(spark, docs_schema):
     got = {r["term"]: r["n_t"] for r in pii.term_documents(texts, spark.createDataFrame([(h,) for h in hashes], "term long")).collect()}
     all_texts = [r["text"].lower() for r in docs.collect()]
     assert [got[h] for h in hashes] == [sum(bool(re.search(rf"\b{n}\b", t)) for t in all_texts) for n in names]
+
+
+COLOURS = "red green blue black white pink grey brown teal gold".split()
+
+
+def test_frequent_entities(spark, docs_schema):
+    """On a small table an address in a third of all rows, copies among them, is given away by a name, not by common words."""
+    rows = [f"{w} asks Zorblatt about {w} at help@mail.com today" for w in COLOURS]
+    rows += ["copy asks Zorblatt about copy at help@mail.com today"] * 10
+    rows += [f"{w} asks about {w} at home today" for w in COLOURS * 4]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(rows)], docs_schema)
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert got[0] == "red asks [TERM] about red at [EMAIL] today" and got[15] == "copy asks [TERM] about copy at [EMAIL] today"
+    assert got[25] == rows[25]
