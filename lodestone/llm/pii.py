@@ -27,7 +27,7 @@ NEAR, CONTEXTS, SHARE, BITS = 6, 3, 0.5, 6.0
 #: Whatever the entity's frequency: the share of its information that a term reveals, and the evidence in nats, contexts
 #: times the divergence of the entity's share among the term's documents from that among all. Copies add none.
 REVEALED, EVIDENCE = 0.5, 7.0
-#: Shortest term in bytes; bits of the fixed-size filter of candidate terms.
+#: Shortest term in code points, but for words written like names; bits of the fixed-size filters of candidates.
 SHORTEST, MASK_BITS = 4, 20
 
 # The patterns that define the four kinds.
@@ -93,20 +93,36 @@ def _points(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
 
+def _entity(text: str, kind: int, a: int, b: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{text[a:b]}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def neighbours(text: str, spans):
-    """(entity, term, context) hashes of the words near each span; words inside spans are none."""
+    """(entity, term, context) hashes of the words near each span; words inside spans are none.
+
+    Near are the NEAR nearest words of SHORTEST code points or more on each side, and as many shorter ones that do not
+    begin with a small letter or a digit, as names do. They only propose terms; what is counted is whole documents.
+    """
     hashes, _, start, end = word_hashes([text], in_place=True)
     at = _points(np.frombuffer(text.encode("utf-8", "replace") + b" ", np.uint8))
     start, end = at[start], at[end]
-    ok = end - start >= SHORTEST
+    ok = np.ones(len(start), bool)
     for _, a, b in spans:
         ok &= (end <= a) | (start >= b)
-    hashes, start, end = hashes[ok], start[ok], end[ok]
+    long = ok & (end - start >= SHORTEST)
+    name = np.zeros(len(start), bool)
+    for i in np.flatnonzero(ok & ~long).tolist():
+        first = text[start[i]]
+        name[i] = first.isalpha() and not first.islower()
+    kinds = [(hashes[x], start[x], end[x]) for x in (long, name)]
     for kind, a, b in spans:
-        lo, hi = np.searchsorted(end, a, "right"), np.searchsorted(start, b)
-        near = np.concatenate([hashes[max(0, lo - NEAR) : lo], hashes[hi : hi + NEAR]])
+        near = []
+        for h, s, e in kinds:
+            lo, hi = np.searchsorted(e, a, "right"), np.searchsorted(s, b)
+            near += [h[max(0, lo - NEAR) : lo], h[hi : hi + NEAR]]
+        near = np.concatenate(near)
         context = int.from_bytes(hashlib.blake2b(near.tobytes(), digest_size=8).digest(), "little", signed=True)
-        entity = int.from_bytes(hashlib.blake2b(f"{kind}:{text[a:b]}".encode(), digest_size=8).digest(), "little", signed=True)
+        entity = _entity(text, kind, a, b)
         for term in np.unique(near).view(np.int64).tolist():
             yield entity, term, context
 
@@ -175,6 +191,41 @@ def term_documents(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
+def pair_documents(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(entity, term, n_te): documents that hold both, wherever in them, for the given pairs; over all documents."""
+    packed, mixed = _mask(pairs.select("term").distinct()), _mask(pairs.select(F.expr("entity ^ term").alias("term")))
+    schema = "entity long, term long, n long"
+    if packed is None:
+        return texts.sparkSession.createDataFrame([], "entity long, term long, n_te long")
+    sent = texts.sparkSession.sparkContext.broadcast((packed.tobytes(), mixed.tobytes()))
+
+    def run(batches):
+        mask, both = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in sent.value)
+        seen: dict[tuple[int, int], int] = {}
+
+        def out():
+            keys = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["entity", "term", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                spans = base_spans(text)
+                if not spans:
+                    continue
+                terms = np.unique(_hits([text], mask)[0])
+                for entity in {_entity(text, *x) for x in spans}:
+                    mix = terms ^ np.array([entity], np.int64).view(np.uint64)
+                    for term in terms[both[(mix >> np.uint64(64 - MASK_BITS)).astype(np.int64)]].view(np.int64).tolist():
+                        seen[entity, term] = seen.get((entity, term), 0) + 1
+                if len(seen) > 500_000:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    counted = texts.select("text").mapInArrow(tidy(run), schema).groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
+    return counted.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
+
+
 def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(tk, start, end) of all words of all texts that are one of the terms, in code points."""
     packed = _mask(terms)
@@ -215,12 +266,13 @@ def disclosing(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
     near = base.select("row", F.explode("near").alias("x")).select("row", "x.*")
     held = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     # a document counts once; contexts are counted before they meet, so that no entity or term gathers rows
-    per = near.groupBy("entity", "term", "row").agg(F.min("context").alias("context")).groupBy("entity", "term", "context").agg(F.count("*").alias("_n"))
-    likely = per.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("_n").alias("n_te")).filter(F.col("contexts") >= CONTEXTS)
+    per = near.groupBy("entity", "term", "row").agg(F.min("context").alias("context")).select("entity", "term", "context").distinct()
+    likely = per.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
     likely = keep(likely.join(held, "entity"), "pii-likely")
     texts = docs.select(text_key(text_col).alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_t = term_documents(texts, likely.select("term"))
-    bad = keep(likely.join(n_t, "term").filter(_discloses(float(base.count()))).select("term").distinct(), "pii-terms")
+    n_te = pair_documents(texts, likely)
+    bad = keep(likely.join(n_te, ["entity", "term"]).join(n_t, "term").filter(_discloses(float(base.count()))).select("term").distinct(), "pii-terms")
     spans = occurrences(texts, bad).select("tk", F.struct(F.lit("term").alias("kind"), "start", "end").alias("x"))
     return keep(spans.groupBy("tk").agg(F.sort_array(F.collect_list("x")).alias("terms")).select("tk", F.col("terms").cast(SPAN)), "pii-disclosing")
 

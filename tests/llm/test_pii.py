@@ -97,3 +97,14 @@ def test_frequent_entities(spark, docs_schema):
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert got[0] == "red asks [TERM] about red at [EMAIL] today" and got[15] == "copy asks [TERM] about copy at [EMAIL] today"
     assert got[25] == rows[25]
+
+
+def test_names_far_away_and_short(spark, docs_schema):
+    """A name far from the address in most documents, and one of three letters."""
+    far = " ".join(["plain words here"] * 6)
+    rows = [f"{w} Bob and Zorblatt with {w} x.y@mail.com" for w in COLOURS[:4]] + [f"Zorblatt and Bob {far} {w} x.y@mail.com" for w in COLOURS]
+    rows += ["plain words here with and"] * 100 + [f"{w} saw {w} with" for w in COLOURS]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(rows)], docs_schema)
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert got[0] == "red [TERM] and [TERM] with red [EMAIL]" and got[4] == f"[TERM] and [TERM] {far} red [EMAIL]"
+    assert got[114] == rows[114] and got[50] == rows[50]
