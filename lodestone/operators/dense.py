@@ -25,17 +25,15 @@ def knn_of_row(rows: DataFrame, key, k: int, id_col: str, vec_col: str = "embedd
     return rows.join(F.broadcast(query)).select(F.col(id_col), distance.alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-#: Query vectors that one job broadcasts: of 768 floats, 12 MB.
+#: Query vectors that one job broadcasts: of 768 floats, 12 MB. More are joined without a broadcast.
 QUERY_ROWS = 4096
 
 
 def scores(queries: DataFrame, rows: DataFrame, query_id: str, id_col: str, vec_col: str = "embedding") -> DataFrame:
-    """Similarity matrix (query_id, id, score) of a stated query set against all rows. The queries are broadcast after a count."""
-    n = queries.count()
-    if n > QUERY_ROWS:
-        raise ValueError(f"{n} queries; score them in blocks of {QUERY_ROWS}")
+    """Similarity matrix (query_id, id, score) of a stated query set against all rows. Up to QUERY_ROWS queries are broadcast after a count."""
+    few = queries.count() <= QUERY_ROWS
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("_q"))
-    return rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).join(F.broadcast(q)).select("query_id", "id", vectors.dot("_q", "_v").alias("score"))
+    return rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).crossJoin(F.broadcast(q) if few else q).select("query_id", "id", vectors.dot("_q", "_v").alias("score"))
 
 
 def top_ids(scored: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:

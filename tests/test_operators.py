@@ -116,3 +116,12 @@ def test_error_codes_first_match(spark):
 
 def test_byte_slices(spark):
     assert spark.createDataFrame([("aβc",)], "t string").select(text.byte_slice("t", F.lit(1), F.lit(3))).first()[0] == "β"
+
+
+def test_scores_of_more_queries_than_one_broadcast(spark, monkeypatch):
+    from lodestone.operators import dense
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(dense, "QUERY_ROWS", 3)
+    got = sorted(map(tuple, dense.scores(rows, rows, "vec_id", "vec_id").collect()))
+    assert got == [(q, i, float(q * i + 1)) for q in range(7) for i in range(7)]
