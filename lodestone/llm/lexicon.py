@@ -93,35 +93,33 @@ class Lexicon:
             f.flush()
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Each word's number in byte order, -1 for unseen words; all words advance by one byte at a time."""
-        out = np.full(len(words), -1, np.int64)
-        if not len(self.final) or not words:
+    def numbers(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Number in byte order of each word, -1 for unseen ones; word i is ``flat[offsets[i]:offsets[i + 1]]``. All words advance by one byte at a time."""
+        start = offsets[:-1].astype(np.int64)
+        length = offsets[1:] - start
+        out = np.full(len(start), -1, np.int64)
+        if not len(self.final):
             return out
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.cumsum(length) - length
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        live = np.arange(len(words))
-        state, number = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
+        live = np.arange(len(start))
+        state, number = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
         depth = 0
         while len(live):
             ends = length[live] == depth
-            done = live[ends]
-            ok = self.final[state[done].astype(np.int64)] > 0
-            out[done[ok]] = number[done[ok]]
-            live = live[~ends]
+            done = ends & (self.final[state.astype(np.int64)] > 0)
+            out[live[done]] = number[done]
+            live, state, number = live[~ends], state[~ends], number[~ends]
             if not len(live) or not len(self.keys):
                 break
-            key = (state[live] << np.uint64(8)) | flat[start[live] + depth].astype(np.uint64)
+            key = (state << np.uint64(8)) | flat[start[live] + depth].astype(np.uint64)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             live, at = live[hit], at[hit]
-            state[live] = self.to[at]
-            number[live] += self.skip[at]
+            state, number = self.to[at].astype(np.uint64), number[hit] + self.skip[at]
             depth += 1
         return out
 
     def find(self, words: list[bytes]) -> list[list[int] | None]:
         """Each word's ids, None for unseen words."""
-        number = self.numbers(words)
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        number = self.numbers(np.frombuffer(b"".join(words), np.uint8), offsets)
         return [self.ids[self.at[n] : self.at[n + 1]].tolist() if n >= 0 else None for n in number.tolist()]

@@ -48,21 +48,40 @@ def test_library_words_equal_the_library(library):
 
 
 def test_encoder_equals_the_library(library):
-    merger = bpe.Merger(PATH)
-    lexicon = Lexicon.mapped(build({w.encode(): merger.ids(w) for w in ("the", "thing", "größe", "stupid", "eau")}))
-    got = list(bpe.Encoder(PATH, lexicon).written(texts()))
+    lexicon = Lexicon.mapped(bpe.compile_lexicon(["the", "thing", "größe", "stupid", "eau"], PATH))
+    got = bpe.Encoder(PATH, lexicon).written(texts())
     for t, (ids, decoded) in zip(texts(), got):
         want = library.encode(t, add_special_tokens=False).ids
         assert ids == " ".join(map(str, want)) and decoded == library.decode(want, skip_special_tokens=False)
 
 
-@given(st.text(alphabet="abcdeinrst", min_size=40, max_size=120))
+@given(st.lists(st.text(alphabet="abcdeinrst", max_size=60), max_size=20))
 @settings(max_examples=40, deadline=None)
-def test_long_and_short_merging_agree(word):
+def test_words_merge_alike_together_and_alone(found):
     m = bpe.Merger(PATH)
-    parts = [m.letters[b] for b in word.encode()]
-    parts[-1] += words.WORD_END
-    assert m._short(list(parts)) == m._long(list(parts))
+    library = Tokenizer.from_file(PATH)
+    flat, size = np.frombuffer("".join(found).encode(), np.uint8), np.array([len(w) for w in found], np.int64)
+    ids, count = m.ids(flat, size)
+    ends = np.cumsum(count)
+    for w, e, n in zip(found, ends.tolist(), count.tolist()):
+        part = m.first[np.frombuffer(w.encode(), np.uint8)]
+        if w:
+            part[-1] = m.last[ord(w[-1])]
+        want = library.encode(w, add_special_tokens=False).ids
+        assert ids[e - n : e].tolist() == want and m.merged_alone(part).tolist() == want
+
+
+def test_long_texts_are_cut_into_stretches(monkeypatch, library):
+    long = [" ".join(t.replace("\x00", "") for t in texts()), "", "x" * 90, "a b " * 30 + "I'll 's  "]
+    lexicon = Lexicon.mapped(bpe.compile_lexicon(["the", "thing"], PATH))
+    monkeypatch.setattr(words.stretches, "__defaults__", (50,))
+    plain = [t for t in long if words.Splitter(PATH).plain(t)] + [" ".join(t for t in texts() if words.Splitter(PATH).plain(t))]
+    assert sum(1 for _ in words.stretches(plain)) > 20
+    for t, (ids, decoded), one, n in zip(plain, bpe.Encoder(PATH, lexicon).written(plain), words.LibraryWords(PATH).encode(plain), bpe._digests(bpe.Encoder(PATH, lexicon), plain)[0].to_pylist()):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)) and decoded == library.decode(want, skip_special_tokens=False) and one.tolist() == want and n == len(want)
+    sums = bpe._digests(bpe.Encoder(PATH, lexicon), plain)
+    assert sums[1].to_pylist() == [hashlib.sha256(" ".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for t in plain]
 
 
 @given(st.dictionaries(st.binary(min_size=0, max_size=9), st.lists(st.integers(0, 9), max_size=4), max_size=40), st.lists(st.binary(max_size=9), max_size=20))
@@ -92,6 +111,14 @@ def test_segments_and_documents(spark, awkward, clashing, empty, library):
     assert pfor.read_documents(pfor.write_segments(empty)).count() == 0
 
 
+def test_equal_rows_are_dealt_to_several_parts(spark, docs_schema, library):
+    docs = spark.createDataFrame([(5, "the same", "en", "a", 0)] * 90 + [(i, f"text {i}", "en", "a", 0) for i in range(40)], docs_schema)
+    segments = pfor.write_segments(docs)
+    assert segments.select("part").distinct().count() >= 4
+    got = sorted(map(tuple, pfor.read_documents(segments).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted([5] * 90 + [*range(40)]) and [r[1] for r in got] == np.cumsum([0] + [r[2] for r in got[:-1]]).tolist()
+
+
 def test_bpe_digests(awkward, clashing, empty, library):
     want = []
     for r in awkward.collect():
