@@ -3,7 +3,8 @@
 A segment holds the ids of consecutive documents. Ids are cut into blocks of 128. Of each block the minimum is
 taken off; the rest is packed at the width that holds PERCENTILE of the block's values; values that need more
 bits leave their low bits in place and their position and high bits in the segment's exception lists. A block
-index gives where each block starts, so that any block can be read alone.
+index gives where each block starts, so that any block can be read alone. Before the blocks of ids, a segment lists its
+documents and, in blocks of the same kind, how many ids each has.
 
 A segment is one byte string; a store of segments is a Parquet folder, which Spark writes with an atomic commit
 to any file system it knows and can read from any executor.
@@ -11,6 +12,7 @@ to any file system it knows and can read from any executor.
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 
@@ -18,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import groups, keep, small_batches, tasks, tidy
-from .words import default_vocabulary, library_words
+from .common import keep, small_batches, tasks, tidy
+from .words import Splitter, default_vocabulary, library_words
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -105,22 +106,58 @@ def unpack(blob: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     return (out + least[lo:hi, None]).reshape(-1)[start - lo * block : stop - lo * block]
 
 
-SEGMENTS = T.StructType(
-    [
-        T.StructField("part", T.IntegerType()),
-        T.StructField("segment", T.IntegerType()),
-        T.StructField("part_start", T.LongType()),
-        T.StructField("doc_ids", T.ArrayType(T.LongType())),
-        T.StructField("n_tokens", T.ArrayType(T.LongType())),
-        T.StructField("blob", T.BinaryType()),
-    ]
-)
+DOCUMENTS = "<4sQQ"
+
+
+def pack_segment(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A whole segment: documents and the blocks of their ids."""
+    sizes = pack(np.asarray(lengths, np.uint32))
+    head = struct.pack(DOCUMENTS, b"PFS1", len(doc_ids), len(sizes))
+    named = np.array([i is not None for i in doc_ids], bool)
+    return b"".join([head, np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.packbits(named).tobytes(), sizes, pack(ids)])
+
+
+def unpack_segment(blob: bytes) -> tuple[list, np.ndarray, bytes]:
+    """Document ids, how many ids each has, and the blocks."""
+    magic, n, size = struct.unpack_from(DOCUMENTS, blob)
+    if magic != b"PFS1":
+        raise ValueError("not a segment")
+    at = struct.calcsize(DOCUMENTS)
+    doc_ids = np.frombuffer(blob, "<i8", n, at).tolist()
+    named = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), at + 8 * n), count=n).tolist()
+    at += 8 * n + -(-n // 8)
+    return [i if ok else None for i, ok in zip(doc_ids, named)], unpack(blob[at : at + size]).astype(np.int64), blob[at + size :]
+
+
+SEGMENTS = "part int, segment int, part_start long, n long, blob binary"
+ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("part_start", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
+#: Rows looked at for each part to choose the parts' bounds.
+LOOKED_AT = 50
+
+
+def _order(doc_id, crc):
+    """Where a row stands: null ids first, then by id, then by the text's checksum."""
+    return doc_id is not None, doc_id or 0, crc
+
+
+def part_of(place: tuple, bounds: list[tuple], turn: int) -> int:
+    """The part of a row; rows with one place that bounds several parts are dealt to these in turn."""
+    first, last = bisect.bisect_left(bounds, place), bisect.bisect_right(bounds, place)
+    return last - turn % (last - first) if last - first > 1 else last
+
+
+def part_bounds(rows: DataFrame, parts: int) -> list[tuple]:
+    """The first places of all parts but one, from a random sample of rows. Results don't depend on them."""
+    seen = rows.select("doc_id", "crc").orderBy(F.rand(7)).limit(LOOKED_AT * parts).collect()
+    places = sorted(_order(*r) for r in seen)
+    return [places[len(places) * i // parts] for i in range(1, parts)] if places else []
 
 
 def write_segments(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode every text and write segments in ascending ``id_col`` order under the shared folder; returns them as read.
 
-    Each document's ids end with ``end_id``. A part is one task's range of ids, a segment about ``segment_ids`` of them.
+    Each document's ids end with ``end_id``. Texts are encoded where they are; their ids, not they, are dealt into parts,
+    ranges of ``id_col`` with one task each. A segment is about ``segment_ids`` ids of a part.
 
     Defined cases: a null text is empty (its end id alone); null ids come first; rows with the same id follow
     each other, ordered by their texts; an empty table gives no segments; other columns are ignored.
@@ -128,40 +165,41 @@ def write_segments(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     path = vocabulary or default_vocabulary()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(tasks(spark), "doc_id", F.crc32("text")).sortWithinPartitions("doc_id", F.crc32("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.crc32(text).alias("crc"), text.alias("text"))
+    parts = tasks(spark)
+    bounds = spark.sparkContext.broadcast(part_bounds(rows, parts))
+    kind = "<u2" if max(end_id, Splitter(path).most) < 1 << 16 else "<u4"
+
+    def encoded(batches):
+        words, end = library_words(path), np.array([end_id], kind)
+        for batch in batches:
+            places = [part_of(_order(*x), bounds.value, turn) for turn, x in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("crc").to_pylist()))]
+            ids = [np.append(x.astype(kind), end).tobytes() for x in words.encode(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), batch.column("doc_id"), batch.column("crc"), pa.array(ids, pa.binary())], names=["part", "doc_id", "crc", "ids"])
 
-    def write(batches):
-        from pyspark import TaskContext
+    dealt = rows.mapInArrow(tidy(encoded), "part int, doc_id long, crc long, ids binary").repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "crc")
 
-        part, words = TaskContext.get().partitionId(), library_words(path)
-        end = np.array([end_id], np.uint32)
-        ids, lengths, run, held, number, begun = [], [], [], 0, 0, 0
+    def write(batches):
+        part, doc_ids, run, held, number, begun = 0, [], [], 0, 0, 0
 
         def segment():
-            blob = pack(np.concatenate(run).astype(np.uint32))
-            return pa.RecordBatch.from_pylist([{"part": part, "segment": number, "part_start": begun, "doc_ids": ids, "n_tokens": lengths, "blob": blob}], schema=ARROW)
+            return pa.RecordBatch.from_pylist([{"part": part, "segment": number, "part_start": begun, "n": held, "blob": pack_segment(doc_ids, [len(x) for x in run], np.concatenate(run).astype(np.uint32))}], schema=ARROW)
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names = iter(batch.column("doc_id").to_pylist())
-            for group in groups(texts):
-                for one in words.encode(group):
-                    run += [one, end]
-                    ids.append(next(names))
-                    lengths.append(len(one) + 1)
-                    held += len(one) + 1
-                    if held >= segment_ids:
-                        yield segment()
-                        number, begun, held = number + 1, begun + held, 0
-                        ids, lengths, run = [], [], []
-        if ids:
+            for place, doc_id, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+                if run and (place != part or held >= segment_ids):
+                    yield segment()
+                    number, begun = (number + 1, begun + held) if place == part else (0, 0)
+                    doc_ids, run, held = [], [], 0
+                part = place
+                run.append(np.frombuffer(ids.as_buffer(), kind))
+                doc_ids.append(doc_id)
+                held += len(run[-1])
+        if run:
             yield segment()
 
-    return keep(rows.mapInArrow(tidy(write), SEGMENTS), "token-segments")
-
-
-ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("blob", pa.binary())])
+    return keep(dealt.mapInArrow(tidy(write), SEGMENTS), "token-segments")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -170,25 +208,23 @@ def read_documents(segments: DataFrame) -> DataFrame:
     ``start`` counts the ids of all documents before; part totals (one short row per task of the writer) are
     summed once and joined back.
     """
-    small = segments.select("part", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = small.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = segments.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     schema = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids = unpack(row["blob"])
-                n = np.asarray(row["n_tokens"], np.int64)
+                doc_ids, n, blocks = unpack_segment(row["blob"])
                 ends = np.cumsum(n)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(unpack(blocks).astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * len(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["part_start"] + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array([row["part"]] * len(n), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(row["part_start"] + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                     names=["part", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = segments.select("part", "part_start", "doc_ids", "n_tokens", "blob").mapInArrow(tidy(read), schema)
+    docs = segments.select("part", "part_start", "blob").mapInArrow(tidy(read), schema)
     return docs.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
