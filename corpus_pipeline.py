@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text."""
-    return bpe.encode(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    return bpe.encode(docs, decoded=False).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("pii", sanitised), ("mixing", mixed), ("bpe", encoded)]
