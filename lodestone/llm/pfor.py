@@ -132,7 +132,7 @@ def unpack_segment(blob: bytes) -> tuple[list, np.ndarray, bytes]:
 SEGMENTS = "part int, segment int, part_start long, n long, blob binary"
 ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("part_start", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 #: Rows looked at for each part to choose the parts' bounds.
-LOOKED_AT = 50
+LOOKED_AT = 20
 
 
 def _order(doc_id, crc):
@@ -147,8 +147,9 @@ def part_of(place: tuple, bounds: list[tuple], turn: int) -> int:
 
 
 def part_bounds(rows: DataFrame, parts: int) -> list[tuple]:
-    """The first places of all parts but one, from a random sample of rows. Results don't depend on them."""
-    seen = rows.select("doc_id", "crc").orderBy(F.rand(7)).limit(LOOKED_AT * parts).collect()
+    """The first places of all parts but one, from a random sample of about LOOKED_AT rows a part. Results don't depend on them."""
+    n = rows.count()
+    seen = rows.select("doc_id", "crc").sample(min(1.0, LOOKED_AT * parts / n), seed=7).collect() if n else []
     places = sorted(_order(*r) for r in seen)
     return [places[len(places) * i // parts] for i in range(1, parts)] if places else []
 
