@@ -40,6 +40,14 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``keep`` wrote and that nothing will read again."""
+    for df in frames:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, so that a batch of long texts fits a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -52,11 +52,18 @@ def word_hashes(texts: list[str], in_place: bool = False):
     return mix64(hashes + length.astype(np.uint64)), per_text, start, end
 
 
-def shingle_sets(texts: list[str], words: int = 5):
-    """(ids, counts, sizes): the distinct shingles of each text, sorted, with their counts; ``sizes`` per text.
+def shingle_lists(texts: list[str], words: int = 5):
+    """(ids, sizes): all shingles of each text, sorted, repeats included; ``sizes`` per text.
 
     A text of fewer words than a shingle has one shingle of all of them; a text without words has none.
     """
+    key = _keys(texts, words)
+    sizes = np.bincount((key >> np.uint64(ID_BITS)).astype(np.int64), minlength=len(texts))
+    return key & np.uint64((1 << ID_BITS) - 1), sizes
+
+
+def _keys(texts: list[str], words: int) -> np.ndarray:
+    """All shingles, each below the number of its text, sorted."""
     hashes, per_text, _, _ = word_hashes(texts)
     n = len(hashes)
     owner = np.repeat(np.arange(len(texts)), per_text)
@@ -73,7 +80,12 @@ def shingle_sets(texts: list[str], words: int = 5):
         part = np.where(at + j < stop, part, np.uint64(7))
         total = total * np.uint64(0xBF58476D1CE4E5B9) + part
     ids = mix64(total) >> np.uint64(64 - ID_BITS)
-    key = np.sort((who.astype(np.uint64) << np.uint64(ID_BITS)) | ids)
+    return np.sort((who.astype(np.uint64) << np.uint64(ID_BITS)) | ids)
+
+
+def shingle_sets(texts: list[str], words: int = 5):
+    """(ids, counts, sizes): the distinct shingles of each text, sorted, with their counts; ``sizes`` per text."""
+    key = _keys(texts, words)
     if not len(key):
         return key, np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     fresh = np.concatenate([[True], key[1:] != key[:-1]])

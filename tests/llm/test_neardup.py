@@ -28,38 +28,55 @@ def corpus(seed=0, groups=25):
     return texts + [" ".join(word() for _ in range(60)) for _ in range(80)] + ["", "  ", None, "...", "one two", "One  TWO!"]
 
 
-def true_classes(texts, least=0.8):
-    sets = [plain_sets(t or "") for t in texts]
-    n = len(texts)
-    bag, counts = [], {}
-    ids, _, _ = shingles.shingle_sets([t or "" for t in texts])
-    ids_, counts_, sizes_ = shingles.shingle_sets([t or "" for t in texts])
-    df = np.bincount(neardup.bins(ids_), minlength=1 << neardup.BIN_BITS)
-    lift = neardup.bin_weights(df, n)
-    i_, w_, s_ = neardup.weighted_sets([t or "" for t in texts], lift)
-    ends = np.cumsum(s_)
-    for e, k, s in zip(ends, s_, sets):
-        assert k == len(set(s))
-        bag.append((i_[e - k : e], w_[e - k : e]))
-    parent = list(range(n))
+def bags(texts):
+    """Weighted multisets of shingles, in plain Python, from exact document frequencies."""
+    from collections import Counter
+    from math import log, sqrt
+
+    counts = [Counter(plain_sets(t or "")) for t in texts]
+    df, n = Counter(s for c in counts for s in c), len(texts)
+    noise = sum(df.values()) / (1 << neardup.BIN_BITS)
+    lift = {s: 1 + neardup.LIFT * min(1, max(0, log(n / max(1, min(n, d - noise - 4 * sqrt(noise)))) / log(n + 2))) for s, d in df.items()}
+    return [{s: k * lift[s] for s, k in c.items()} for c in counts]
+
+
+def partition(texts, bag, least):
+    """Components of all pairs, by brute force over the pairs that share a shingle."""
+    parent = list(range(len(texts)))
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for a, b in itertools.combinations(range(n), 2):
+    for a, b in itertools.combinations(range(len(texts)), 2):
         same = (texts[a] or "") == (texts[b] or "")
-        if same or len(bag[a][0]) and len(bag[b][0]) and neardup.similarity(*bag[a], *bag[b]) >= least:
-            parent[max(root(a), root(b))] = min(root(a), root(b))
-    return [root(i) for i in range(n)]
+        if not same and bag[a] and bag[b]:
+            shared = sum(min(w, bag[b][s]) for s, w in bag[a].items() if s in bag[b])
+            same = shared >= least * (sum(bag[a].values()) + sum(bag[b].values()) - shared)
+        if same:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def agrees(got, texts):
+    """Every pair of similarity 0.81 is in one class; all of a class hangs together by pairs of 0.79: bins round weights."""
+    bag = bags(texts)
+    sure, likely = partition(texts, bag, 0.81), partition(texts, bag, 0.79)
+    assert all(got[i] == got[r] for i, r in enumerate(sure))
+    assert all(likely[i] == likely[c] for i, c in enumerate(got))
+
+
+def table(spark, docs_schema, texts):
+    return spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], docs_schema).repartition(5)
 
 
 def test_classes_equal_brute_force(spark, docs_schema):
     texts = corpus()
-    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], docs_schema).repartition(5)
+    docs = table(spark, docs_schema, texts)
     got = {r["doc_id"]: r for r in neardup.classes(docs).collect()}
-    assert [got[i]["class_id"] for i in range(len(texts))] == true_classes(texts)
+    agrees([got[i]["class_id"] for i in range(len(texts))], texts)
     sizes = np.unique([r["class_id"] for r in got.values()], return_counts=True)
     assert {r["class_id"]: r["class_size"] for r in got.values()} == dict(zip(*(x.tolist() for x in sizes)))
     assert sorted(i for i, r in got.items() if r["keep"]) == sorted({r["class_id"] for r in got.values()})
@@ -67,17 +84,59 @@ def test_classes_equal_brute_force(spark, docs_schema):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["keep"])
 
 
-def test_open_buckets_are_compared_exactly(spark, monkeypatch):
+def graded(n, seed=4):
+    """A large group of copies with 0 to 12 edits each, and texts that share a long passage only."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, passage = [word() for _ in range(90)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(rng.randrange(13)):
+            t[rng.randrange(len(t))] = word()
+        texts.append(" ".join(t))
+    for _ in range(n // 4):
+        own = [word() for _ in range(12)]
+        texts += [" ".join(passage + own)] + [" ".join(own[:3] + passage + own)] * (rng.random() < 0.2)
+    return texts
+
+
+@pytest.mark.parametrize("block,many", [(1024, 16), (64, 16), (48, 0)])
+def test_large_groups_lose_no_link(spark, docs_schema, monkeypatch, block, many):
+    """500 graded copies and texts that share a passage: in one block, in pieces and blocks, and split by prefixes."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "MANY", many)
+    texts = graded(500)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(table(spark, docs_schema, texts)).collect()}
+    agrees([got[i] for i in range(len(texts))], texts)
+
+
+@pytest.mark.parametrize("many", [1000, 0])
+def test_open_buckets_are_compared_exactly(spark, monkeypatch, many):
     """One bucket of 90 nodes, several blocks a side: a large component and single nodes, whose only links lie far apart."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "MANY", many)
     rng = np.random.default_rng(3)
     kinds = [np.sort(rng.choice(1 << 40, 50, replace=False).astype(np.uint64)) for _ in range(60)]
     kind = [*range(60), *range(30)]  # node i and node i + 60 are equal, for i below 30
-    sets = [(i, bytearray(kinds[k].tobytes()), bytearray(np.ones(50, np.float32).tobytes())) for i, k in enumerate(kind)]
-    comp = [50 if 50 <= i < 70 else i for i in range(90)]
-    now = spark.createDataFrame([(7, i, comp[i], 90) for i in range(90)], "band long, node long, comp long, n long")
-    got = neardup._blocks(now, spark.createDataFrame(sets, "node long, ids binary, weights binary"), 0.8).collect()
-    assert sorted(map(tuple, got)) == [(i, i + 60) for i in range(30)]
+    sets = spark.createDataFrame([(i, bytearray(kinds[k].tobytes())) for i, k in enumerate(kind)], "node long, ids binary")
+    comps = neardup.keep(spark.createDataFrame([(i, 50) for i in range(51, 60)], "node long, comp long"), "test")
+    lift = spark.sparkContext.broadcast(np.ones(1 << neardup.BIN_BITS, np.float32))
+    got = neardup.settle(spark.createDataFrame([(7, i, 50) for i in range(90)], "key long, node long, size long"), comps, sets, lift, 0.8)
+    assert sorted(map(tuple, got.select("node", "comp").collect())) == [(i, 50) for i in range(51, 60)] + [(i + 60, i) for i in range(30)]
+
+
+def test_similarities_of_a_block_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    lift = (1 + 0.25 * rng.random(1 << neardup.BIN_BITS)).astype(np.float32)
+    base = rng.choice(1 << neardup.ID_BITS, 60, replace=False).astype(np.uint64)
+    sets = [np.sort(np.concatenate([rng.choice(base, rng.integers(40, 60), replace=False), rng.choice(base[:9], rng.integers(0, 30))])) for _ in range(40)] + [np.sort(rng.choice(1 << 40, 5).astype(np.uint64)) for _ in range(3)]
+    for rare, columns in ((12, 2048), (0, 7), (100, 7)):
+        monkeypatch.setattr(neardup, "RARE", rare)
+        monkeypatch.setattr(neardup, "COLUMNS", columns)
+        for least in (0.5, 0.6, 0.7):
+            got = neardup.similar(sets, lift, least)
+            assert all(got[a, b] == (neardup.similarity(sets[a], sets[b], lift) >= least) for a, b in itertools.permutations(range(len(sets)), 2))
 
 
 def test_consistent_samples_estimate_similarity():
@@ -87,7 +146,8 @@ def test_consistent_samples_estimate_similarity():
     w = (1 + rng.random(3000) * 3).astype(np.float32)
     wb = w.copy()
     wb[:1500] *= 1.2
-    true = neardup.similarity(a, w[:2200], b, wb[300:])
+    least = np.minimum(w[300:2200], wb[300:2200]).sum()
+    true = least / (w[:2200].sum() + wb[300:].sum() - least)
     same = []
     for shift in range(12):  # fresh ids give fresh samples
         move = np.uint64(shift * 7919)
