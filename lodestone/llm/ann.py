@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order. The index holds, for each tile of rows, an inverted file
-per pivot: the rows that have the pivot among their nearest, each with the pivot's place in its order. A query
-walks the inverted files of its own nearest pivots and sums up, for every row it meets, how much nearer the two
-orders are than if the pivot were shared by one of them only; that ranks a tile's rows by the footrule distance of
+per pivot: the rows that have the pivot among their nearest, each with the pivot's place in its order. A block of
+queries walks the inverted files of their nearest pivots together and sums up, for every row met, how much nearer the
+orders are than if the pivot were in one of them only; that ranks a tile's rows by the footrule distance of
 the orders (a missing pivot stands behind the last place). The best rows are then ranked by true distance.
-Pivots come from a bounded sample; every row is indexed.
+Pivots come from a bounded sample, for each dimension its own; every row is indexed. Rows of a dimension that the sample
+missed have no order, and are all ranked by true distance.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ from pyspark.sql import functions as F
 from .common import keep, tidy
 from .vectors import Lists, all_blocks, blocks, matrices, merge, valid
 
-#: Pivots, places kept of each order, rows of a tile, and the part of a tile's rows that is ranked by true distance.
-PIVOTS, PLACES, TILE_ROWS, DEPTH = 128, 64, 8192, 0.4
-#: Rows looked at to choose the pivots.
-SAMPLE = 16 * PIVOTS
+#: Pivots, places kept of each order, rows of a tile, and the part of a tile's rows that is ranked by true distance, with the
+#: least number of these. Rows looked at for each pivot that is chosen; queries that walk together.
+PIVOTS, PLACES, TILE_ROWS, DEPTH, LEAST, LOOKED_AT, TOGETHER = 256, 128, 8192, 0.05, 64, 16, 512
 
 INDEX = "dim int, ids binary, vectors binary, starts binary, rows binary, places binary"
 
@@ -35,33 +35,31 @@ def orders(m: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:
     return np.argsort(squares(m, pivots), axis=1, kind="stable")[:, :places]
 
 
-def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
-    """Distinct vectors of the commonest dimension from the SAMPLE rows with the smallest id hashes."""
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(16 * pivots).toArrow()
-    found = list(matrices(got.column("vec_id"), got.column("vector"))) if got.num_rows else []
-    if not found:
-        return np.zeros((0, 0))
-    m = max(found, key=lambda x: len(x[0]))[2]
-    _, first = np.unique(m, axis=0, return_index=True)
-    return m[np.sort(first)[:pivots]]
+def choose_pivots(rows: DataFrame, pivots: int) -> dict[int, np.ndarray]:
+    """For each dimension distinct vectors from the sampled rows, those with the smallest id hashes."""
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(LOOKED_AT * pivots).toArrow()
+    chosen = {}
+    for _, _, m in matrices(got.column("vec_id"), got.column("vector")) if got.num_rows else ():
+        _, first = np.unique(m, axis=0, return_index=True)
+        chosen[m.shape[1]] = m[np.sort(first)[:pivots]]
+    return chosen
 
 
-def build_index(rows: DataFrame, pivots: np.ndarray, places: int = PLACES) -> DataFrame:
+def build_index(rows: DataFrame, chosen: dict[int, np.ndarray], places: int = PLACES) -> DataFrame:
     """The index of all rows (vec_id, vector) as a table of tiles, written to the shared folder."""
-    places = min(places, len(pivots))
+    sent = rows.sparkSession.sparkContext.broadcast(chosen)
     names = [f.split()[0] for f in INDEX.split(", ")]
 
     def post(batches):
         def tile(held):
             table = pa.Table.from_batches(held)
             for _, ids, m in matrices(table.column("vec_id"), table.column("vector")):
-                if m.shape[1] != pivots.shape[1]:
-                    continue
-                near = orders(m, pivots, places)
-                flat = near.ravel()
+                pivots = sent.value.get(m.shape[1], np.zeros((0, m.shape[1])))
+                flat = orders(m, pivots, places).ravel()
                 by = np.argsort(flat, kind="stable")
                 starts = np.searchsorted(flat[by], np.arange(len(pivots) + 1)).astype(np.int32)
-                raw = (ids, m, starts, (by // places).astype(np.int32), (by % places).astype(np.uint16))
+                kept = max(1, min(places, len(pivots)))
+                raw = (ids, m, starts, (by // kept).astype(np.int32), (by % kept).astype(np.uint16))
                 yield pa.RecordBatch.from_arrays([pa.array([m.shape[1]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in raw]], names=names)
 
         held, n = [], 0
@@ -76,21 +74,29 @@ def build_index(rows: DataFrame, pivots: np.ndarray, places: int = PLACES) -> Da
     return keep(rows.mapInArrow(tidy(post), INDEX), "permutation-index")
 
 
-def footrule(near: np.ndarray, starts, rows, places_of, n: int, places: int) -> np.ndarray:
-    """Footrule distances of one query's order to all rows of a tile, less a constant."""
-    gain = np.zeros(n, np.int32)
-    at = np.arange(places, dtype=np.int32)
-    for own, pivot in enumerate(near.tolist()):
+def footrule(near: np.ndarray, starts, rows, places_of, n: int) -> np.ndarray:
+    """Footrule distances of the orders of several queries (rows of ``near``) to all rows of a tile, one column for each query.
+
+    Orders keep L places. A pivot at places a and b of two orders makes them nearer, by twice the lesser of L - a and L - b, than if each
+    had it alone, which adds up to L (L + 1).
+    """
+    queries, places = near.shape
+    kind = np.int16 if places * (places + 1) < 1 << 15 else np.int32
+    own = np.zeros((len(starts) - 1, queries), kind)
+    own[near.T, np.arange(queries)] = (places - np.arange(places))[:, None]
+    shared = np.zeros((n, queries), kind)
+    theirs = (places - places_of.astype(np.int32)).astype(kind)
+    for pivot in np.unique(near).tolist():
         span = slice(starts[pivot], starts[pivot + 1])
-        gain[rows[span]] += (np.abs(own - at) - (places - own) - (places - at))[places_of[span]]
-    return gain
+        shared[rows[span]] += np.minimum(theirs[span, None], own[pivot])
+    return places * (places + 1) - 2 * shared.astype(np.int32)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, places: int = PLACES, depth: float = DEPTH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per query the k nearest rows found, by Euclidean distance in double precision: query_id, rank, vec_id, score.
 
-    Defined cases: vectors that are null, empty, zero or hold null or non-finite components, rows with a null id, and
-    rows of another dimension than most sampled ones take no part; rows with the query's id are its own and no
+    Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take no
+    part; a vector of another dimension than the query's is no candidate; rows with the query's id are its own and no
     candidates; of equal distances the smaller id is nearer, and equal rows fill several ranks; a query given
     twice is answered twice; empty tables give an empty result; other columns are ignored.
     """
@@ -98,14 +104,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
     nonzero = F.exists("vector", lambda x: x != 0)
     rows = valid(vectors, id_col, vec_col).filter(nonzero)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base = choose_pivots(rows, pivots)
-    if not len(base):
+    chosen = choose_pivots(rows, pivots)
+    if not chosen:
         return empty
-    places = min(places, len(base))
-    index = build_index(rows, base, places)
+    index = build_index(rows, chosen, places)
     parts, found, first = index.rdd.getNumPartitions(), [], 0
     for block in blocks(valid(queries, id_col, vec_col).filter(nonzero)):
-        mine = [(first + at, ids, m, orders(m, base, places)) for at, ids, m in block if m.shape[1] == base.shape[1]]
+        mine = [(first + at, ids, m, orders(m, chosen.get(m.shape[1], np.zeros((0, m.shape[1]))), places)) for at, ids, m in block]
         first += sum(len(at) for at, _, _ in block)
         asked = spark.sparkContext.broadcast(mine)
 
@@ -118,20 +123,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
                     ids = np.frombuffer(t["ids"], np.int64)
                     m = np.frombuffer(t["vectors"], np.float64).reshape(len(ids), t["dim"])
                     starts, posted, place = np.frombuffer(t["starts"], np.int32), np.frombuffer(t["rows"], np.int32), np.frombuffer(t["places"], np.uint16)
-                    deep = min(len(ids), max(k + 1, int(np.ceil(depth * len(ids)))))
+                    deep = min(len(ids), max(LEAST, k + 1, int(np.ceil(depth * len(ids))))) if len(starts) > 1 else len(ids)
                     for top, (_, own, q, near) in zip(tops, asked.value):
-                        got = []
-                        for i in range(len(own)):
-                            rule = footrule(near[i], starts, posted, place, len(ids), places)
-                            pick = np.lexsort((ids, rule))[:deep] if deep == len(ids) else _best(rule, ids, deep)
-                            pick = pick[ids[pick] != own[i]]
-                            gap = m[pick] - q[i]
-                            far = np.sqrt((gap * gap).sum(axis=1))
-                            if len(far) > k:
-                                ok = far <= np.partition(far, k - 1)[k - 1]
-                                pick, far = pick[ok], far[ok]
-                            got.append((np.full(len(pick), i), -far, ids[pick]))
-                        if got:
+                        if q.shape[1] != m.shape[1]:
+                            continue
+                        for a in range(0, len(own), TOGETHER):
+                            rule = footrule(near[a : a + TOGETHER], starts, posted, place, len(ids)).T
+                            got = []
+                            for i in range(a, min(a + TOGETHER, len(own))):
+                                pick = _best(np.ascontiguousarray(rule[i - a]), ids, deep)
+                                pick = pick[ids[pick] != own[i]]
+                                gap = m[pick] - q[i]
+                                far = np.sqrt((gap * gap).sum(axis=1))
+                                if len(far) > k:
+                                    ok = far <= np.partition(far, k - 1)[k - 1]
+                                    pick, far = pick[ok], far[ok]
+                                got.append((np.full(len(pick), i), -far, ids[pick]))
                             top.add(*(np.concatenate(x) for x in zip(*got)))
             for top, (number, own, _, _) in zip(tops, asked.value):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number[top.rows], own[top.rows], top.ids, 0.0 - top.score)] + [pa.array(np.full(len(top.rows), part, np.int32))], names=["query", "query_id", "vec_id", "score", "part"])

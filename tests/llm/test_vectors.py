@@ -72,12 +72,11 @@ def test_nearest_is_exact_at_full_depth(spark):
 
 
 def test_recall(spark):
-    import os
-
-    at = "/root/testdata/sf0.1/embeddings.parquet"
-    if not os.path.exists(at):
-        pytest.skip("no sample tables")
-    df = spark.read.parquet(at)
+    """Independent components, the hardest case: orders of pivots say least about them."""
+    rng = np.random.default_rng(8)
+    made = rng.normal(size=(6000, 64))
+    made /= np.linalg.norm(made, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(made.astype(np.float32).tolist())], SCHEMA).repartition(3)
     found = ann.nearest(df, df.filter("vec_id % 100 = 0")).collect()
     rows = df.collect()
     m, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
@@ -100,9 +99,26 @@ def test_footrule_ranks_as_defined():
     starts = np.searchsorted(flat[by], np.arange(13))
     place = np.full((40, 12), 6)
     np.put_along_axis(place, near, np.arange(6)[None].repeat(40, 0), 1)
-    got = ann.footrule(near[3], starts, by // 6, by % 6, 40, 6)
-    want = np.abs(place - place[3]).sum(axis=1)
-    assert (got - got[3] == want).all()
+    got = ann.footrule(near[3:6], starts, by // 6, by % 6, 40)
+    assert (got == np.stack([np.abs(place - place[q]).sum(axis=1) for q in (3, 4, 5)], axis=1)).all()
+
+
+def test_nearest_of_several_dimensions(spark, monkeypatch):
+    """Each dimension has candidates of its own, with pivots or, where the sample missed it, without."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3 if i % 10 else 2 if i % 20 else 5)], 0) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = []
+    for q, qv, _ in rows:
+        if q % 5 == 0:
+            own = sorted((math.dist(np.float32(qv).astype(float), np.float32(v).astype(float)), i) for i, v, _ in rows if i != q and len(v) == len(qv))[:4]
+            want += [(q, r, i) for r, (_, i) in enumerate(own, 1)]
+    ask = lambda: sorted(tuple(r)[:3] for r in ann.nearest(df, df.filter("vec_id % 5 = 0"), k=4, pivots=16, places=8, depth=1.0).collect())
+    assert ask() == sorted(want)
+    monkeypatch.setattr(ann, "LOOKED_AT", 1)
+    few = ann.choose_pivots(ann.valid(df, "vec_id", "embedding"), 4)
+    monkeypatch.setattr(ann, "choose_pivots", lambda rows, pivots: {3: few[3]})
+    assert ask() == sorted(want)
 
 
 def test_extra_columns(spark):
