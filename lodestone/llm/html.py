@@ -3,13 +3,18 @@
 Markup is stripped to lines, one per block element; what sits in menus, headers, footers, sidebars, forms,
 notices, adverts, scripts and reader comments is left out on the way. Over the lines' text lengths (link texts
 count for nothing) sums of sliding windows are taken; the text surges where a window's sum rises above a
-threshold and dives where the sums fall back to nothing. The run with most text is the core. If the core lies in an article
-or main element, the text is all of that element's lines; otherwise it is the run, with headings just before.
+threshold and dives where the sums fall back to nothing. The heaviest of these runs is the core; runs before and behind it
+that only links, headings and short lines part from it belong to it.
+
+Markup settles the ends: where most of the core lies in an article or main element, the text goes on to that element's ends,
+but for articles inside it whose part of all runs is below the threshold, and stops there; otherwise it is what lies between first surge and last dive, with
+headings just before. Where no window reaches the threshold, the element with most text is taken, or all lines.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections import Counter
 
@@ -19,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
 
-#: Lines of a window, and the characters that a window's sum must reach for a surge.
-WINDOW, SURGE = 3, 86
+#: Lines of a window, the characters that a window's sum must reach for a surge, and the lines between runs that are joined.
+WINDOW, SURGE, GAP = 3, 86, 12
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
@@ -33,6 +38,9 @@ NAMES = READERS | frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs masthead "
     "footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register search social share sharing related recommended recommendations widget widgets pagination pager toolbar copyright".split()
 )
+#: Words that say nothing of what an element with one of the NAMES is, and those that only say what goes with it.
+FILLER = frozenset("box block links list bar area section container wrapper inner outer posts post stories items item site page top bottom left right main".split())
+GOES_WITH = ("has-", "no-", "with-", "without-", "is-")
 
 SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)([^>\"']*)>")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -49,6 +57,7 @@ class Page:
         self.stack: list[tuple[str, bool, bool, int]] = []  # element, dropped?, by readers?, container
         self.count: Counter[str] = Counter()  # elements on the stack, by name
         self.kinds: list[str] = [""]  # containers: article, main, or none for 0
+        self.top: list[int] = [0]  # the container that each lies in, or itself
         self.parts: list[str] = []
         self.linked = 0
         self.in_link = False
@@ -80,25 +89,38 @@ class Page:
             if self.in_link:
                 self.linked += len(text.strip())
 
+    @staticmethod
+    def _left_out(name: str, key: str, token: str, names: frozenset[str], container: int) -> bool:
+        """Whether a class or id says that an element is no text. A heading's or paragraph's id is an anchor; inside an article
+        or main element a class must say nothing else, and an id must be of readers' comments."""
+        words = [w for w in SPLIT.split(token) if w]
+        if not any(w in names for w in words) or key == "id" and name in ENDED:
+            return False
+        if container or name in ENDED:
+            known = names if key == "class" else READERS - {"discussion"}
+            return any(w in known for w in words) and all(w in known or w in NAMES and key == "class" or w in FILLER for w in words)
+        return True
+
     def _open(self, name: str, attrs: str) -> None:
         dropped, readers, container = self._state()
-        words: set[str] = set()
+        named: list[tuple[str, str]] = []
         hidden = False
         if attrs.strip(" /"):
             for m in ATTR.finditer(attrs):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if key in ("class", "id"):
-                    words.update(SPLIT.split(value.lower()))
+                    named += [(key, token) for token in value.lower().split() if not token.startswith(GOES_WITH)]
                 elif key == "role":
                     hidden |= value.lower() in ROLES
                     name = "main" if value.lower() == "main" else name
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     hidden = True
-        own = name not in ("html", "body", "main") and not words.isdisjoint(NAMES)
-        by = readers or name not in ("html", "body") and not words.isdisjoint(READERS)
+        own = name not in ("html", "body", "main") and any(self._left_out(name, key, token, NAMES, container) for key, token in named)
+        by = readers or name not in ("html", "body") and any(self._left_out(name, key, token, READERS, container) for key, token in named)
         if name in ("article", "main") and not by and not hidden and not any(self.count[n] for n in DROPPED):
             if self.kinds[container] != "article":
                 self.kinds.append(name)
+                self.top.append(container if container and not dropped else len(self.top))
                 container = len(self.kinds) - 1
             dropped = False
         else:
@@ -196,48 +218,67 @@ class Page:
                 continue
             at = close + 1
 
-    def main_text(self) -> str:
-        lines = self.lines
-        if not lines:
-            return ""
-        size = [x[1] for x in lines]
-        sums, run = [], 0
-        for i in range(len(size)):
-            run += size[i]
-            if i >= WINDOW:
-                run -= size[i - WINDOW]
-            sums.append(run)  # characters of the window that ends at line i
-        ahead = [sums[min(i + WINDOW - 1, len(sums) - 1)] if i + WINDOW <= len(sums) else sum(size[i:]) for i in range(len(size))]
-        runs, i = [], 0
+    def runs(self) -> list[tuple[int, int]]:
+        """Where the text surges and dives: [first line, line after the last)."""
+        size = [x[1] for x in self.lines]
+        total = [0, *itertools.accumulate(size)]
+        at = lambda i: total[min(max(i, 0), len(size))]
+        ahead = [at(i + WINDOW) - at(i) for i in range(len(size))]  # the window that begins at a line
+        behind = [at(i + 1) - at(i + 1 - WINDOW) for i in range(len(size))]  # the window that ends there
+        found, i = [], 0
         while i < len(size):
-            if ahead[i] >= SURGE and size[i] > 0:  # surge
+            if ahead[i] >= SURGE and size[i] > 0:
                 j = i + 1
-                while j < len(size) and (ahead[j] > 0 and size[j] + sums[j] > 0):
-                    j += 1  # until the dive
-                runs.append((sum(size[i:j]), -i, i, j))
+                while j < len(size) and ahead[j] > 0 and size[j] + behind[j] > 0:
+                    j += 1
+                found.append((i, j))
                 i = j
             else:
                 i += 1
-        weight: dict[int, int] = {}
-        for text, chars, container, _ in lines:
+        return found
+
+    def main_text(self) -> str:
+        lines = self.lines
+        weigh = lambda a, b: sum(x[1] for x in lines[a:b])
+        tops: dict[int, int] = {}
+        for _, chars, container, _ in lines:
             if container:
-                weight[container] = weight.get(container, 0) + chars
-        if runs:
-            _, _, a, b = max(runs)
-            core: dict[int, int] = {}
-            for _, chars, container, _ in lines[a:b]:
-                core[container] = core.get(container, 0) + chars
-            home = max(core, key=lambda c: (core[c], c))
-            if not home and weight and max(weight.values()) >= SURGE:
-                home = max(weight, key=lambda c: (weight[c], -c))
-        else:
-            a, b, home = 0, len(lines), max(weight, key=lambda c: (weight[c], -c)) if weight else 0
+                tops[self.top[container]] = tops.get(self.top[container], 0) + chars
+        heaviest = max(tops, key=lambda c: (tops[c], -c)) if tops else 0
+        runs = self.runs()
+        if not runs:
+            return "\n".join(x[0] for x in lines if not heaviest or self.top[x[2]] == heaviest)
+        core = max(range(len(runs)), key=lambda k: (weigh(*runs[k]), -k))
+        first = last = core
+        while first and self._joined(runs[first - 1][1], runs[first][0]):
+            first -= 1
+        while last + 1 < len(runs) and self._joined(runs[last][1], runs[last + 1][0]):
+            last += 1
+        inside: dict[int, int] = {}
+        for _, chars, container, _ in lines[slice(*runs[core])]:
+            inside[self.top[container]] = inside.get(self.top[container], 0) + chars
+        home = max(inside, key=lambda c: (inside[c], c))
+        if not home and heaviest and tops[heaviest] >= max(SURGE, weigh(*runs[core]) / 2):
+            home = heaviest  # an element that holds as good as all the text is taken before a run that wins by little
         if home:
-            return "\n".join(x[0] for x in lines if x[2] == home)
-        while a > 0 and lines[a - 1][3]:
+            held: dict[int, int] = {}
+            for a, b in runs:
+                for _, chars, container, _ in lines[a:b]:
+                    held[container] = held.get(container, 0) + chars
+            return "\n".join(x[0] for x in lines if self.top[x[2]] == home and (x[2] == home or held.get(x[2], 0) >= SURGE))
+        a, b = runs[first][0], runs[last][1]
+        while lines[a][2]:  # a window reaches over the end of an element that has not the core
+            a += 1
+        while lines[b - 1][2]:
+            b -= 1
+        while a > 0 and lines[a - 1][3] and not lines[a - 1][2]:
             a -= 1
         return "\n".join(x[0] for x in lines[a:b])
 
+    def _joined(self, a: int, b: int) -> bool:
+        """Whether the lines [a, b) between two runs leave them together."""
+        return b - a <= GAP and all(x[3] or x[1] < SURGE // WINDOW for x in self.lines[a:b])
+
 
 def main_text(source: str | None) -> str:
     return Page(source).main_text() if source else ""

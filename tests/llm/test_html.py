@@ -33,6 +33,66 @@ def test_distribution_without_an_article():
     assert got[0] == "Title" and got[1:5] == [LONG] * 4 and not any("link" in x for x in got)
 
 
+def paragraphs(n, text=LONG):
+    return "".join(f"<p>{text} {i}</p>" for i in range(n))
+
+
+def lines(a, b):
+    return [f"{LONG} {i}" for i in range(a, b)]
+
+
+def test_runs_surge_and_dive_as_defined():
+    """Against sums of every window, taken one by one."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        size = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randrange(1, 25))]
+        page = html.Page("")
+        page.lines = [("x" * n, n, 0, False) for n in size]
+        want, i = [], 0
+        window = lambda a: sum(size[max(a, 0) : a + html.WINDOW])
+        while i < len(size):
+            if size[i] and window(i) >= html.SURGE:
+                j = i + 1
+                while j < len(size) and window(j) and size[j] + sum(size[max(0, j - html.WINDOW + 1) : j + 1]):
+                    j += 1
+                want.append((i, j))
+                i = j
+            else:
+                i += 1
+        assert page.runs() == want
+
+
+def test_windows_decide(monkeypatch):
+    """An article of short lines against a body of long ones: the surge is in the body, whatever the article's total."""
+    page = f"<body><article>{paragraphs(3, 'tiny ')}</article><div id='content'>{paragraphs(5)}</div></body>"
+    assert html.main_text(page).split("\n") == lines(0, 5)
+    monkeypatch.setattr(html, "SURGE", 10**9)
+    assert html.main_text(page).split("\n") == ["tiny 0", "tiny 1", "tiny 2"]
+
+
+def test_link_lists_inside_the_text_do_not_end_it():
+    links = "<ul>" + "".join(f"<li><a href={i}>chapter {i}</a></li>" for i in range(6)) + "</ul>"
+    page = f"<body><div class='entry-content has-sidebar'><h1 id='search-algorithms'>Title</h1>{paragraphs(2)}{links}{paragraphs(6)}</div></body>"
+    assert html.main_text(page).split("\n") == ["Title", *lines(0, 2), *[f"chapter {i}" for i in range(6)], *lines(0, 6)]
+
+
+def test_main_with_an_introduction_and_several_articles():
+    page = f"<main><h1>T</h1><p>intro</p><article>{paragraphs(2)}</article><article>{paragraphs(3)}</article><article><p>see also</p></article></main>"
+    assert html.main_text(page).split("\n") == ["T", "intro", *lines(0, 2), *lines(0, 3)]
+
+
+def test_a_teaser_in_an_article_does_not_replace_the_text():
+    page = f"<body><div>{paragraphs(9)}</div><article>{paragraphs(1)}</article></body>"
+    assert set(lines(0, 9)) <= set(html.main_text(page).split("\n"))
+
+
+def test_names_that_only_sound_like_boilerplate_stay():
+    page = f"<article><h2 id='ad-hoc-networks'>A</h2><section id='discussion'>{paragraphs(2)}</section><section id='related-work'><p>r</p></section><div class='social-share'><p>share</p></div><div class='newsletter box'><p>join</p></div></article>"
+    assert html.main_text(page).split("\n") == ["A", *lines(0, 2), "r"]
+
+
 def test_article_is_whole_whatever_its_lines():
     parts = [LONG, "s", "t", "u", "v", "w", LONG, "end"]
     assert html.main_text("<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>").split("\n") == parts
