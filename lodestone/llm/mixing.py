@@ -189,7 +189,7 @@ class Plan:
         return np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), most: int = 3, share: float = 1.0, block_words: int = 1024, shards: int | None = None, seed: int = 7, carry=()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), most: int = 3, share: float = 1.0, block_words: int = 1024, shards: int | None = None, seed: int = 7, carry=(), _prefixed: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, slices and the ``carry`` columns.
 
     ``slices`` lists what the mixture takes of the document: shard, order (the sort key inside the shard, the
@@ -205,7 +205,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_o"), *[F.col(c).alias(f"_carry_{c}") for c in carry],
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_o"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry],
     ).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     buckets = 1024  # a source's order is cut into so many parts, so that no task orders a whole source
     rows = rows.withColumn("_b", F.pmod("_o", F.lit(buckets)))
@@ -246,7 +246,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             more = [pa.array(plan.size[src], pa.int64()), pa.array(np.asarray(goal)[src] if len(src) else [], pa.float64()), pa.array(taken, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + more, names=[*kept, "source_size", "target", "taken", "slices"])
 
-    return placed.select("_s", "_at", *kept).mapInArrow(tidy(cut), schema).withColumnsRenamed({f"_carry_{c}": c for c in carry})
+    out = placed.select("_s", "_at", *kept).mapInArrow(tidy(cut), schema)
+    return out if _prefixed else out.withColumnsRenamed({f"_carry_{c}": c for c in carry})
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs`` as the mixture takes them: the same columns, a row per document and pass, texts cut to the words that the pass takes.
+
+    Defined cases: as of ``mix``; documents of which nothing is taken, empty and null texts among them, are left out; other
+    columns, whatever their names, are carried along as they are.
+    """
+    carried = [c for c in docs.columns if c != id_col and (c != source_col or docs.schema[c].dataType != T.StringType())]
+    rows = mixed_texts(mix(docs, id_col, text_col, source_col, carry=carried, _prefixed=True, **how), f"_carry_{text_col}")
+    names = {id_col: "doc_id"} | ({} if source_col in carried else {source_col: "source"})
+    return rows.select(*[F.col(f"`{names.get(c, f'_carry_{c}')}`").alias(c) for c in docs.columns])
 
 
 def dealt(mixed: DataFrame) -> DataFrame:

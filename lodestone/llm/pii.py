@@ -306,8 +306,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with every span in ``text_col`` replaced by its kind in brackets; where spans overlap, the earlier and longer one counts."""
     small_batches(docs.sparkSession)
     base = found(docs, id_col, text_col)
-    terms = disclosing(docs, base, text_col).withColumnRenamed("tk", "__ls_tk")
-    rows = docs.withColumn("__ls_key", text_key(text_col)).join(terms, F.col("__ls_key") == F.col("__ls_tk"), "left").drop("__ls_key", "__ls_tk").withColumnRenamed("terms", "__ls_terms")
+    terms = disclosing(docs, base, text_col).select(F.col("tk").alias("__ls_tk"), F.col("terms").alias("__ls_terms"))
+    rows = docs.withColumn("__ls_key", text_key(text_col)).join(terms, F.col("__ls_key") == F.col("__ls_tk"), "left").drop("__ls_key", "__ls_tk")
     names = docs.columns
     at = names.index(text_col)
 

@@ -214,6 +214,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(*training_rows(docs, labels, id_col, text_col, per_class, chars))
 
 
+def accepted(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with all their columns as they are.
+
+    Defined cases: as of ``classify``; a null text is scored as an empty one and stays null; repeated rows are judged alike.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    blob = spark.sparkContext.broadcast(pickle.dumps(net.p))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        net = Net()
+        net.p = pickle.loads(blob.value)
+        for batch in batches:
+            score = net.score([(t or "").encode("utf-8") for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(np.asarray(score, np.float64) >= THRESHOLD))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
+
+
 def classify(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep_cols=()) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted and the ``keep_cols``.
 

@@ -53,3 +53,35 @@ def test_each_stage_decides(stages, spark):
 def test_run_equals_its_stages(stages, spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert sorted((r["doc_id"], r["n_tokens"]) for r in got.collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in stages[-1][1].collect())
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_awkward_tables(number, awkward, clashing, empty, spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, an empty table, and extra columns named as the stages' own."""
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no sample tables")
+    extra = clashing.withColumn("documents", clashing["n_chars"])
+    results = []
+    for docs in (awkward, extra, empty):
+        stage = corpus_pipeline.STAGES[number][1]
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / str(len(results))))
+        got = spark.read.parquet(str(tmp_path / str(len(results))))
+        results.append(got)
+        if number < 4:
+            assert got.columns == docs.columns and dict(got.dtypes) == dict(docs.dtypes)
+        else:
+            assert got.columns == ["doc_id", "ids", "n_tokens"]
+    plain, wide, none = results
+    assert none.count() == 0
+    assert sorted(map(str, wide.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    if number < 4:
+        assert wide.filter("bucket is null or bucket <> 'clash' or score <> 'clash' or target <> 'clash'").count() == 0
+    rows = [r["text"] for r in plain.collect()] if number < 4 else []
+    if number == 1:
+        assert sum(not t for t in rows) == 1 and rows.count("one") == 1
+    if number == 2:
+        assert len(rows) == awkward.count() and sum(t is None for t in rows) == 2
+    if number == 3:
+        assert rows and all(t and t.strip() for t in rows)
+    if number == 4:
+        assert plain.count() == awkward.count()
