@@ -10,34 +10,51 @@ from lodestone.llm.common import keep, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on labelled rows of these documents, does not reject."""
-    net = quality.train(docs, table(spark, sf_dir, "labels"))
-    others = [c for c in docs.columns if c != "doc_id"]
-    return quality.classify(docs, net, keep_cols=others).filter("predicted = 1").select(docs.columns)
+    """Documents that the quality classifier, trained on labelled rows of these documents, does not reject.
+
+    Defined cases: null and empty texts are scored as empty ones; repeated rows are judged alike; without labelled rows of both
+    kinds all rows get one verdict, that of the kind there is, and stay where there is none; columns stay as they are.
+    """
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, the one with the least doc_id.
+
+    Defined cases: null and empty texts are equal; rows that share doc_id and text are one; columns stay as they are.
+    """
     return neardup.one_of_each(docs)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without personal data or the terms that disclose it."""
-    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Texts without personal data or the terms that disclose it; n_chars is that of the new text.
+
+    Defined cases: a null text stays null, and so its n_chars; rows, ids and other columns stay as they are.
+    """
+    return _counted(pii.sanitise(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, or the parts of them, that the mixture takes, once for each pass."""
-    carried = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows = mixing.mixed_texts(mixing.mix(docs, carry=carried))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """The documents, or the parts of them, that the mixture takes, once for each pass; n_chars is that of the part.
+
+    Defined cases: documents without words are not taken; a null source is a source; other columns stay as they are.
+    """
+    return _counted(mixing.mixture(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text."""
+    """Ids of every text: doc_id, ids, n_tokens.
+
+    Defined cases: a null text is empty; every row has a row of its own; other columns are left out.
+    """
     return bpe.encode(docs, decoded=False).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars, where there is such a column, as the texts are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 STAGES = [("quality", good), ("near_duplicates", distinct), ("pii", sanitised), ("mixing", mixed), ("bpe", encoded)]
 
 #: Training, sampling and merging can't be said in SQL; tests hold the stages against brute force.
