@@ -2,34 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 
 
-@dataclass
-class Limits:
-    """How many items a batch takes, and how many tokens after padding to the longest."""
+def packed(lengths: list[int], items: int, tokens: int) -> Iterator[np.ndarray]:
+    """Positions in batches of like lengths: at most ``items`` each, at most ``tokens`` after padding, but one item at least.
 
-    max_items: int
-    max_padded_tokens: int
-
-    def reduced(self) -> "Limits":
-        return Limits(max(1, self.max_items // 2), max(1, self.max_padded_tokens // 2))
-
-    def batches(self, lengths: list[int]):
-        """Positions in batches, like lengths together; each batch holds one item at least."""
-        batch: list[int] = []
-        longest = 0
-        for i in sorted(range(len(lengths)), key=lengths.__getitem__):
-            wide = max(longest, lengths[i])
-            if batch and (len(batch) >= max(1, self.max_items) or wide * (len(batch) + 1) > self.max_padded_tokens):
-                yield batch
-                batch, wide = [], lengths[i]
-            batch.append(i)
-            longest = wide
-        if batch:
-            yield batch
+    In ascending order the last of a batch is its widest, so what a batch costs grows with its end: the end is looked up.
+    """
+    order = np.argsort(lengths, kind="stable")
+    ascending = np.asarray(lengths, np.int64)[order]
+    begin = 0
+    while begin < len(order):
+        ahead = ascending[begin : begin + max(1, items)]
+        fit = np.searchsorted(ahead * np.arange(1, len(ahead) + 1), tokens, side="right")
+        end = begin + max(1, int(fit))
+        yield order[begin:end]
+        begin = end
 
 
 def padded(ids: list[list[int]], pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -64,23 +55,21 @@ def pooled(states: np.ndarray, mask: np.ndarray, how: str = "cls") -> np.ndarray
     return unit(total)
 
 
-def embed_all(ids: list[list[int]], infer, limits: Limits, dimensions: int) -> np.ndarray:
-    """Vectors in the order of the inputs; a batch that does not fit the memory is tried again with halved limits."""
+def embed_all(ids: list[list[int]], infer, items: int, tokens: int, dimensions: int) -> np.ndarray:
+    """Vectors in the order of the inputs; what does not fit the memory is cut in two, and later batches are no larger than the halves."""
     out = np.zeros((len(ids), dimensions), np.float32)
-    todo = list(range(len(ids)))
-    while todo:
-        batch = next(limits.batches([len(ids[i]) for i in todo]))
+    waiting = np.arange(len(ids))
+    while len(waiting):
+        some = waiting[next(packed([len(ids[i]) for i in waiting], items, tokens))]
         try:
-            got = infer(*padded([ids[todo[b]] for b in batch]))
+            out[some] = infer(*padded([ids[i] for i in some]))
         except MemoryError:
-            if len(batch) == 1:
+            if len(some) == 1:
                 raise
-            limits = limits.reduced()
+            items = len(some) // 2
+            tokens = max(1, items * max(len(ids[i]) for i in some))
             continue
-        for b, v in zip(batch, got):
-            out[todo[b]] = v
-        taken = set(batch)
-        todo = [i for k, i in enumerate(todo) if k not in taken]
+        waiting = np.setdiff1d(waiting, some, assume_unique=True)
     return out
 
 

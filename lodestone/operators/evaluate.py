@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CUTOFF = 10
@@ -71,17 +71,35 @@ def bootstrap(values: DataFrame, value: str, order: str, replicates: int, seed:
     return draws.join(F.broadcast(numbered), "position").groupBy("replicate").agg(F.avg(value).alias("mean"))
 
 
-def rejection_indices(corpus_hash: str, seed: int, label: str, count: int, replicates: int) -> list[int]:
-    """Bootstrap indices from a stream of SHA-256 digests, four 64-bit numbers each, those that would bias the modulo rejected."""
-    import hashlib
-
-    if not 1 <= count <= 100_000 or replicates < 1:
-        raise ValueError("invalid bootstrap shape")
-    fair = (1 << 64) // count * count
-    prefix, out, block = "\0".join([label, str(seed), corpus_hash, ""]).encode(), [], 0
-    while len(out) < count * replicates:
-        digest = hashlib.sha256(prefix + block.to_bytes(8, "little")).digest()
-        numbers = [int.from_bytes(digest[i : i + 8], "little") for i in range(0, 32, 8)]
-        out += [x % count for x in numbers if x < fair]
-        block += 1
-    return out[: count * replicates]
+# Fixed values of the digest stream: what separates the key's parts, and the numbers that a digest holds.
+KEY_END, NUMBERS, NUMBER_HEX = b"\0", 4, 16
+#: Numbers generated beyond those needed, in place of rejected ones; one in 2^64 / queries is rejected.
+SPARE = 64
+
+
+def digest_numbers(spark: SparkSession, key: list[str], bound: int, need: int) -> DataFrame:
+    """The first ``need`` fair numbers (at, number) of a key's stream: those below the last multiple of ``bound``.
+
+    Number k of the stream is a quarter of the SHA-256 digest of the key and of k / 4, little-endian throughout. Numbers that
+    are left out make those behind them move up; of their places, which are hardly ever any, all tasks know.
+    """
+    head = b"".join(part.encode() + KEY_END for part in key)
+    backwards = lambda text: F.concat(*[F.substring(text, NUMBER_HEX - 1 - i, 2) for i in range(0, NUMBER_HEX, 2)])
+    block = F.unhex(backwards(F.lpad(F.hex("id"), NUMBER_HEX, "0")))
+    digest = F.sha2(F.concat(F.unhex(F.lit(head.hex())), block), 256)
+    parts = F.array(*[F.substring(F.col("_d"), 1 + NUMBER_HEX * i, NUMBER_HEX) for i in range(NUMBERS)])
+    stream = spark.range(-(-(need + SPARE) // NUMBERS)).withColumn("_d", digest).select("id", F.posexplode(parts).alias("_i", "_x"))
+    stream = stream.select((F.col("id") * NUMBERS + F.col("_i")).alias("_k"), F.conv(backwards(F.col("_x")), 16, 10).cast("decimal(20,0)").alias("number"))
+    fair = F.col("number") < F.lit(str((1 << 64) // bound * bound)).cast("decimal(20,0)")
+    lost = stream.filter(~fair).agg(F.collect_list("_k").alias("_lost"))
+    at = F.col("_k") - F.size(F.filter("_lost", lambda x: x < F.col("_k")))
+    return stream.filter(fair).join(F.broadcast(lost)).select(at.alias("at"), "number").filter(F.col("at") < need)  # one row
+
+
+def digest_draws(spark: SparkSession, key: list[str], queries: int, replicates: int) -> DataFrame:
+    """Draws of a bootstrap (replicate, slot, position): ``replicates`` times ``queries`` positions, without bias to low ones."""
+    if not 1 <= queries < 1 << 31 or replicates < 1:
+        raise ValueError("a bootstrap draws from one query at least, once at least")
+    at = F.col("at")
+    numbers = digest_numbers(spark, key, queries, queries * replicates)
+    return numbers.select(F.floor(at / queries).cast("long").alias("replicate"), (at % queries).cast("long").alias("slot"), (F.col("number") % F.lit(queries)).cast("long").alias("position"))

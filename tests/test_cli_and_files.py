@@ -57,9 +57,10 @@ def test_unpacked(tmp_path):
 
 
 def test_packing():
-    assert list(batching.Limits(9, 100).batches([10, 30, 90])) == [[0, 1], [2]]
-    assert list(batching.Limits(1, 1).batches([5, 5])) == [[0], [1]]
-    assert batching.Limits(1, 1).reduced() == batching.Limits(1, 1)
+    some = lambda *a: [list(map(int, b)) for b in batching.packed(*a)]
+    assert some([10, 30, 90], 9, 100) == [[0, 1], [2]]
+    assert some([5, 5], 1, 1) == [[0], [1]] and some([], 4, 10) == []
+    assert some([7, 1, 7, 2], 9, 14) == [[1, 3], [0, 2]]
 
 
 def test_pooling():
@@ -80,7 +81,7 @@ def test_embedding_keeps_order_and_halves():
             raise MemoryError
         return [[float(m.sum())] for m in mask]
 
-    got = batching.embed_all([[1] * n for n in (5, 1, 4, 2, 3)], infer, batching.Limits(4, 1000), 1)
+    got = batching.embed_all([[1] * n for n in (5, 1, 4, 2, 3)], infer, 4, 1000, 1)
     assert got.ravel().tolist() == [5, 1, 4, 2, 3] and max(calls) == 4 and min(calls) <= 2
 
 

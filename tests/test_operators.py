@@ -88,11 +88,28 @@ def test_seeded_rank_is_length_prefixed(spark):
     assert spark.createDataFrame([("é1",)], "id string").select(ids.seeded_rank("seed", "query", "id")).first()[0] == want
 
 
-def test_bootstrap_stream():
-    got = evaluate.rejection_indices("h", 7, "label", 10, 100)
-    assert len(got) == 1000 and set(got) == set(range(10)) and got == evaluate.rejection_indices("h", 7, "label", 10, 100)
+def test_digest_draws(spark):
+    import hashlib
+
+    def number(k):
+        digest = hashlib.sha256(b"label\x007\0h\0" + (k // 4).to_bytes(8, "little")).digest()
+        return int.from_bytes(digest[k % 4 * 8 :][:8], "little")
+
+    got = evaluate.digest_draws(spark, ["label", "7", "h"], 10, 30).orderBy("replicate", "slot").collect()
+    assert [tuple(r) for r in got] == [(k // 10, k % 10, number(k) % 10) for k in range(300)]
     with pytest.raises(ValueError):
-        evaluate.rejection_indices("h", 7, "label", 0, 1)
+        evaluate.digest_draws(spark, ["label", "7", "h"], 0, 1)
+
+
+def test_digest_draws_leave_out_what_would_favour_low_positions(spark):
+    import hashlib
+
+    queries = (1 << 63) + 1  # nearly half of all numbers are rejected
+    raw = [int.from_bytes(hashlib.sha256(b"x\0" + b.to_bytes(8, "little")).digest()[i : i + 8], "little") for b in range(17) for i in (0, 8, 16, 24)]
+    fair = [x for x in raw if x < queries]
+    assert 5 < len(fair) < len(raw)
+    numbers = evaluate.digest_numbers(spark, ["x"], queries, 5).orderBy("at").collect()
+    assert [int(r["number"]) for r in numbers] == fair[:5]
 
 
 def test_sampling(spark):
