@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def window_count(n: Column, capacity: int, overlap: int) -> Column:
@@ -22,6 +25,22 @@ def windows(rows: DataFrame, count_col: str, capacity: int, overlap: int) -> Dat
     return made.withColumn("token_start", F.col("ordinal") * step).withColumn("token_end", F.least(F.col("token_start") + capacity, n)).drop("_w")
 
 
+def with_offsets(rows: DataFrame, offsets: Callable[[str], list[tuple[int, int]]], text_col: str = "text") -> DataFrame:
+    """``rows`` with the byte ranges of their texts' tokens; null and blank texts have none. Tokenizers run in Arrow batches."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("offsets", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        for batch in batches:
+            found = [offsets(t) if t and t.strip() else [] for t in batch.column(text_col).to_pylist()]
+            made = pa.array([[{"s": a, "e": b} for a, b in x] for x in found], pair)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "offsets"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def chunks(rows: DataFrame, capacity: int, overlap: int, text_col: str = "text", offsets_col: str = "offsets", ids_col: str | None = None, frame: tuple[int, int] = (0, 2)) -> DataFrame:
     """Windows with their byte ranges and texts, from byte offsets (array of struct s, e) of the tokens.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import chunking, search, sync
 from .catalogue import Tables, query
+from .engine import word_offsets
 
 CAPACITY, OVERLAP = 100, 20
 TOKENS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}\p{Co}]+')"
@@ -50,19 +51,18 @@ def chunk_ids(t):
     return _windows(t).select("doc_id", "ordinal", ids.chunk_id(doc, F.lit("r1"), "ordinal", "text").alias("chunk_id"))
 
 
-@query("""
-WITH words AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS ws FROM documents WHERE text = regexp_replace(trim(text, ' '), '[ \\t\\n\\r]', ' ', 'g') AND text NOT LIKE '%  %' AND text <> ''),
-w AS (SELECT doc_id, text, ws, len(ws) AS n, unnest(range(0, CASE WHEN len(ws) <= 40 THEN 1 ELSE CAST(ceil((len(ws) - 40) / 32.0) AS BIGINT) + 1 END)) AS ordinal FROM words),
+@query(r"""
+WITH words AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x09-\x0d ]+') AS ws, regexp_extract_all(text, '[\x09-\x0d ]*[^\x09-\x0d ]+') AS ps FROM documents),
+w AS (SELECT *, len(ws) AS n, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= 40 THEN 1 ELSE CAST(ceil((len(ws) - 40) / 32.0) AS BIGINT) + 1 END)) AS ordinal FROM words),
 p AS (SELECT *, ordinal * 32 AS a, least(ordinal * 32 + 40, n) AS b FROM w)
 SELECT doc_id, ordinal, a AS token_start, b AS token_end,
-  CAST(CASE WHEN ordinal = 0 THEN 0 ELSE octet_length(encode(array_to_string(ws[1:a], ' '))) + 1 END AS BIGINT) AS byte_start,
-  CAST(CASE WHEN b = n THEN octet_length(encode(text)) ELSE octet_length(encode(array_to_string(ws[1:b], ' '))) + 1 END AS BIGINT) AS byte_end, sha256(array_to_string(ws[a + 1 : b], ' ') || CASE WHEN b = n THEN '' ELSE ' ' END) AS chunk_hash
+  CAST(CASE WHEN ordinal = 0 THEN 0 ELSE octet_length(encode(array_to_string(ps[1:a + 1], ''))) - octet_length(encode(ws[a + 1])) END AS BIGINT) AS byte_start,
+  CAST(CASE WHEN b = n THEN octet_length(encode(text)) ELSE octet_length(encode(array_to_string(ps[1:b + 1], ''))) - octet_length(encode(ws[b + 1])) END AS BIGINT) AS byte_end,
+  sha256(CASE WHEN ordinal = 0 THEN ps[1] ELSE ws[a + 1] END || array_to_string(ps[a + 2:b], '') || CASE WHEN b = n THEN regexp_extract(text, '[\x09-\x0d ]*$') ELSE left(ps[b + 1], length(ps[b + 1]) - length(ws[b + 1])) END) AS chunk_hash
 FROM p
 """)
 def text_chunks(t):
-    rows = t.documents.filter("text = regexp_replace(trim(text), '[ \\\\t\\\\n\\\\r]', ' ') and text not like '%  %' and text <> ''").select("doc_id", "text", F.split("text", " ").alias("ws"))
-    ends = F.aggregate(F.transform("ws", lambda w: F.octet_length(w)), F.array(F.lit(-1)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + 1 + x)))
-    rows = rows.withColumn("_e", ends).withColumn("offsets", F.zip_with(F.slice("_e", 1, F.size("ws")), F.slice("_e", 2, F.size("ws")), lambda s, e: F.struct((s + 1).alias("s"), e.alias("e"))))
+    rows = chunking.with_offsets(t.documents.select("doc_id", "text"), word_offsets)
     out = chunking.chunks(rows, 40, 8)
     return out.select("doc_id", "ordinal", "token_start", "token_end", "byte_start", "byte_end", ids.sha256_text("chunk_text").alias("chunk_hash"))
 

@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, vectors
+from ..functions import batching, ids, vectors
 from ..operators import chunking, dense, lexical, search, sync
 from ..sources import extractors, inputs
 from .store import Snapshot, Store, StoreError
 
 Embed = Callable[[list[str]], list[list[float]]]
 KEPT_RUNS, KEPT_FAILURES = 100, 1000
+#: What an embedder gets at once: texts, and letters when all are as long as the longest.
+BATCH_ITEMS, BATCH_LETTERS = 64, 1 << 18
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
@@ -69,20 +71,21 @@ class Engine:
                     expanded = inputs.expand(name)
                 except inputs.InputError as e:
                     failures.append((name, "input_failed", str(e)))
+                    counts["failed"] += 1
                     continue
                 for one in expanded:
                     try:
                         root = inputs.prepare(one, self.most, stdin=stdin)
                     except (inputs.InputError, OSError) as e:
                         failures.append((one, next((c for c in sync.ERROR_CODES if c in str(e)), sync.OTHER_ERROR), str(e)))
+                        counts["failed"] += 1
                         continue
-                    failures += self._ingest_root(root, run, counts, fail_fast)
-                    if fail_fast and failures:
+                    failures += self._ingest_root(root, run, counts, fail_fast)[: KEPT_FAILURES - len(failures)]
+                    if fail_fast and counts["failed"]:
                         break
-                if fail_fast and failures:
+                if fail_fast and counts["failed"]:
                     break
-            counts["failed"] = len(failures)
-            entry = {"id": run, "kind": "ingest", "status": "partial" if failures else "completed", "started_at": started, "finished_at": datetime.now(timezone.utc).isoformat(), "counts": counts}
+            entry = {"id": run, "kind": "ingest", "status": "partial" if counts["failed"] else "completed", "started_at": started, "finished_at": datetime.now(timezone.utc).isoformat(), "counts": counts}
             self._record(entry, failures)
         return counts
 
@@ -98,12 +101,14 @@ class Engine:
     def _ingest_root(self, root: inputs.Root, run: str, counts: dict, fail_fast: bool) -> list[tuple[str, str, str]]:
         now = self.store.snapshot()
         manifest, recipe = now.manifest, self.recipe(root)
-        found = extractors.extracted(inputs.items(self.spark, [root]), self.most, self.custom)
+        stored, old_chunks = now.table("documents", [root.id]), now.table("chunks", [root.id])
+        items = inputs.items(self.spark, [root]).withColumn("document_id", ids.document_id("source_root_id", "uri"))
+        known = stored.filter(F.col("recipe") == recipe).select("document_id", F.struct("content_hash", "media_type", "extractor", "metadata").alias("known"))
+        found = extractors.extracted(items.join(known, "document_id", "left"), self.most, self.custom)
         found = self._kept(found.withColumn("document_id", ids.document_id("source_root_id", "uri")).withColumn("recipe", F.lit(recipe)), "found")
-        failed = [(r["uri"], r["code"], r["error"]) for r in found.filter("error is not null").select("uri", sync.error_code(F.col("error")).alias("code"), "error").limit(KEPT_FAILURES).collect()]
+        failed = self._failures(found.filter("error is not null").select("uri", "error"), counts)
         if failed and fail_fast:
             return failed
-        stored, old_chunks = now.table("documents", [root.id]), now.table("chunks", [root.id])
         state = sync.outcomes(stored, found.filter("error is null"), ["content_hash", "recipe", "metadata"])
         changed = state.filter("outcome <> 'unchanged'")
         docs = changed.select(
@@ -116,9 +121,12 @@ class Engine:
             generation = 1
             manifest = manifest | {"generations": [{"id": 1, "status": "active"}], "models": [{"id": self.model, "dimensions": self.dimensions}]}
         new_vectors = self._kept(self._embedded(made, generation), "vectors")
-        wrong = new_vectors.filter(~vectors.is_unit("embedding", self.dimensions)).limit(1).count()
-        if wrong or new_vectors.count() != made.count():
-            return [*failed, (root.identity, sync.OTHER_ERROR, "vectors are missing or not of unit length")]
+        # a document with a chunk that got no vector keeps its old state
+        faulty = self._kept(new_vectors.filter("error is not null").groupBy("document_id").agg(F.min("error").alias("error")), "faulty")
+        failed += self._failures(docs.join(faulty, "document_id").select("uri", "error"), counts)
+        if failed and fail_fast:
+            return failed
+        docs, made, new_vectors = (rows.join(faulty.select("document_id"), "document_id", "left_anti") for rows in (docs, made, new_vectors))
         gone = sync.pruned(stored, found, root.id, complete=root.directory is not None and root.complete)
         seen = found.select("document_id", F.lit(run).alias("_seen"))  # failed items were seen too
         next_docs = sync.replaced(stored, docs.drop("text"), gone).join(seen, "document_id", "left").withColumn("last_seen_run", F.coalesce("_seen", "last_seen_run"))
@@ -127,7 +135,7 @@ class Engine:
         parts = {"documents": {root.id: next_docs}, "chunks": {root.id: next_chunks}, "embeddings": {}}
         key = f"{generation}/{root.id}"
         old = now.table("embeddings", [key])
-        parts["embeddings"][key] = old.join(next_chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").unionByName(new_vectors)
+        parts["embeddings"][key] = old.join(next_chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").unionByName(new_vectors.select("chunk_id", "generation_id", "embedding"))
         counts["documents"] += docs.count()
         counts["chunks"] += made.count()
         counts["unchanged"] += state.filter("outcome = 'unchanged'").count()
@@ -137,6 +145,12 @@ class Engine:
         self.store.commit(manifest | {"roots": manifest["roots"] | {root.id: entry}}, parts)
         return failed
 
+    def _failures(self, rows: DataFrame, counts: dict) -> list[tuple[str, str, str]]:
+        """The first failures (uri, error) with their codes; all of them are counted."""
+        counts["failed"] += rows.count()
+        first = rows.select("uri", sync.error_code(F.col("error")).alias("code"), "error").orderBy("uri").limit(KEPT_FAILURES)
+        return [tuple(r) for r in first.collect()]
+
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         """Written under the store once, so that what follows reads one result."""
         import uuid
@@ -146,55 +160,71 @@ class Engine:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def _chunks(self, docs: DataFrame) -> DataFrame:
-        offsets = self.offsets
-
-        def run(batches):
-            for batch in batches:
-                found = [offsets(t) if t and t.strip() else [] for t in batch.column("text").to_pylist()]
-                pairs = pa.array([[{"s": a, "e": b} for a, b in x] for x in found], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pairs)], names=[*batch.schema.names, "offsets"])
-
         rows = docs.select("document_id", "source_root_id", "media_type", "recipe", "text")
-        tokened = rows.mapInArrow(run, "document_id string, source_root_id string, media_type string, recipe string, text string, offsets array<struct<s:int,e:int>>")
-        w = chunking.chunks(tokened, self.capacity, self.overlap)
+        w = chunking.chunks(chunking.with_offsets(rows, self.offsets), self.capacity, self.overlap)
         return w.select(
             ids.chunk_id("document_id", "recipe", "ordinal", "chunk_text").alias("chunk_id"), "document_id", "source_root_id", "media_type", "ordinal", F.col("chunk_text").alias("text"), "token_start", "token_end", "byte_start", "byte_end",
             ids.sha256_text("chunk_text").alias("chunk_hash"),
         )
 
     def _embedded(self, chunks: DataFrame, generation: int) -> DataFrame:
-        embed = self.embed
+        """Vectors of chunks, in batches of like lengths; where a batch fails, its texts are tried alone, and ``error`` says why one has none.
+
+        Vectors of a wrong size or length are errors too.
+        """
+        embed, dimensions = self.embed, self.dimensions
+
+        def vector(text: str) -> tuple[list | None, str | None]:
+            try:
+                (found,) = embed([text])
+                return found, None
+            except Exception as e:  # noqa: BLE001  a text's failure belongs to its document
+                return None, str(e) or type(e).__name__
 
         def run(batches):
             for batch in batches:
                 texts = batch.column("text").to_pylist()
-                order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # like lengths together, results in their old places
-                got = embed([texts[i] for i in order]) if texts else []
-                out: list = [None] * len(texts)
-                for i, v in zip(order, got):
-                    out[i] = v
-                yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array([generation] * len(texts), pa.int64()), pa.array(out, pa.list_(pa.float32()))], names=["chunk_id", "generation_id", "embedding"])
+                out: list = [(None, None)] * len(texts)
+                for some in batching.packed([len(t) for t in texts], BATCH_ITEMS, BATCH_LETTERS):
+                    try:
+                        got = [(v, None) for v in embed([texts[i] for i in some])]
+                    except Exception:  # noqa: BLE001  the texts of the batch are tried alone
+                        got = []
+                    for i, x in zip(some, got if len(got) == len(some) else [vector(texts[i]) for i in some]):
+                        out[i] = x
+                columns = [batch.column("chunk_id"), batch.column("document_id"), pa.array([generation] * len(texts), pa.int64()), pa.array([v for v, _ in out], pa.list_(pa.float32())), pa.array([e for _, e in out], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "document_id", "generation_id", "embedding", "error"])
 
-        return chunks.select("chunk_id", "text").mapInArrow(run, "chunk_id string, generation_id long, embedding array<float>")
+        made = chunks.select("chunk_id", "document_id", "text").mapInArrow(run, "chunk_id string, document_id string, generation_id long, embedding array<float>, error string")
+        fault = F.when(~vectors.is_unit("embedding", dimensions), F.coalesce("error", F.lit("the vector is not of unit length")))
+        return made.withColumn("error", fault)
 
     def rebuild(self, activate: bool = True) -> int:
-        """A shadow generation: only missing vectors are made, and it becomes active once it covers every chunk."""
+        """A shadow generation: only missing vectors are made, and it becomes active once it covers every chunk. A run tells how it went."""
         with self.store.writer():
             now = self.store.snapshot()
             building = now.generation("building")
-            manifest = now.manifest
             if building is None:
-                building = max([g["id"] for g in manifest["generations"]], default=0) + 1
-                manifest = manifest | {"generations": manifest["generations"] + [{"id": building, "status": "building"}]}
-            for root in sorted(manifest["roots"]):
+                building = max([g["id"] for g in now.manifest["generations"]], default=0) + 1
+                now = self.store.commit(now.manifest | {"generations": now.manifest["generations"] + [{"id": building, "status": "building"}]}, {})
+            started = datetime.now(timezone.utc).isoformat()
+            entry = {"id": hashlib.sha256(f"{started}{building}".encode()).hexdigest()[:32], "kind": "rebuild", "started_at": started}
+            counts, failures = {"chunks": 0, "failed": 0}, []
+            self._record(entry | {"status": "running", "counts": counts})
+            for root in sorted(now.manifest["roots"]):
+                now = self.store.snapshot()
                 key = f"{building}/{root}"
                 have = now.table("embeddings", [key])
                 missing = sync.missing_vectors(now.table("chunks", [root]), have, building)
-                made = have.unionByName(self._embedded(missing, building))
-                now = self.store.commit(manifest, {"embeddings": {key: made}})
-                manifest = now.manifest
+                made = self._kept(self._embedded(missing, building), "vectors")
+                failures += self._failures(made.filter("error is not null").select(F.col("chunk_id").alias("uri"), "error"), counts)[: KEPT_FAILURES - len(failures)]
+                good = made.filter("error is null").select("chunk_id", "generation_id", "embedding")
+                counts["chunks"] += good.count()
+                self.store.commit(now.manifest, {"embeddings": {key: have.unionByName(good)}})
+            ended = entry | {"status": "partial" if counts["failed"] else "completed", "finished_at": datetime.now(timezone.utc).isoformat(), "counts": counts}
+            self._record(ended, failures)
             if activate:
-                self._activate(now, building)
+                self._activate(self.store.snapshot(), building)
         return building
 
     def _activate(self, now: Snapshot, generation: int) -> None:

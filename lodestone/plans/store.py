@@ -9,6 +9,7 @@ what it touches only. All paths go through Spark's file systems.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 
@@ -21,6 +22,8 @@ TABLES = {
     "embeddings": "chunk_id string, generation_id long, embedding array<float>",
 }
 STATES = ("building", "active", "retired")
+#: Locks are files with this name and a number; an owner that does not touch its lock for so many seconds has lost it.
+LOCK, LEASE = "_LOCK-", 60.0
 
 
 class StoreError(Exception):
@@ -58,10 +61,21 @@ class Files:
         options[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri() if self.base.count(":") else self.fs.getUri(), self.conf).rename(aside, self._path(name), options)
 
-    def lock(self, name: str) -> bool:
+    def create(self, name: str) -> bool:
+        """Make an empty file; False if there is one already."""
         self.fs.mkdirs(self._path(""))
         return self.fs.createNewFile(self._path(name))
 
+    def ages(self, prefix: str) -> dict[str, float]:
+        """Files whose names begin so, with the seconds since they were last touched."""
+        if not self.fs.exists(self._path("")):
+            return {}
+        found = [f for f in self.fs.listStatus(self._path("")) if f.getPath().getName().startswith(prefix)]
+        return {f.getPath().getName(): time.time() - f.getModificationTime() / 1000 for f in found}
+
+    def touch(self, name: str) -> None:
+        self.fs.setTimes(self._path(name), int(time.time() * 1000), -1)
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
@@ -113,7 +127,7 @@ class Store:
         return _Writer(self.files, wait)
 
     def commit(self, manifest: dict, changes: dict[str, dict[str, DataFrame | None]]) -> Snapshot:
-        """Write the changed parts of tables (None drops a part), then make the new manifest current."""
+        """Write the changed parts of tables (None drops a part), then make the new manifest current; ``manifest`` must be of the current version."""
         tables = {t: dict(parts) for t, parts in manifest["tables"].items()}
         for name, parts in changes.items():
             for key, rows in parts.items():
@@ -124,23 +138,48 @@ class Store:
                 path = f"{name}/{key}/{uuid.uuid4().hex}"
                 rows.select(*columns).write.parquet(f"{self.base}/{path}")
                 tables[name][key] = path
+        if self.snapshot().manifest["version"] != manifest["version"]:
+            raise StoreError("another writer has committed")
         new = manifest | {"tables": tables, "version": manifest["version"] + 1}
         self.files.replace("_CURRENT", json.dumps(new, sort_keys=True))
         return Snapshot(self.spark, self.base, new)
 
 
 class _Writer:
-    """One writer at a time; a second one waits briefly, then fails."""
+    """One writer at a time; a second one waits briefly, then fails.
+
+    A lock is a file with a number, which its owner touches while it works. One that was not touched for LEASE seconds
+    belongs to a writer that is gone: whoever first makes the file with the next number takes over. A writer that
+    was only slow finds another version when it commits, and fails then.
+    """
 
     def __init__(self, files: Files, wait: float):
-        self.files, self.wait = files, wait
+        self.files, self.wait, self.ended = files, wait, threading.Event()
 
     def __enter__(self):
         end = time.monotonic() + self.wait
-        while not self.files.lock("_LOCK"):
+        while not (mine := self._taken()):
             if time.monotonic() > end:
                 raise StoreError("another writer holds the lock")
             time.sleep(0.05)
+        self.name = mine
+        self.beat = threading.Thread(target=self._touch, daemon=True)
+        self.beat.start()
+
+    def _taken(self) -> str | None:
+        ages = {int(name[len(LOCK) :]): age for name, age in self.files.ages(LOCK).items()}
+        last = max(ages, default=0)
+        if ages and ages[last] < LEASE or not self.files.create(f"{LOCK}{last + 1}"):
+            return None
+        for n in ages:
+            self.files.delete(f"{LOCK}{n}")
+        return f"{LOCK}{last + 1}"
+
+    def _touch(self) -> None:
+        while not self.ended.wait(LEASE / 4):
+            self.files.touch(self.name)
 
     def __exit__(self, *_):
-        self.files.delete("_LOCK")
+        self.ended.set()
+        self.beat.join()
+        self.files.delete(self.name)

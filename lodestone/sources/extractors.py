@@ -221,7 +221,11 @@ SCHEMA = "source_root_id string, uri string, extension string, modified_ns strin
 
 
 def extracted(items, most: int = 64 << 20, custom: dict[str, list[str]] | None = None):
-    """Items (see ``inputs.items``) read and extracted; a failure is a message in ``error``, and the row stays."""
+    """Items (see ``inputs.items``) read and extracted; a failure is a message in ``error``, and the row stays.
+
+    A column ``known`` (content_hash, media_type, extractor, metadata) may tell what was extracted before: bytes with that hash, and
+    items whose own metadata is as it was, are not extracted again, and have no text.
+    """
     import hashlib
 
     import pyarrow as pa
@@ -240,8 +244,12 @@ def extracted(items, most: int = 64 << 20, custom: dict[str, list[str]] | None =
                     if len(data) > most:
                         raise InputError("size_limit")
                     row |= {"content_hash": hashlib.sha256(data).hexdigest(), "size_bytes": len(data)}
+                    own, before = json.loads(r["metadata"] or "{}"), r.get("known") or {}
+                    if before.get("content_hash") == row["content_hash"] and own.items() <= json.loads(before["metadata"] or "{}").items():
+                        rows.append(row | {k: before[k] for k in ("media_type", "extractor", "metadata")})
+                        continue
                     x = extract(data, r["extension"] or "", custom)
-                    meta = x.metadata | json.loads(r["metadata"] or "{}")
+                    meta = x.metadata | own
                     row |= {"text": x.text, "media_type": x.media_type, "extractor": x.extractor, "metadata": json.dumps(meta, sort_keys=True)}
                 except Exception as e:  # noqa: BLE001  any failure belongs to its row
                     row["error"] = str(e) or type(e).__name__

@@ -66,6 +66,67 @@ def test_bad_vectors_change_nothing(spark, tmp_path, tree):
     assert e.search("kappa", "lexical").count() == 1
 
 
+def test_one_bad_document_keeps_its_old_state_and_others_go_on(spark, tmp_path, tree):
+    e = engine(spark, tmp_path / "store")
+    e.ingest([str(tree)])
+    (tree / "a.txt").write_text("poison words")
+    (tree / "b.md").write_text("fresh words")
+    good = hashed_embedder(256)
+
+    def embed(texts):
+        if any("poison" in t for t in texts):
+            raise RuntimeError("out of luck")
+        return good(texts)
+
+    e.embed = embed
+    got = e.ingest([str(tree)])
+    assert (got["documents"], got["failed"], got["unchanged"]) == (1, 1, 2)
+    assert e.search("kappa", "lexical").count() == 1 and e.search("fresh", "lexical").count() == 1 and e.search("poison", "lexical").count() == 0
+    run = e.store.snapshot().manifest["runs"][-1]
+    assert e.store.snapshot().manifest["failures"][run["id"]][0][2] == "out of luck"
+    e.embed = good
+    assert e.ingest([str(tree)])["documents"] == 1 and e.search("poison", "lexical").count() == 1
+
+
+def test_unchanged_bytes_are_not_extracted_again(spark, tmp_path, tree):
+    mark = tmp_path / "calls"
+    tool = tmp_path / "tool.sh"
+    tool.write_text(f'#!/bin/sh\necho x >> {mark}\ncat "$1"\n')
+    tool.chmod(0o755)
+    (tree / "c.odd").write_text("odd words")
+    e = engine(spark, tmp_path / "store", custom={"odd": [str(tool), "{path}"]})
+    assert e.ingest([str(tree)])["documents"] == 5
+    calls = len(mark.read_text().split())
+    assert e.ingest([str(tree)])["unchanged"] == 5 and len(mark.read_text().split()) == calls
+    (tree / "c.odd").write_text("other words")
+    assert e.ingest([str(tree)])["documents"] == 1 and len(mark.read_text().split()) > calls
+
+
+def test_failures_above_those_kept_are_counted(spark, tmp_path, tree, monkeypatch):
+    from lodestone.plans import engine as module
+
+    monkeypatch.setattr(module, "KEPT_FAILURES", 1)
+    e = engine(spark, tmp_path / "store")
+    (tree / "a.txt").write_bytes(b"\0binary")
+    (tree / "b.md").write_bytes(b"\0binary")
+    assert e.ingest([str(tree)])["failed"] == 2
+    now = e.store.snapshot().manifest
+    assert len(now["failures"][now["runs"][-1]["id"]]) == 1
+
+
+def test_rebuild_without_all_vectors_is_not_activated(spark, tmp_path, tree):
+    e = engine(spark, tmp_path / "store")
+    e.ingest([str(tree)])
+    e.embed = lambda texts: [[2.0] * 256 for _ in texts]
+    with pytest.raises(StoreError):
+        e.rebuild()
+    run = e.store.snapshot().manifest["runs"][-1]
+    assert (run["kind"], run["status"], run["counts"]) == ("rebuild", "partial", {"chunks": 0, "failed": 5})
+    assert e.store.snapshot().generation() == 1
+    e.embed = hashed_embedder(256)
+    assert e.rebuild() == 2 and e.status()["active_generation"] == 2
+
+
 def test_search_modes_filters_and_rebuild(spark, tmp_path, tree):
     e = engine(spark, tmp_path / "store")
     e.ingest([str(tree / "a.txt"), str(tree / "b.md")])
@@ -106,6 +167,27 @@ def test_pinned_snapshot_and_lock(spark, tmp_path, tree):
         pass
 
 
+def test_lock_of_a_lost_writer_is_taken_over(spark, tmp_path, monkeypatch):
+    from lodestone.plans import store as module
+
+    s = Store(spark, str(tmp_path / "store"))
+    lost = s.snapshot().manifest
+    assert s.files.create("_LOCK-7")
+    with pytest.raises(StoreError):
+        with s.writer(wait=0.1):
+            pass
+    monkeypatch.setattr(module, "LEASE", 0.4)
+    with s.writer(wait=5):
+        assert list(s.files.ages("_LOCK-")) == ["_LOCK-8"]
+        with pytest.raises(StoreError):  # the owner touches its lock
+            with s.writer(wait=1.5):
+                pass
+        s.commit(s.snapshot().manifest, {})
+    assert not s.files.ages("_LOCK-")
+    with pytest.raises(StoreError):
+        s.commit(lost, {})
+
+
 def test_newer_schema_is_refused_and_older_migrated(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
     s.commit(s.snapshot().manifest | {"schema_version": 1}, {})
