@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 def scratch(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a local
-    folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all tasks run in this process (tests, a
+    laptop) a local folder is made and set; on a cluster an unset folder is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()

@@ -89,3 +89,20 @@ def test_awkward_rows(awkward, clashing, empty):
     assert all(r["size"] == 0 and r["taken"] == 0 for r in got if r["doc_id"] in (2, 3, 4))
     assert sorted(map(str, mixing.mix(clashing).collect())) == sorted(map(str, got))
     assert mixing.mix(empty).count() == 0
+
+
+def test_a_cluster_must_name_the_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestone.llm import common
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda at: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.scratch(session(master))
+    named = session("yarn")
+    named.conf.get = lambda *_: "hdfs:///shared/"
+    assert common.scratch(named) == "hdfs:///shared"
