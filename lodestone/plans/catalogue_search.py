@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import dense, lexical, search
 from .catalogue import Tables, query, r6
+from .textindex import index_of
 
 COS = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_inner_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_inner_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))"
 TOKENS = r"regexp_extract_all(lower(strip_accents({c})), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
@@ -102,7 +103,7 @@ def _top_sql(phrases, k=10, **more) -> str:
 
 
 def _lexical(t: Tables, phrases, k=10) -> DataFrame:
-    scored = visible(lexical.bm25(chunks(t), phrases), t).withColumn("score", F.round("score", 9))
+    scored = visible(index_of(chunks(t)).bm25(phrases), t).withColumn("score", F.round("score", 9))
     return lexical.top(scored, k).select("chunk_id", r6(F.col("score")).alias("score"))
 
 
@@ -140,7 +141,7 @@ sc AS (
 SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 5
 """)
 def bm25_benchmark_queries(t):
-    out = lexical.bm25_many(chunks(t), t.benchmark, "item_id", "text", 5)
+    out = index_of(chunks(t)).bm25_many(t.benchmark, "item_id", "text", 5)
     return out.select("query_id", "id", "rank", r6(F.col("score")).alias("score"))
 
 
@@ -156,7 +157,7 @@ def postings_index(t):
 
 @query(f"WITH {_scan_sql([['of', 'the']], visible_only=False)} SELECT doc_id AS chunk_id, CAST(dl AS INTEGER) AS dl, tf0 AS tf FROM cnt WHERE tf0 > 0")
 def phrase_from_index(t):
-    return lexical.phrase_postings(lexical.postings(chunks(t)), ["of", "the"])
+    return lexical.phrase_postings(index_of(chunks(t)).postings(), ["of", "the"])
 
 
 DEPTH = search.candidate_limit("hybrid", 10)
@@ -181,7 +182,7 @@ ALL_DENSE = f"SELECT vec_id AS chunk_id, 1 - {COS.format(a='e.embedding', b='q.v
 
 def _hybrid(t: Tables, rows: DataFrame, scope: DataFrame) -> DataFrame:
     near = dense.knn(rows, _query_vector(t), DEPTH).withColumn("distance", F.round("distance", 9))
-    scored = lexical.bm25(chunks(t), lexical.query_phrases(WORDS)).join(scope, "chunk_id", "left_semi")
+    scored = index_of(chunks(t)).bm25(lexical.query_phrases(WORDS)).join(scope, "chunk_id", "left_semi")
     best = lexical.top(visible(scored, t).withColumn("score", F.round("score", 9)), DEPTH)
     out = search.fuse(near, best, 10)
     return out.select("rank", "chunk_id", F.round("fusion_score", 9).alias("fusion_score"), r6(F.col("distance")).alias("distance"), r6(F.col("bm25")).alias("bm25"))

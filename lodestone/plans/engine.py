@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import batching, ids, vectors
+from ..functions import batching, ids, text, vectors
 from ..operators import chunking, dense, lexical, search, sync
 from ..sources import extractors, inputs
 from .store import Snapshot, Store, StoreError
 
 Embed = Callable[[list[str]], list[list[float]]]
 KEPT_RUNS, KEPT_FAILURES = 100, 1000
+#: As many segments of a root's text index as are merged at least.
+FAN = 4
 #: What an embedder gets at once: texts, and letters when all are as long as the longest.
 BATCH_ITEMS, BATCH_LETTERS = 64, 1 << 18
 
@@ -99,7 +101,7 @@ class Engine:
         self.store.commit(now | {"runs": runs, "failures": failed}, {})
 
     def _ingest_root(self, root: inputs.Root, run: str, counts: dict, fail_fast: bool) -> list[tuple[str, str, str]]:
-        now = self.store.snapshot()
+        now = self.store.current()
         manifest, recipe = now.manifest, self.recipe(root)
         stored, old_chunks = now.table("documents", [root.id]), now.table("chunks", [root.id])
         items = inputs.items(self.spark, [root]).withColumn("document_id", ids.document_id("source_root_id", "uri"))
@@ -133,6 +135,8 @@ class Engine:
         drop = docs.select("document_id").unionByName(gone.select("document_id")).distinct()
         next_chunks = old_chunks.join(drop, "document_id", "left_anti").unionByName(made)
         parts = {"documents": {root.id: next_docs}, "chunks": {root.id: next_chunks}, "embeddings": {}}
+        manifest, index = self._indexed(manifest, root.id, made, old_chunks.join(drop, "document_id", "left_semi"))
+        parts |= index
         key = f"{generation}/{root.id}"
         old = now.table("embeddings", [key])
         parts["embeddings"][key] = old.join(next_chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").unionByName(new_vectors.select("chunk_id", "generation_id", "embedding"))
@@ -142,9 +146,51 @@ class Engine:
         counts["deleted"] += gone.count()
         entry = {"identity": root.identity, "kind": root.kind, "metadata": root.metadata, "last_attempted_run": run}
         entry["last_successful_run"] = run if not failed else manifest["roots"].get(root.id, {}).get("last_successful_run")
-        self.store.commit(manifest | {"roots": manifest["roots"] | {root.id: entry}}, parts)
+        self._merge_segments(self.store.commit(manifest | {"roots": manifest["roots"] | {root.id: entry}}, parts), root.id)
         return failed
 
+    def _indexed(self, manifest: dict, root: str, made: DataFrame, void: DataFrame) -> tuple[dict, dict]:
+        """The next segment of a root's text index: postings of new chunks, the documents whose earlier ones are void, and the sums."""
+        segment = manifest["version"] + 1
+        key = f"{root}/{segment}"
+
+        def sums(rows: DataFrame) -> tuple[int, int]:
+            return tuple(rows.agg(F.count("*"), F.coalesce(F.sum("terms"), F.lit(0))).first())
+
+        more, less = sums(made), sums(void)
+        had = manifest["sums"].get(root, {"chunks": 0, "terms": 0})
+        out = manifest | {"sums": manifest["sums"] | {root: {"chunks": had["chunks"] + more[0] - less[0], "terms": had["terms"] + more[1] - less[1]}}}
+        parts: dict = {}
+        if more[0]:
+            parts["postings"] = {key: lexical.postings(made, carried=("document_id",)).withColumn("segment", F.lit(segment).cast("long"))}
+            out["segments"] = manifest["segments"] | {key: more[1]}
+        if less[0]:
+            parts["removed"] = {key: void.select("document_id", F.lit(segment).cast("long").alias("before")).distinct()}
+        return out, parts
+
+    def _merge_segments(self, now: Snapshot, root: str) -> None:
+        """Merge the newest segments of a root while the next older one is no larger than twice all newer ones, once there are FAN such; all of them once void postings may be a half."""
+        mine = {k: n for k, n in now.manifest["segments"].items() if k.split("/")[0] == root}
+        newest = sorted(mine, key=lambda k: -int(k.split("/")[1]))
+        some, held = [], 0
+        for key in newest:
+            if some and mine[key] > 2 * held:
+                break
+            some.append(key)
+            held += mine[key]
+        if sum(mine.values()) > 2 * now.manifest["sums"][root]["terms"]:
+            some = newest
+        elif len(some) < FAN:
+            return
+        rows = now.live_postings(some)
+        left = rows.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        key = f"{root}/{now.manifest['version'] + 1}"
+        segments = {k: n for k, n in now.manifest["segments"].items() if k not in some} | ({key: left} if left else {})
+        parts: dict = {"postings": dict.fromkeys(some) | ({key: rows} if left else {})}
+        if len(some) == len(newest):  # nothing void is left
+            parts["removed"] = {k: None for k in now.manifest["tables"]["removed"] if k.split("/")[0] == root}
+        self.store.commit(now.manifest | {"segments": segments}, parts)
+
     def _failures(self, rows: DataFrame, counts: dict) -> list[tuple[str, str, str]]:
         """The first failures (uri, error) with their codes; all of them are counted."""
         counts["failed"] += rows.count()
@@ -164,7 +210,7 @@ class Engine:
         w = chunking.chunks(chunking.with_offsets(rows, self.offsets), self.capacity, self.overlap)
         return w.select(
             ids.chunk_id("document_id", "recipe", "ordinal", "chunk_text").alias("chunk_id"), "document_id", "source_root_id", "media_type", "ordinal", F.col("chunk_text").alias("text"), "token_start", "token_end", "byte_start", "byte_end",
-            ids.sha256_text("chunk_text").alias("chunk_hash"),
+            ids.sha256_text("chunk_text").alias("chunk_hash"), F.size(text.tokens("chunk_text")).alias("terms"),
         )
 
     def _embedded(self, chunks: DataFrame, generation: int) -> DataFrame:
@@ -202,7 +248,7 @@ class Engine:
     def rebuild(self, activate: bool = True) -> int:
         """A shadow generation: only missing vectors are made, and it becomes active once it covers every chunk. A run tells how it went."""
         with self.store.writer():
-            now = self.store.snapshot()
+            now = self.store.current()
             building = now.generation("building")
             if building is None:
                 building = max([g["id"] for g in now.manifest["generations"]], default=0) + 1
@@ -240,7 +286,7 @@ class Engine:
     def search(self, query: str, mode: str = "semantic", limit: int = 10, root: str | None = None, media_type: str | None = None) -> DataFrame:
         """Ranked chunks with their documents, from one pinned snapshot."""
         search.validate_request(query, mode, limit, root, media_type)
-        now = self.store.snapshot()
+        now = self.store.current()
         if now.manifest["flags"].get("synthetic_vectors"):
             raise StoreError("the store holds synthetic vectors")
         known = [(k, v["identity"]) for k, v in now.manifest["roots"].items()]
@@ -256,7 +302,7 @@ class Engine:
         if mode != "lexical":
             near = dense.knn(rows, self.embed([self.query_prefix + query])[0], depth) if rows.limit(1).count() else rows.select("chunk_id", F.lit(0.0).alias("distance")).limit(0)
         if mode != "semantic":
-            scored = lexical.bm25(chunks, lexical.query_phrases(query))
+            scored = lexical.bm25_indexed(now.live_postings(), *now.text_sums(), lexical.query_phrases(query))
             words = lexical.top(scored.join(rows.select("chunk_id"), "chunk_id", "left_semi"), depth)
         none = F.lit(None).cast("double")
         if mode == "hybrid":
@@ -278,10 +324,13 @@ class Engine:
     def remove(self, source: str) -> int:
         """Drop a root by id or identity with all that belongs to it; an unknown one is no error."""
         with self.store.writer():
-            now = self.store.snapshot()
+            now = self.store.current()
             hit = [k for k, v in now.manifest["roots"].items() if source in (k, v["identity"])]
             for root in hit:
                 keys = [k for k in now.manifest["tables"]["embeddings"] if k.endswith(f"/{root}")]
                 changes = {"documents": {root: None}, "chunks": {root: None}, "embeddings": dict.fromkeys(keys)}
-                now = self.store.commit(now.manifest | {"roots": {k: v for k, v in now.manifest["roots"].items() if k != root}}, changes)
+                for name in ("postings", "removed"):
+                    changes[name] = {k: None for k in now.manifest["tables"][name] if k.split("/")[0] == root}
+                left = {name: {k: v for k, v in now.manifest[name].items() if k.split("/")[0] != root} for name in ("roots", "sums", "segments")}
+                now = self.store.commit(now.manifest | left, changes)
         return len(hit)

@@ -4,6 +4,9 @@ Every commit writes new Parquet folders and then a new manifest; one atomic rena
 Readers pin the manifest that they found, so they see one state throughout; a crash before the rename leaves the old
 state whole. Documents and chunks are kept per root, vectors per generation and root, so that a commit rewrites
 what it touches only. All paths go through Spark's file systems.
+
+The text index grows by segments: a commit adds the postings of its new chunks, and the documents whose postings in earlier
+segments are void. Segments of one root are merged now and then; a posting keeps the number of the segment that it came in.
 """
 
 from __future__ import annotations
@@ -14,16 +17,24 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import lexical
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 TABLES = {
     "documents": "document_id string, source_root_id string, uri string, content_hash string, text_hash string, media_type string, extractor string, recipe string, size_bytes long, modified_ns string, metadata string, last_seen_run string",
-    "chunks": "chunk_id string, document_id string, source_root_id string, media_type string, ordinal long, text string, token_start long, token_end long, byte_start long, byte_end long, chunk_hash string",
+    "chunks": "chunk_id string, document_id string, source_root_id string, media_type string, ordinal long, text string, token_start long, token_end long, byte_start long, byte_end long, chunk_hash string, terms int",
+    "postings": "term string, chunk_id string, document_id string, segment long, dl int, positions array<int>, tf int",
+    "removed": "document_id string, before long",
     "embeddings": "chunk_id string, generation_id long, embedding array<float>",
 }
 STATES = ("building", "active", "retired")
 #: Locks are files with this name and a number; an owner that does not touch its lock for so many seconds has lost it.
 LOCK, LEASE = "_LOCK-", 60.0
+#: What a migration has done so far.
+MIGRATION = "_MIGRATION"
 
 
 class StoreError(Exception):
@@ -80,6 +91,11 @@ class Files:
         self.fs.delete(self._path(name), True)
 
 
+def empty_manifest() -> dict:
+    lists = {"generations": [], "models": [], "runs": []}
+    return {"schema_version": SCHEMA_VERSION, "version": 0, "tables": {t: {} for t in TABLES}, "roots": {}, "sums": {}, "segments": {}, "failures": {}, "flags": {}} | lists
+
+
 class Snapshot:
     """One manifest, pinned."""
 
@@ -87,7 +103,7 @@ class Snapshot:
         self.spark, self.base, self.manifest = spark, base, manifest
 
     def table(self, name: str, keys: list[str] | None = None) -> DataFrame:
-        paths = [p for k, p in self.manifest["tables"][name].items() if keys is None or k in keys]
+        paths = [p for k, p in self.manifest["tables"].get(name, {}).items() if keys is None or k in keys]
         reader = self.spark.read.schema(TABLES[name])
         return reader.parquet(*[f"{self.base}/{p}" for p in sorted(paths)]) if paths else self.spark.createDataFrame([], TABLES[name])
 
@@ -103,26 +119,73 @@ class Snapshot:
         return self.vectors(active) if active is not None else self.spark.createDataFrame([], TABLES["embeddings"])
 
 
+    def live_postings(self, keys: list[str] | None = None) -> DataFrame:
+        """The postings of the chunks that there are: those that no later commit has made void."""
+        void = self.table("removed", None if keys is None else [k for k in self.manifest["tables"]["removed"] if k.split("/")[0] in {x.split("/")[0] for x in keys}])
+        rows = self.table("postings", keys)
+        void = void.groupBy(F.col("document_id").alias("_void")).agg(F.max("before").alias("_before"))
+        return rows.join(void, (F.col("document_id") == F.col("_void")) & (F.col("segment") < F.col("_before")), "left_anti")
+
+    def text_sums(self) -> tuple[int, int]:
+        """How many chunks there are, and how many tokens they have."""
+        sums = self.manifest["sums"].values()
+        return sum(x["chunks"] for x in sums), sum(x["terms"] for x in sums)
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base, self.files = spark, base.rstrip("/"), Files(spark, base)
 
     def snapshot(self) -> Snapshot:
-        text = self.files.read("_CURRENT")
-        manifest = json.loads(text) if text else {"schema_version": SCHEMA_VERSION, "version": 0, "tables": {t: {} for t in TABLES}, "generations": [], "models": [], "roots": {}, "runs": [], "failures": {}, "flags": {}}
+        held = self.files.read("_CURRENT")
+        manifest = json.loads(held) if held else empty_manifest()
         if manifest["schema_version"] > SCHEMA_VERSION:
             raise StoreError(f"schema {manifest['schema_version']} is newer than {SCHEMA_VERSION}")
         return Snapshot(self.spark, self.base, manifest)
 
+    def current(self) -> Snapshot:
+        """The snapshot, which must be of this version: an older one lacks what is derived from its texts."""
+        now = self.snapshot()
+        if now.manifest["schema_version"] < SCHEMA_VERSION:
+            raise StoreError(f"schema {now.manifest['schema_version']} is older than {SCHEMA_VERSION}: migrate first")
+        return now
+
     def migrate(self) -> bool:
-        """Bring an older manifest to this version; everything else is derived from stored texts."""
-        now = self.snapshot().manifest
-        if now["schema_version"] == SCHEMA_VERSION:
+        """Bring an older state to this version: what it lacks is made from stored texts, beside it, checked, and made current in one step.
+
+        Roots that are done are noted, so that a migration that was stopped goes on with the others; until the last step
+        readers see the old state. Another commit in between makes it begin anew.
+        """
+        now = self.snapshot()
+        if now.manifest["schema_version"] == SCHEMA_VERSION:
             return False
         with self.writer():
-            self.commit(now | {"schema_version": SCHEMA_VERSION}, {})
+            now = self.snapshot()
+            old = now.manifest
+            note = json.loads(self.files.read(MIGRATION) or "{}")
+            done = note.get("roots", {}) if note.get("version") == old["version"] else {}
+            for root in sorted(set(old["tables"]["chunks"]) - set(done)):
+                done[root] = self._derived(now, root, old["version"] + 1)
+                self.files.replace(MIGRATION, json.dumps({"version": old["version"], "roots": done}))
+            new = empty_manifest() | old | {"schema_version": SCHEMA_VERSION, "sums": {r: d["sums"] for r, d in done.items()}, "segments": {d["segment"]: d["sums"]["terms"] for d in done.values()}}
+            tables = {t: {} for t in TABLES} | old["tables"] | {"chunks": {r: d["chunks"] for r, d in done.items()}, "postings": {d["segment"]: d["path"] for d in done.values()}}
+            self._swap(new, tables)
+            self.files.delete(MIGRATION)
         return True
 
+    def _derived(self, now: Snapshot, root: str, segment: int) -> dict:
+        """A root's chunks with their numbers of tokens, and its first segment of postings; both must account for each other."""
+        rows = now.table("chunks", [root]).withColumn("terms", F.size(text.tokens("text")))
+        chunks = self._written("chunks", root, rows)
+        made = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.base}/{chunks}")
+        key = f"{root}/{segment}"
+        path = self._written("postings", key, lexical.postings(made, carried=("document_id",)).withColumn("segment", F.lit(segment).cast("long")))
+        n, terms = made.agg(F.count("*"), F.coalesce(F.sum("terms"), F.lit(0))).first()
+        (tokens,) = self.spark.read.schema(TABLES["postings"]).parquet(f"{self.base}/{path}").agg(F.coalesce(F.sum("tf"), F.lit(0))).first()
+        if n != now.table("chunks", [root]).count() or tokens != terms:
+            raise StoreError(f"the index of root {root} does not account for its chunks")
+        return {"chunks": chunks, "segment": key, "path": path, "sums": {"chunks": n, "terms": terms}}
+
     def writer(self, wait: float = 2.0) -> "_Writer":
         return _Writer(self.files, wait)
 
@@ -134,10 +197,21 @@ class Store:
                 if rows is None:
                     tables[name].pop(key, None)
                     continue
-                columns = [c.split()[0] for c in TABLES[name].split(", ")]
-                path = f"{name}/{key}/{uuid.uuid4().hex}"
-                rows.select(*columns).write.parquet(f"{self.base}/{path}")
-                tables[name][key] = path
+                tables[name][key] = self._written(name, key, rows)
+        return self._swap(manifest, tables)
+
+    def _written(self, name: str, key: str, rows: DataFrame) -> str:
+        """Write a part of a table; its path, which no manifest names yet."""
+        path = f"{name}/{key}/{uuid.uuid4().hex}"
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        if name == "postings":
+            lexical.write_postings(rows.select(*columns), f"{self.base}/{path}", folders=False)
+        else:
+            rows.select(*columns).write.parquet(f"{self.base}/{path}")
+        return path
+
+    def _swap(self, manifest: dict, tables: dict) -> Snapshot:
+        """Make a manifest current, if the one that it was made from still is."""
         if self.snapshot().manifest["version"] != manifest["version"]:
             raise StoreError("another writer has committed")
         new = manifest | {"tables": tables, "version": manifest["version"] + 1}

@@ -35,8 +35,13 @@ def test_bm25_forms_agree(spark):
     rows = spark.createDataFrame([("a", "alpha beta alpha"), ("b", "beta gamma"), ("c", "alpha"), ("d", "Délta,alpha beta"), ("e", None)], "chunk_id string, text string")
     scan = {r[0]: r[1] for r in lexical.bm25(rows, lexical.query_phrases("delta gamma")).collect()}
     asked = spark.createDataFrame([(1, "delta gamma")], "q int, text string")
-    many = {r["id"]: r["score"] for r in lexical.bm25_many(rows, asked, "q", "text", 10).collect()}
+    index = lexical.postings(rows)
+    many = {r["id"]: r["score"] for r in lexical.bm25_many(lexical.blocks(index, 5, 9), 5, asked, "q", "text", 10).collect()}
     assert scan == pytest.approx(many) and set(scan) == {"b", "d"}
+    for query in ("delta gamma", "alpha-beta alpha", "beta beta nothing", "delta,alpha,beta"):
+        indexed = {r[0]: r[1] for r in lexical.bm25_indexed(index, 5, 9, lexical.query_phrases(query)).collect()}
+        assert indexed == pytest.approx({r[0]: r[1] for r in lexical.bm25(rows, lexical.query_phrases(query)).collect()}) and indexed
+    assert lexical.bm25_indexed(index, 5, 9, []).count() == 0
     twice = {r[0]: r[1] for r in lexical.bm25(rows, lexical.query_phrases("delta delta")).collect()}
     assert twice["d"] == pytest.approx(2 * scan["d"])
     assert lexical.query_phrases("SQLITE_BUSY ... café") == [["sqlite", "busy"], ["cafe"]]
