@@ -2,13 +2,14 @@
 
 Markup is stripped to lines, one per block element; what sits in menus, headers, footers, sidebars, forms,
 notices, adverts, scripts and reader comments is left out on the way. Over the lines' text lengths (link texts
-count for nothing) sums of sliding windows are taken; the text surges where a window's sum rises above a
-threshold and dives where the sums fall back to nothing. The heaviest of these runs is the core; runs before and behind it
-that only links, headings and short lines part from it belong to it.
-
-Markup settles the ends: where most of the core lies in an article or main element, the text goes on to that element's ends,
-but for articles inside it whose part of all runs is below the threshold, and stops there; otherwise it is what lies between first surge and last dive, with
-headings just before. Where no window reaches the threshold, the element with most text is taken, or all lines.
+count for nothing) sums of sliding windows are taken; the text surges where a window's sum rises above a threshold and
+dives where the sums fall back to nothing. The heaviest of these runs is the core; runs before and behind it that only
+links, headings and short lines part from it belong to it. The lines from first surge to last dive are the text.
+
+Markup settles its two ends only. Where most of the core lies in an article or main element, lines of other elements at the ends go,
+and the text goes on over the element's own lines until it dives there too: GAP lines in a row without text; articles inside
+the element whose part of all runs is below the threshold are left out. Otherwise headings just before the first surge are added. On a
+page of little text the threshold is what its greatest window has; a page whose windows are all empty has no text.
 """
 
 from __future__ import annotations
@@ -218,6 +219,11 @@ class Page:
                 continue
             at = close + 1
 
+    def threshold(self) -> int:
+        """What a window's sum must reach: SURGE, or on a page of little text, what its greatest window has."""
+        size = [x[1] for x in self.lines]
+        return max(1, min(SURGE, max((sum(size[i : i + WINDOW]) for i in range(len(size))), default=0)))
+
     def runs(self) -> list[tuple[int, int]]:
         """Where the text surges and dives: [first line, line after the last)."""
         size = [x[1] for x in self.lines]
@@ -225,9 +231,9 @@ class Page:
         at = lambda i: total[min(max(i, 0), len(size))]
         ahead = [at(i + WINDOW) - at(i) for i in range(len(size))]  # the window that begins at a line
         behind = [at(i + 1) - at(i + 1 - WINDOW) for i in range(len(size))]  # the window that ends there
-        found, i = [], 0
+        found, i, surge = [], 0, self.threshold()
         while i < len(size):
-            if ahead[i] >= SURGE and size[i] > 0:
+            if ahead[i] >= surge and size[i] > 0:
                 j = i + 1
                 while j < len(size) and ahead[j] > 0 and size[j] + behind[j] > 0:
                     j += 1
@@ -237,43 +243,59 @@ class Page:
                 i += 1
         return found
 
-    def main_text(self) -> str:
-        lines = self.lines
-        weigh = lambda a, b: sum(x[1] for x in lines[a:b])
-        tops: dict[int, int] = {}
-        for _, chars, container, _ in lines:
-            if container:
-                tops[self.top[container]] = tops.get(self.top[container], 0) + chars
-        heaviest = max(tops, key=lambda c: (tops[c], -c)) if tops else 0
+    def text_between(self) -> tuple[int, int, list[tuple[int, int]], tuple[int, int]]:
+        """First surge and last dive of the text, all runs, and the core: the heaviest run, with those that only links, headings and short lines part from it."""
         runs = self.runs()
         if not runs:
-            return "\n".join(x[0] for x in lines if not heaviest or self.top[x[2]] == heaviest)
-        core = max(range(len(runs)), key=lambda k: (weigh(*runs[k]), -k))
+            return 0, 0, runs, (0, 0)
+        core = max(range(len(runs)), key=lambda k: (sum(x[1] for x in self.lines[slice(*runs[k])]), -k))
         first = last = core
         while first and self._joined(runs[first - 1][1], runs[first][0]):
             first -= 1
         while last + 1 < len(runs) and self._joined(runs[last][1], runs[last + 1][0]):
             last += 1
-        inside: dict[int, int] = {}
-        for _, chars, container, _ in lines[slice(*runs[core])]:
-            inside[self.top[container]] = inside.get(self.top[container], 0) + chars
+        return runs[first][0], runs[last][1], runs, runs[core]
+
+    def main_text(self) -> str:
+        """The lines between first surge and last dive, with both ends settled by markup."""
+        lines = self.lines
+        a, b, runs, core = self.text_between()
+        if a == b:
+            return ""
+        inside: Counter[int] = Counter()
+        for _, chars, container, _ in lines[slice(*core)]:
+            inside[self.top[container]] += chars
         home = max(inside, key=lambda c: (inside[c], c))
-        if not home and heaviest and tops[heaviest] >= max(SURGE, weigh(*runs[core]) / 2):
-            home = heaviest  # an element that holds as good as all the text is taken before a run that wins by little
-        if home:
-            held: dict[int, int] = {}
-            for a, b in runs:
-                for _, chars, container, _ in lines[a:b]:
-                    held[container] = held.get(container, 0) + chars
-            return "\n".join(x[0] for x in lines if self.top[x[2]] == home and (x[2] == home or held.get(x[2], 0) >= SURGE))
-        a, b = runs[first][0], runs[last][1]
-        while lines[a][2]:  # a window reaches over the end of an element that has not the core
+        if not home:
+            while lines[a][2]:  # a window reaches over the end of an element that has not the core
+                a += 1
+            while lines[b - 1][2]:
+                b -= 1
+            while a > 0 and lines[a - 1][3] and not lines[a - 1][2]:
+                a -= 1
+            return "\n".join(x[0] for x in lines[a:b])
+        own = lambda i: self.top[lines[i][2]] == home
+        while not own(a):
             a += 1
-        while lines[b - 1][2]:
+        while not own(b - 1):
             b -= 1
-        while a > 0 and lines[a - 1][3] and not lines[a - 1][2]:
-            a -= 1
-        return "\n".join(x[0] for x in lines[a:b])
+        a, b = self._on(a, -1, own), self._on(b - 1, 1, own) + 1
+        held: Counter[int] = Counter()
+        for run in runs:
+            for _, chars, container, _ in lines[slice(*run)]:
+                held[container] += chars
+        surge = self.threshold()
+        return "\n".join(x[0] for i, x in enumerate(lines[a:b], a) if own(i) and (x[2] == home or held[x[2]] >= surge))
+
+    def _on(self, end: int, step: int, own) -> int:
+        """The last line that its element adds at an end of the text: on over the element's lines, until GAP of them in a row have no text outside links."""
+        i, bare = end + step, 0
+        while 0 <= i < len(self.lines) and own(i):
+            bare = 0 if self.lines[i][1] else bare + 1
+            if bare > GAP:
+                break
+            i += step
+        return i - step
 
     def _joined(self, a: int, b: int) -> bool:
         """Whether the lines [a, b) between two runs leave them together."""

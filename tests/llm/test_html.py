@@ -1,7 +1,12 @@
+import os
+
+import pyarrow.parquet as pq
 import pytest
 
 from lodestone.llm import html
 
+PAGES = "/root/testdata/sf0.01"
+
 LONG = "A paragraph of the article that is long enough to count as text, with some more words in it."
 
 
@@ -50,26 +55,123 @@ def test_runs_surge_and_dive_as_defined():
         size = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randrange(1, 25))]
         page = html.Page("")
         page.lines = [("x" * n, n, 0, False) for n in size]
-        want, i = [], 0
-        window = lambda a: sum(size[max(a, 0) : a + html.WINDOW])
-        while i < len(size):
-            if size[i] and window(i) >= html.SURGE:
-                j = i + 1
-                while j < len(size) and window(j) and size[j] + sum(size[max(0, j - html.WINDOW + 1) : j + 1]):
-                    j += 1
-                want.append((i, j))
-                i = j
-            else:
-                i += 1
-        assert page.runs() == want
+        assert page.runs() == naive_runs(size)
+
+
+def naive_runs(size):
+    """Surge and dive, every window summed anew."""
+    want, i = [], 0
+    window = lambda a: sum(size[max(a, 0) : a + html.WINDOW])
+    surge = max(1, min(html.SURGE, max([window(k) for k in range(len(size))], default=0)))
+    while i < len(size):
+        if size[i] and window(i) >= surge:
+            j = i + 1
+            while j < len(size) and window(j) and size[j] + sum(size[max(0, j - html.WINDOW + 1) : j + 1]):
+                j += 1
+            want.append((i, j))
+            i = j
+        else:
+            i += 1
+    return want
+
+
+def naive_text(lines, top):
+    """The text by its definition, line by line: a line is in if it lies between the ends, and each end is moved one line at a time."""
+    size = [x[1] for x in lines]
+    runs = naive_runs(size)
+    if not runs:
+        return ""
+    core = sorted(runs, key=lambda r: (-sum(size[r[0] : r[1]]), r))[0]
+    group = [core]
+    for step in (-1, 1):
+        k = runs.index(core)
+        while 0 <= k + step < len(runs):
+            a, b = sorted((runs[k], runs[k + step]))
+            gap = lines[a[1] : b[0]]
+            if len(gap) > html.GAP or any(not x[3] and x[1] >= html.SURGE // html.WINDOW for x in gap):
+                break
+            k += step
+            group.append(runs[k])
+    ends = [min(r[0] for r in group), max(r[1] for r in group) - 1]
+    weights = {}
+    for x in lines[core[0] : core[1]]:
+        weights[top[x[2]]] = weights.get(top[x[2]], 0) + x[1]
+    home = sorted(weights, key=lambda c: (weights[c], c))[-1]
+    if not home:
+        span = [i for i in range(ends[0], ends[1] + 1)]
+        while lines[span[0]][2]:
+            span.pop(0)
+        while lines[span[-1]][2]:
+            span.pop()
+        while span[0] and lines[span[0] - 1][3] and not lines[span[0] - 1][2]:
+            span.insert(0, span[0] - 1)
+        return "\n".join(lines[i][0] for i in span)
+    mine = [top[x[2]] == home for x in lines]
+    span = [i for i in range(ends[0], ends[1] + 1) if mine[i]]
+    span = list(range(span[0], span[-1] + 1))
+    for step, at in ((-1, 0), (1, -1)):
+        more = []
+        i = span[at] + step
+        while 0 <= i < len(lines) and mine[i] and not (len(more) >= html.GAP and not any(size[k] for k in more[-html.GAP :]) and not size[i]):
+            more.append(i)
+            i += step
+        span = span + more if step > 0 else more[::-1] + span
+    inner = {}
+    for r in runs:
+        for x in lines[r[0] : r[1]]:
+            inner[x[2]] = inner.get(x[2], 0) + x[1]
+    surge = max(1, min(html.SURGE, max(sum(size[k : k + html.WINDOW]) for k in range(len(size)))))
+    return "\n".join(lines[i][0] for i in span if mine[i] and (lines[i][2] == home or inner.get(lines[i][2], 0) >= surge))
+
+
+def test_text_is_what_lies_between_surge_and_dive():
+    """Random lines in random elements, against the definition."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        page = html.Page("")
+        page.kinds, page.top = ["", "article", "main", "article"], [0, 1, 2, 2]
+        at, page.lines = 0, []
+        for k in range(rng.randrange(1, 60)):
+            at = rng.choice([at] * 6 + [0, 1, 2, 3])
+            n = rng.choice([0, 0, 0, 5, 20, 60, 90])
+            page.lines.append((f"{k}", n, at, n < 90 and rng.random() < 0.2))
+        assert page.main_text() == naive_text(page.lines, page.top), page.lines
+
+
+@pytest.mark.skipif(not os.path.isdir(PAGES), reason="no sample tables")
+def test_given_pages_against_the_definition_and_without_windows(monkeypatch):
+    sources = [h for h in pq.read_table(f"{PAGES}/pages.parquet")["html"].to_pylist() if h]
+    pages = [html.Page(h) for h in sources]
+    texts = [p.main_text() for p in pages]
+    assert texts == [naive_text(p.lines, p.top) for p in pages] and all(texts)
+    monkeypatch.setattr(html.Page, "runs", lambda self: [])
+    assert all(html.main_text(h) != t for h, t in zip(sources, texts))
 
 
 def test_windows_decide(monkeypatch):
     """An article of short lines against a body of long ones: the surge is in the body, whatever the article's total."""
     page = f"<body><article>{paragraphs(3, 'tiny ')}</article><div id='content'>{paragraphs(5)}</div></body>"
     assert html.main_text(page).split("\n") == lines(0, 5)
-    monkeypatch.setattr(html, "SURGE", 10**9)
+    monkeypatch.setattr(html.Page, "runs", lambda self: [(0, 3)])  # as if the text surged there
     assert html.main_text(page).split("\n") == ["tiny 0", "tiny 1", "tiny 2"]
+    monkeypatch.setattr(html.Page, "runs", lambda self: [])
+    assert html.main_text(page) == ""
+
+
+def test_a_long_stretch_of_links_ends_the_text_in_its_element_too():
+    def page(n):
+        return f"<article>{paragraphs(2)}" + "".join(f"<p><a href={i}>l{i}</a></p>" for i in range(n)) + "<p>end</p></article>"
+
+    assert html.main_text(page(html.GAP)).split("\n")[-1] == "end"
+    assert html.main_text(page(html.GAP + 1)).split("\n") == [*lines(0, 2), *[f"l{i}" for i in range(html.GAP)]]
+
+
+def test_a_very_long_page_is_whole():
+    page = "<nav>" + "<a href=x>m</a>" * 9 + f"</nav><article>{paragraphs(20_000)}<h2>Head</h2><ul>{'<li>item of a list</li>' * 9}</ul>{paragraphs(3)}</article><footer>{paragraphs(9)}</footer>"
+    got = html.main_text(page).split("\n")
+    assert got == [*lines(0, 20_000), "Head", *["item of a list"] * 9, *lines(0, 3)]
 
 
 def test_link_lists_inside_the_text_do_not_end_it():
