@@ -102,9 +102,10 @@ class Engine:
 
     def _ingest_root(self, root: inputs.Root, run: str, counts: dict, fail_fast: bool) -> list[tuple[str, str, str]]:
         now = self.store.current()
+        found = inputs.discover(self.spark, root, f"{self.store.base}/_repositories", self.most)
         manifest, recipe = now.manifest, self.recipe(root)
         stored, old_chunks = now.table("documents", [root.id]), now.table("chunks", [root.id])
-        items = inputs.items(self.spark, [root]).withColumn("document_id", ids.document_id("source_root_id", "uri"))
+        items = found.withColumn("document_id", ids.document_id("source_root_id", "uri"))
         known = stored.filter(F.col("recipe") == recipe).select("document_id", F.struct("content_hash", "media_type", "extractor", "metadata").alias("known"))
         found = extractors.extracted(items.join(known, "document_id", "left"), self.most, self.custom)
         found = self._kept(found.withColumn("document_id", ids.document_id("source_root_id", "uri")).withColumn("recipe", F.lit(recipe)), "found")
@@ -129,7 +130,7 @@ class Engine:
         if failed and fail_fast:
             return failed
         docs, made, new_vectors = (rows.join(faulty.select("document_id"), "document_id", "left_anti") for rows in (docs, made, new_vectors))
-        gone = sync.pruned(stored, found, root.id, complete=root.directory is not None and root.complete)
+        gone = sync.pruned(stored, found, root.id, complete=root.kind in ("directory", inputs.GIT) and root.complete)
         seen = found.select("document_id", F.lit(run).alias("_seen"))  # failed items were seen too
         next_docs = sync.replaced(stored, docs.drop("text"), gone).join(seen, "document_id", "left").withColumn("last_seen_run", F.coalesce("_seen", "last_seen_run"))
         drop = docs.select("document_id").unionByName(gone.select("document_id")).distinct()

@@ -1,6 +1,7 @@
 """What an input names, and the items behind it: files, globs, standard input, web pages, repositories.
 
-Discovery is control logic and runs on the driver; its result is a DataFrame of items, whose contents executors read.
+What an input is, is settled on the driver; folders and repositories are gone through by ``discovery``. The result is a
+DataFrame of items, whose contents executors read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import functions as F
+
 STDIN, URL, GIT, GLOB, LOCAL = "stdin", "url", "git", "glob", "local"
 DEFAULT_PORTS = {"http": 80, "https": 443}
 MOST_REDIRECTS, TIMEOUT = 5, 30
@@ -140,30 +143,13 @@ def fetch(url: str, most: int, allow_private: bool = False) -> Item:
     raise InputError("unsupported: too many redirects")
 
 
-def walk(top: str, skip_git: bool = False) -> Iterator[tuple[str, bool]]:
-    """(path, ok) of all files below a folder, dot files and ignored ones too, in order. Links to files count, links to folders don't."""
-    try:
-        entries = sorted(os.scandir(top), key=lambda e: e.name)
-    except OSError:
-        yield top, False
-        return
-    for e in entries:
-        if e.is_dir(follow_symlinks=False):
-            if not (skip_git and e.name == ".git"):
-                yield from walk(e.path, skip_git)
-        elif e.is_symlink() and os.path.isdir(e.path):
-            continue
-        else:
-            yield e.path, os.path.isfile(e.path)
-
-
 def _file(path: str, uri: str | None = None, metadata: dict | None = None) -> Item:
     s = os.stat(path)
     return Item(uri=uri or "file://" + path, path=path, extension=os.path.splitext(path)[1][1:].lower(), modified_ns=str(s.st_mtime_ns), metadata=metadata or {})
 
 
 def prepare(text: str, most: int = 64 << 20, source: str | None = None, stdin=None, allow_private: bool = False) -> Root:
-    """The root that one input names, with its items listed."""
+    """The root that one input names. Single items are listed; what is in folders and repositories ``discover`` finds."""
     kind = classify(text)
     if kind == STDIN:
         data = limited(stdin, most)
@@ -173,16 +159,13 @@ def prepare(text: str, most: int = 64 << 20, source: str | None = None, stdin=No
         item = fetch(text, most, allow_private)
         return Root(item.uri, URL, [item])
     if kind == GIT:
-        return checkout(text, tempfile.mkdtemp(prefix="lodestone-git-"))
+        at = normalize_url(text)
+        if not at.startswith("https://"):
+            raise InputError("unsupported: repositories only over https")
+        return Root(at, GIT)
     path = os.path.realpath(text)
     if os.path.isdir(path):
-        root = Root("file://" + path, "directory", directory=path)
-        for found, ok in walk(path):
-            if ok:
-                root.items.append(_file(found))
-            else:
-                root.complete = False
-        return root
+        return Root("file://" + path, "directory", directory=path)
     if not os.path.isfile(path):
         raise InputError(f"input_failed: {text} is no regular file")
     return Root("file://" + path, "file", [_file(path)])
@@ -198,33 +181,51 @@ def expand(text: str) -> list[str]:
     return found
 
 
-def checkout(url: str, into: str) -> Root:
-    """A shallow clone over HTTPS; items are named by the repository's URL and their path."""
-    at = normalize_url(url)
-    if not at.startswith("https://"):
-        raise InputError("unsupported: repositories only over https")
+def clone(url: str, into: str) -> dict:
+    """A shallow clone; what says where it is from."""
     env = os.environ | {"GIT_TERMINAL_PROMPT": "0", "GIT_LFS_SKIP_SMUDGE": "1"}
-    subprocess.run(["git", "-c", "core.hooksPath=/dev/null", "clone", "--depth", "1", "--no-tags", "--", at, into], check=True, env=env, timeout=600, capture_output=True)
+    subprocess.run(["git", "-c", "core.hooksPath=/dev/null", "clone", "--depth", "1", "--no-tags", "--", url, into], check=True, env=env, timeout=600, capture_output=True)
     say = lambda *a: subprocess.run(["git", "-C", into, *a], check=True, capture_output=True, text=True, timeout=60).stdout.strip()
-    meta = {"repository_url": at, "branch": say("rev-parse", "--abbrev-ref", "HEAD"), "commit": say("rev-parse", "HEAD")}
-    root = Root(at, GIT, directory=into, metadata=meta)
-    for path, ok in walk(into, skip_git=True):
-        if ok:
-            root.items.append(_file(path, f"{at}#{os.path.relpath(path, into)}", meta))
-        else:
-            root.complete = False
-    return root
+    return {"repository_url": url, "branch": say("rev-parse", "--abbrev-ref", "HEAD"), "commit": say("rev-parse", "HEAD")}
 
 
 ITEMS = "source_root_id string, uri string, path string, content binary, extension string, modified_ns string, metadata string"
 
 
 def items(spark, roots: list[Root]):
-    """The items of all roots as a DataFrame; files come by path and are read where they are processed."""
+    """The listed items of roots as a DataFrame; files come by path and are read where they are processed."""
     rows = [(r.id, i.uri, i.path, i.content, i.extension, i.modified_ns, json.dumps(r.metadata | i.metadata, sort_keys=True)) for r in roots for i in r.items]
     return spark.createDataFrame(rows, ITEMS)
 
 
+def discover(spark, root: Root, store: str, most: int = 64 << 20):
+    """All items of a root as a DataFrame. Sets the root's ``complete``, and the metadata of a repository.
+
+    Files of a folder are found in tasks and come by path; those of a repository come with their contents, which are kept
+    under ``store``. A repository's clone is gone when this returns.
+    """
+    from . import discovery
+
+    none = F.lit(None)
+    if root.kind == GIT:
+        with tempfile.TemporaryDirectory(prefix="lodestone-git-") as into:
+            root.metadata = clone(root.identity, into)
+            found, root.complete = discovery.stored_tree(spark, into, f"{store}/{root.id}", most)
+        ending = F.regexp_extract(F.lower("path"), r"[^/]\.([^./]*)$", 1)
+        uri, path, content, modified = F.concat(F.lit(root.identity + "#"), "path"), none, F.col("content"), none
+    elif root.directory:
+        listed = discovery.listing(spark, root.directory)
+        root.complete = not listed.filter(F.col("kind") == discovery.BAD).limit(1).count()
+        found = listed.filter(F.col("kind") == discovery.FILE)
+        uri, path, content, ending, modified = F.concat(F.lit("file://"), "path"), F.col("path"), none, F.col("extension"), F.col("modified_ns")
+    else:
+        return items(spark, [root])
+    return found.select(
+        F.lit(root.id).alias("source_root_id"), uri.alias("uri"), path.cast("string").alias("path"), content.cast("binary").alias("content"), ending.alias("extension"),
+        modified.cast("string").alias("modified_ns"), F.lit(json.dumps(root.metadata, sort_keys=True)).alias("metadata"),
+    )
+
+
 def read_stable(path: str, most: int) -> bytes:
     """A file whose size and time did not change while it was read."""
     with open(path, "rb") as f:

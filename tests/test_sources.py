@@ -31,16 +31,7 @@ def test_public_ip():
     assert all(map(i.public_ip, ("8.8.8.8", "2606:4700::1111", "::ffff:8.8.8.8")))
 
 
-def test_walk_and_stdin(tmp_path):
-    (tmp_path / ".gitignore").write_text("ignored")
-    (tmp_path / "ignored").write_text("x")
-    (tmp_path / ".hidden").mkdir()
-    (tmp_path / ".hidden" / "x").write_text("y")
-    (tmp_path / "link").symlink_to(tmp_path / "ignored")
-    (tmp_path / "cycle").symlink_to(tmp_path)
-    assert len(list(i.walk(str(tmp_path)))) == 4
-    (tmp_path / "broken").symlink_to(tmp_path / "nowhere")
-    assert not i.prepare(str(tmp_path)).complete
+def test_stdin_and_globs(tmp_path):
     root = i.prepare("-", stdin=io.BytesIO(b"hello"))
     assert root.identity.startswith("stdin://sha256/") and root.items[0].content == b"hello"
     with pytest.raises(i.InputError, match="size_limit"):
