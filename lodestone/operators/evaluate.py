@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import shared, vectors
+from ..functions.ids import seeded_rank
+
 CUTOFF = 10
 
 
@@ -58,17 +61,102 @@ def hashed_draw(replicate: Column, position: Column, count: Column, seed: str) -
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % count
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``position`` from 0 in the order of a column of unique values, counted in ranges of it, not in one task."""
+    dealt = shared.kept(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return dealt.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn("position", F.col("_start") + F.col("_place")).drop("_range", "_start", "_place")
+
+
+def draws(spark: SparkSession, count: int, replicates: int, seed: str = "bootstrap") -> DataFrame:
+    """(replicate, position): as many draws with replacement in each replicate as there are positions. Generated in tasks."""
+    made = spark.range(replicates * count).select(F.floor(F.col("id") / max(count, 1)).alias("replicate"), (F.col("id") % max(count, 1)).alias("slot"))
+    return made.select("replicate", hashed_draw(F.col("replicate"), F.col("slot"), F.lit(max(count, 1)).cast("long"), seed).alias("position"))
+
+
 def bootstrap(values: DataFrame, value: str, order: str, replicates: int, seed: str = "bootstrap") -> DataFrame:
-    """Means of paired bootstrap replicates (replicate, mean).
+    """Means of bootstrap replicates (replicate, mean) of one row per query; the work is replicates times queries."""
+    rows = numbered(values.select(order, value), order)
+    return draws(values.sparkSession, rows.count(), replicates, seed).join(rows, "position").groupBy("replicate").agg(F.avg(value).alias("mean"))
+
+
+def paired_bootstrap(values: DataFrame, value: str, arms: list[str], replicates: int, seed: str = "bootstrap") -> DataFrame:
+    """Means of joint replicates: (replicate, a column for each arm), of (arm, query_id, value).
+
+    The queries of a replicate are drawn once and are the same for all arms, so that differences between arms are paired. Every arm
+    must have a value for every query.
+    """
+    wide = values.groupBy("query_id").pivot("arm", arms).agg(F.first(value))
+    faulty = wide.filter(" or ".join(f"`{a}` is null" for a in arms)).limit(1).count()
+    if faulty:
+        raise ValueError("an arm lacks a value for a query")
+    rows = numbered(wide, "query_id")
+    return draws(values.sparkSession, rows.count(), replicates, seed).join(rows, "position").groupBy("replicate").agg(*[F.avg(f"`{a}`").alias(a) for a in arms])
+
+
+# Fixed value: the loss up to which a mixed configuration passes.
+MOST_LOSS = 0.01
 
-    ``values`` is one row per query, a small table; replicates are generated, so the work is replicates times queries.
+
+def paired_losses(values: DataFrame, value: str, sides: list[str], others: list[str], replicates: int, seed: str = "bootstrap") -> DataFrame:
+    """Per arm of ``others``: what it loses against the better of ``sides``, with the central 95 % of that over joint replicates.
+
+    (arm, mean, loss, low, high, passes). Which side is better is settled inside each replicate, and for ``loss`` by the means.
+    """
+    means = values.groupBy("arm").agg(F.avg(value).alias("mean"))
+    best = means.filter(F.col("arm").isin(sides)).agg(F.max("mean").alias("_best"))
+    boot = paired_bootstrap(values, value, [*sides, *others], replicates, seed)
+    better = F.greatest(*[F.col(f"`{s}`") for s in sides])
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("arm"), (better - F.col(f"`{o}`")).alias("loss")) for o in others]))
+    spread = interval(boot.select(each.alias("_e")).select("_e.*"), "loss", ["arm"])
+    point = means.filter(F.col("arm").isin(others)).join(F.broadcast(best)).withColumn("loss", F.col("_best") - F.col("mean"))  # one row
+    return point.join(spread, "arm").select("arm", "mean", "loss", "low", "high", (F.col("loss") <= MOST_LOSS).alias("passes"))
+
+
+def paired_deltas(values: DataFrame, value: str, reference: str, others: list[str], replicates: int, seed: str = "bootstrap") -> DataFrame:
+    """Per arm of ``others``: its mean less that of a reference arm, with the central 95 % over joint replicates: (arm, delta, low, high)."""
+    boot = paired_bootstrap(values, value, [reference, *others], replicates, seed)
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("arm"), (F.col(f"`{o}`") - F.col(f"`{reference}`")).alias("delta")) for o in others]))
+    spread = interval(boot.select(each.alias("_e")).select("_e.*"), "delta", ["arm"])
+    means = values.groupBy("arm").agg(F.avg(value).alias("_mean"))
+    base = means.filter(F.col("arm") == reference).select(F.col("_mean").alias("_base"))
+    return means.join(F.broadcast(base)).join(spread, "arm").select("arm", (F.col("_mean") - F.col("_base")).alias("delta"), "low", "high")  # one row
+
+
+def vector_differences(a: DataFrame, b: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
+    """Row by row, two sets of vectors: (id, cosine, difference, dimension), the greatest difference of a component and where it is (from 0).
+
+    Rows that only one set has are left out, and so are vectors of different sizes; a null or zero vector has no cosine.
     """
-    n = values.count()
-    numbered = values.withColumn("position", F.row_number().over(Window.orderBy(order)) - 1).select("position", value)
-    spark = values.sparkSession
-    draws = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    draws = draws.withColumn("position", hashed_draw(F.col("replicate"), F.col("slot"), F.lit(max(n, 1)).cast("long"), seed))
-    return draws.join(F.broadcast(numbered), "position").groupBy("replicate").agg(F.avg(value).alias("mean"))
+    both = a.select(id_col, F.col(vec_col).alias("_a")).join(b.select(id_col, F.col(vec_col).alias("_b")), id_col).filter(F.size("_a") == F.size("_b"))
+    apart = F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    rows = both.select(id_col, (1 - vectors.cosine_distance(F.col("_a"), F.col("_b"))).alias("cosine"), apart.alias("_d"))
+    return rows.select(id_col, "cosine", F.array_max("_d").alias("difference"), (F.array_position("_d", F.array_max("_d")) - 1).cast("int").alias("dimension"))
+
+
+def drift(differences: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """One row: how many vectors were compared, the least cosine and the greatest difference, each with the first row that has it."""
+    low = F.min_by(id_col, F.struct("cosine", id_col))
+    high = F.min_by(F.struct(F.col(id_col).alias("id"), "dimension"), F.struct(-F.col("difference"), F.col(id_col)))
+    worst = differences.agg(F.count("*").alias("compared"), F.min("cosine").alias("least_cosine"), low.alias("least_cosine_id"), F.max("difference").alias("greatest_difference"), high.alias("_high"))
+    return worst.select("compared", "least_cosine", "least_cosine_id", "greatest_difference", F.col("_high.id").alias("greatest_difference_id"), F.col("_high.dimension").alias("dimension"))
+
+
+# Fixed value: how many rows a drift sample has.
+DRIFT_ROWS = 32
+
+
+def drift_sample(differences: DataFrame, seed: str, position: str, id_col: str = "chunk_id", n: int = DRIFT_ROWS) -> DataFrame:
+    """The rows with the lowest seeded hashes of their ids, ties by position in the corpus. A bounded heap per task."""
+    return differences.withColumn("hash", seeded_rank(seed, "drift", id_col)).orderBy("hash", position).limit(n)
+
+
+def judgment_counts(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """One row: positive and zero judgments of the given queries, and how many of the queries have a positive one."""
+    mine = qrels.join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    return mine.agg(F.count_if(F.col("grade") > 0).alias("positive_pairs"), F.count_if(F.col("grade") <= 0).alias("zero_pairs"), F.count_distinct(F.when(F.col("grade") > 0, F.col("query_id"))).alias("eligible_queries"))
 
 
 # Fixed values of the digest stream: what separates the key's parts, and the numbers that a digest holds.

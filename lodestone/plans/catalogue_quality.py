@@ -134,12 +134,107 @@ def six_way_matrix(t):
     return out.groupBy("asked", "docs").agg(F.count("*").alias("pairs"), r6(F.avg("score")).alias("mean"), r6(F.max("score")).alias("greatest"))
 
 
-
 def _rank_sql(seed: str, kind: str, column: str) -> str:
     size = lambda s: f"'{len(s):016x}'"
     return f"sha256(from_hex({size(seed)}) || encode('{seed}') || from_hex({size(kind)}) || encode('{kind}') || from_hex(printf('%016x', octet_length(encode(CAST({column} AS VARCHAR))))) || encode(CAST({column} AS VARCHAR)))"
 
 
+COMBINATIONS = ["a/a", "b/b", "a/b", "b/a", "a/mixed", "b/mixed"]
+
+
+def _arms(t: Tables) -> DataFrame:
+    """nDCG of every query in all six combinations of query vectors and document vectors: (arm, query_id, ndcg)."""
+    a = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    b = a.withColumn("v", F.transform("v", lambda x: F.round(x, 1)))
+    mixed = a.join(b.withColumnRenamed("v", "w"), "vec_id").select("vec_id", F.when(ids.parity("vec_id") == 0, F.col("v")).otherwise(F.col("w")).alias("v"))
+    sets = {"a": a, "b": b, "mixed": mixed}
+    ranked = None
+    for arm in COMBINATIONS:
+        asked, docs = (sets[x] for x in arm.split("/"))
+        scored = dense.scores(asked.filter(ASKED), docs, "vec_id", "vec_id", "v").withColumn("score", F.round("score", 5))
+        one = dense.top_ids(scored).withColumn("query_id", F.concat(F.lit(arm + "|"), "query_id"))
+        ranked = one if ranked is None else ranked.unionByName(one)
+    arms = F.explode(F.array(*map(F.lit, COMBINATIONS))).alias("_arm")
+    grades = _qrels(t).select(arms, "*").withColumn("query_id", F.concat("_arm", F.lit("|"), "query_id")).drop("_arm")
+    parts = F.split("query_id", r"\|")
+    return evaluate.metrics(ranked, grades).select(parts[0].alias("arm"), parts[1].cast("long").alias("query_id"), F.round("ndcg", 9).alias("ndcg"))
+
+
+PAIRED = f"""
+{SIX.replace('2) AS DOUBLE', '1) AS DOUBLE')}, {QRELS},
+rk AS (
+  SELECT arm, query_id, id, row_number() OVER (PARTITION BY arm, query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT asked || '/' || docs AS arm, q.vec_id AS query_id, d.vec_id AS id, round(list_inner_product(q.v, d.v), 5) AS score FROM asks q, docs d WHERE q.vec_id <> d.vec_id) QUALIFY rank <= 10
+), ideal AS (SELECT query_id, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS r FROM qrels) GROUP BY 1),
+hit AS (SELECT arm, query_id, sum(grade / log2(rank + 1)) AS dcg FROM rk JOIN qrels USING (query_id, id) GROUP BY 1, 2),
+met AS (SELECT arm, query_id, round(coalesce(dcg, 0) / ideal, 9) AS ndcg FROM (SELECT DISTINCT arm FROM rk) CROSS JOIN ideal LEFT JOIN hit USING (arm, query_id)),
+v AS (SELECT arm, ndcg, row_number() OVER (PARTITION BY arm ORDER BY query_id) - 1 AS position FROM met), n AS (SELECT count(*) AS n FROM ideal),
+draws AS (SELECT r AS replicate, CAST(('0x' || substr(sha256('bootstrap:' || r || ':' || s), 1, 15)) AS BIGINT) % n AS position FROM range(200) a(r), n, range(n) b(s)),
+boot AS (SELECT replicate, arm, avg(ndcg) AS mean FROM draws JOIN v USING (position) GROUP BY 1, 2),
+point AS (SELECT arm, avg(ndcg) AS mean FROM met GROUP BY 1)"""
+
+
+@query(f"""
+WITH {PAIRED},
+sides AS (SELECT replicate, max(mean) AS better FROM boot WHERE arm IN ('a/a', 'b/b') GROUP BY 1),
+ci AS (SELECT arm, quantile_cont(better - mean, 0.025) AS low, quantile_cont(better - mean, 0.975) AS high FROM boot JOIN sides USING (replicate) WHERE arm NOT IN ('a/a', 'b/b') GROUP BY 1)
+SELECT arm, round(mean, 6) + 0.0 AS mean, round((SELECT max(mean) FROM point WHERE arm IN ('a/a', 'b/b')) - mean, 6) + 0.0 AS loss, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high,
+  (SELECT max(mean) FROM point WHERE arm IN ('a/a', 'b/b')) - mean <= 0.01 AS passes
+FROM point JOIN ci USING (arm)
+""")
+def paired_losses(t):
+    out = evaluate.paired_losses(_arms(t), "ndcg", COMBINATIONS[:2], COMBINATIONS[2:], 200)
+    return out.select("arm", r6(F.col("mean")).alias("mean"), r6(F.col("loss")).alias("loss"), *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("low", "high")], "passes")
+
+
+@query(f"""
+WITH {PAIRED},
+ci AS (SELECT o.arm, quantile_cont(o.mean - r.mean, 0.025) AS low, quantile_cont(o.mean - r.mean, 0.975) AS high FROM boot o JOIN boot r USING (replicate) WHERE r.arm = 'a/a' AND o.arm <> 'a/a' GROUP BY 1)
+SELECT arm, round(mean - (SELECT mean FROM point WHERE arm = 'a/a'), 6) + 0.0 AS delta, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high FROM point JOIN ci USING (arm)
+""")
+def paired_deltas(t):
+    out = evaluate.paired_deltas(_arms(t), "ndcg", COMBINATIONS[0], COMBINATIONS[1:], 200)
+    return out.select("arm", r6(F.col("delta")).alias("delta"), *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("low", "high")])
+
+
+def _generations(t: Tables) -> DataFrame:
+    """The vectors against coarser ones, in binary steps so that both sides compute alike."""
+    coarse = t.embeddings.select("vec_id", F.transform("embedding", lambda x: (F.floor(x * 64) / 64).cast("float")).alias("embedding"))
+    return evaluate.vector_differences(t.embeddings, coarse, "vec_id").withColumn("cosine", F.round("cosine", 9))
+
+
+GENERATIONS = """
+p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64) / 64) AS b FROM embeddings),
+d AS (SELECT vec_id, round(list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b))), 9) AS cosine, list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2])) AS gap FROM p),
+x AS (SELECT vec_id, cosine, list_max(gap) AS difference, CAST(list_position(gap, list_max(gap)) - 1 AS INTEGER) AS dimension FROM d)"""
+
+
+@query(f"""
+WITH {GENERATIONS}
+SELECT count(*) AS compared, round(min(cosine), 6) + 0.0 AS least_cosine, (SELECT vec_id FROM x ORDER BY cosine, vec_id LIMIT 1) AS least_cosine_id, max(difference) AS greatest_difference,
+  (SELECT vec_id FROM x ORDER BY difference DESC, vec_id LIMIT 1) AS greatest_difference_id, (SELECT dimension FROM x ORDER BY difference DESC, vec_id LIMIT 1) AS dimension FROM x
+""")
+def generation_drift(t):
+    return evaluate.drift(_generations(t), "vec_id").withColumn("least_cosine", r6(F.col("least_cosine")))
+
+
+@query(f"""
+WITH {GENERATIONS}
+SELECT vec_id, round(cosine, 6) + 0.0 AS cosine, difference, dimension FROM x ORDER BY {_rank_sql('s1', 'drift', 'vec_id')}, vec_id LIMIT 32
+""")
+def drift_sample(t):
+    return evaluate.drift_sample(_generations(t), "s1", "vec_id", "vec_id").select("vec_id", r6(F.col("cosine")).alias("cosine"), "difference", "dimension")
+
+
+@query("""
+SELECT count(*) FILTER (grade > 0) AS positive_pairs, count(*) FILTER (grade <= 0) AS zero_pairs, count(DISTINCT query_id) FILTER (grade > 0) AS eligible_queries
+FROM (SELECT d.source AS query_id, l.quality + l.toxic AS grade FROM labels l JOIN documents d USING (doc_id) WHERE d.source IN (SELECT source FROM documents WHERE lang = 'en'))
+""")
+def judgment_counts(t):
+    grades = t.labels.join(t.documents, "doc_id").select(F.col("source").alias("query_id"), (F.col("quality") + F.col("toxic")).alias("grade"))
+    return evaluate.judgment_counts(t.documents.filter("lang = 'en'").select(F.col("source").alias("query_id")), grades)
+
+
 @query(f"SELECT item_id AS id, {_rank_sql('s1', 'query', 'item_id')} AS hash FROM benchmark ORDER BY hash, id LIMIT 10")
 def hash_sample_queries(t):
     return sampling.hash_sample(t.benchmark.select(F.col("item_id").alias("id")), "s1", "query", 10)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import batching, ids, text, vectors
-from ..operators import chunking, dense, lexical, search, sync
+from ..operators import chunking, dense, evaluate, lexical, search, sync
 from ..sources import extractors, inputs
 from .store import Snapshot, Store, StoreError
 
@@ -274,6 +274,14 @@ class Engine:
                 self._activate(self.store.snapshot(), building)
         return building
 
+    def drift(self) -> DataFrame:
+        """How far the vectors of the generation that is being built are from the active ones, chunk by chunk in one join; see ``evaluate.drift``."""
+        now = self.store.current()
+        building = now.generation("building")
+        if building is None:
+            raise StoreError("no generation is being built")
+        return evaluate.drift(evaluate.vector_differences(now.active_vectors(), now.vectors(building)))
+
     def _activate(self, now: Snapshot, generation: int) -> None:
         if {"id": generation, "status": "building"} not in now.manifest["generations"]:
             raise StoreError("only a building generation can be activated")

@@ -152,6 +152,19 @@ def test_incomplete_generation_cannot_be_activated(spark, tmp_path, tree):
     assert e.store.snapshot().generation() == 1
 
 
+def test_drift_of_a_generation_that_is_being_built(spark, tmp_path, tree):
+    e = engine(spark, tmp_path / "store")
+    e.ingest([str(tree)])
+    with pytest.raises(StoreError):
+        e.drift()
+    good = hashed_embedder(256)
+    e.embed = lambda texts: [[-v[0] if "SQLITE_BUSY" in t else v[0], *v[1:]] if v[0] else v for t, v in zip(texts, good(texts))]
+    assert e.rebuild(activate=False) == 2
+    got = e.drift().first()
+    assert got["compared"] == e.status()["chunks"] and got["least_cosine"] <= 1.0 + 1e-6
+    assert e.store.snapshot().generation() == 1
+
+
 def test_pinned_snapshot_and_lock(spark, tmp_path, tree):
     e = engine(spark, tmp_path / "store")
     e.ingest([str(tree)])

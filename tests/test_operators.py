@@ -147,3 +147,47 @@ def test_scores_of_more_queries_than_one_broadcast(spark, monkeypatch):
     monkeypatch.setattr(dense, "QUERY_ROWS", 3)
     got = sorted(map(tuple, dense.scores(rows, rows, "vec_id", "vec_id").collect()))
     assert got == [(q, i, float(q * i + 1)) for q in range(7) for i in range(7)]
+
+
+def test_numbered_counts_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
+    got = evaluate.numbered(rows, "k").collect()
+    assert len(got) == 1000 and all(r["k"] == r["position"] for r in got) and evaluate.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_paired_replicates_draw_the_same_queries_for_all_arms(spark):
+    values = spark.createDataFrame([(arm, q, float(q % 5) + shift) for arm, shift in (("x", 0.0), ("y", 0.5), ("z", -0.25)) for q in range(40)], "arm string, query_id long, v double")
+    boot = evaluate.paired_bootstrap(values, "v", ["x", "y", "z"], 30).collect()
+    assert len(boot) == 30 and len({r["x"] for r in boot}) > 5
+    assert all(r["y"] - r["x"] == pytest.approx(0.5) and r["x"] - r["z"] == pytest.approx(0.25) for r in boot)
+    (loss,) = evaluate.paired_losses(values, "v", ["x", "y"], ["z"], 30).collect()
+    assert [loss["loss"], loss["low"], loss["high"]] == pytest.approx([0.75] * 3) and not loss["passes"]
+    deltas = {r["arm"]: r["delta"] for r in evaluate.paired_deltas(values, "v", "x", ["y", "z"], 30).collect()}
+    assert deltas == pytest.approx({"y": 0.5, "z": -0.25})
+    with pytest.raises(ValueError, match="lacks"):
+        evaluate.paired_bootstrap(values.filter("arm <> 'y' or query_id <> 3"), "v", ["x", "y"], 5)
+
+
+def test_the_better_side_is_settled_in_each_replicate(spark):
+    """Two sides that are better on different queries: the better of their means in a replicate is at least either one."""
+    values = spark.createDataFrame([(a, q, v) for q in range(20) for a, v in (("x", float(q % 2)), ("y", float((q + 1) % 2)), ("m", 0.5))], "arm string, query_id long, v double")
+    (got,) = evaluate.paired_losses(values, "v", ["x", "y"], ["m"], 200).collect()
+    assert got["loss"] == pytest.approx(0) and got["low"] >= 0 and got["high"] > 0.05
+
+
+def test_vector_differences_and_drift(spark):
+    a = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.6, 0.8]), ("d", None), ("e", [1.0, 0.0]), ("only", [1.0, 0.0])], "chunk_id string, embedding array<float>")
+    b = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [0.8, 0.6]), ("d", [1.0, 0.0]), ("e", [1.0])], "chunk_id string, embedding array<float>")
+    rows = {r["chunk_id"]: r for r in evaluate.vector_differences(a, b).collect()}
+    assert set(rows) == {"a", "b", "c"} and rows["b"]["cosine"] == pytest.approx(1) and (rows["b"]["difference"], rows["b"]["dimension"]) == (1.0, 1)
+    got = evaluate.drift(evaluate.vector_differences(a, b)).first()
+    assert (got["compared"], got["least_cosine_id"], got["greatest_difference_id"], got["dimension"]) == (3, "c", "b", 1) and got["least_cosine"] == pytest.approx(0.96)
+    assert evaluate.drift(evaluate.vector_differences(a.limit(0), b)).first()["compared"] == 0
+    sample = evaluate.drift_sample(evaluate.vector_differences(a, b), "s", "chunk_id", n=2).collect()
+    assert len(sample) == 2 and sample[0]["hash"] < sample[1]["hash"]
+
+
+def test_judgment_counts(spark):
+    qrels = spark.createDataFrame([(1, 1, 2), (1, 2, 0), (2, 1, 0), (3, 1, 1)], "query_id int, id int, grade int")
+    asked = spark.createDataFrame([(1,), (2,), (2,)], "query_id int")
+    assert tuple(evaluate.judgment_counts(asked, qrels).first()) == (1, 2, 1)
