@@ -32,6 +32,17 @@ def hard_negatives(candidates: DataFrame, qrels: DataFrame, k: int) -> DataFrame
     return left.filter(F.col("position") <= k)
 
 
+def negatives_quota(candidates: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """``hard_negatives``, of which every query with candidates must have ``k``: a shortfall is an error that names the first such query."""
+    found = hard_negatives(candidates, qrels, k)
+    have = found.groupBy("query_id").agg(F.count("*").alias("_n"))
+    short = candidates.select("query_id").distinct().join(have, "query_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_n") < k)
+    first = short.orderBy("query_id").limit(1).collect()
+    if first:
+        raise ValueError(f"query {first[0]['query_id']} has {first[0]['_n']} of {k} hard negatives")
+    return found
+
+
 def dangling(qrels: DataFrame, documents: DataFrame, id_col: str = "id") -> DataFrame:
     """Judgments of documents that do not exist."""
     return qrels.join(documents.select(id_col), id_col, "left_anti")

@@ -46,6 +46,7 @@ def hashed_embedder(dimensions: int) -> Embed:
             out.append([x / n for x in v] if n else [1.0] + [0.0] * (dimensions - 1))
         return out
 
+    embed.synthetic = True
     return embed
 
 
@@ -54,6 +55,22 @@ class Engine:
         self.spark, self.store, self.embed, self.dimensions = spark, Store(spark, base), embed, dimensions
         self.capacity, self.overlap, self.offsets, self.model, self.custom, self.most = capacity, overlap, offsets, model, custom or {}, most_bytes
         self.query_prefix = query_prefix
+        self.synthetic = getattr(embed, "synthetic", False)
+
+    def _made_by(self) -> dict:
+        """What a generation of vectors is made by, and how its texts were cut."""
+        return {"model": self.model, "dimensions": self.dimensions, "chunking": [self.capacity, self.overlap]}
+
+    def _must_fit(self, now: Snapshot, keys: tuple[str, ...], status: str = "active") -> None:
+        """Refuse a store whose vectors this engine's would not go with: synthetic and real ones, or ones of another model or cut."""
+        flag = now.manifest["flags"].get("synthetic_vectors", False)
+        if flag != self.synthetic and (flag or now.manifest["generations"]):
+            raise StoreError(f"the store holds {'synthetic' if flag else 'real'} vectors, which do not go with {'real' if flag else 'synthetic'} ones: choose another store")
+        mine = self._made_by()
+        for g in now.manifest["generations"]:
+            odd = [k for k in keys if g["status"] == status and k in g and g[k] != mine[k]]
+            if odd:
+                raise StoreError(f"generation {g['id']} has {odd[0]} {g[odd[0]]}, not {mine[odd[0]]}")
 
     def recipe(self, root: inputs.Root) -> str:
         """Everything that a stored document depends on besides its bytes."""
@@ -102,6 +119,7 @@ class Engine:
 
     def _ingest_root(self, root: inputs.Root, run: str, counts: dict, fail_fast: bool) -> list[tuple[str, str, str]]:
         now = self.store.current()
+        self._must_fit(now, ("model", "dimensions", "chunking"))
         found = inputs.discover(self.spark, root, f"{self.store.base}/_repositories", self.most)
         manifest, recipe = now.manifest, self.recipe(root)
         stored, old_chunks = now.table("documents", [root.id]), now.table("chunks", [root.id])
@@ -122,7 +140,7 @@ class Engine:
             generation = now.generation()
         else:
             generation = 1
-            manifest = manifest | {"generations": [{"id": 1, "status": "active"}], "models": [{"id": self.model, "dimensions": self.dimensions}]}
+            manifest = manifest | {"generations": [{"id": 1, "status": "active"} | self._made_by()], "models": [{"id": self.model, "dimensions": self.dimensions}], "flags": manifest["flags"] | {"synthetic_vectors": self.synthetic}}
         new_vectors = self._kept(self._embedded(made, generation), "vectors")
         # a document with a chunk that got no vector keeps its old state
         faulty = self._kept(new_vectors.filter("error is not null").groupBy("document_id").agg(F.min("error").alias("error")), "faulty")
@@ -250,10 +268,12 @@ class Engine:
         """A shadow generation: only missing vectors are made, and it becomes active once it covers every chunk. A run tells how it went."""
         with self.store.writer():
             now = self.store.current()
+            self._must_fit(now, ("chunking",))  # texts are not cut anew
+            self._must_fit(now, ("model", "dimensions"), "building")
             building = now.generation("building")
             if building is None:
                 building = max([g["id"] for g in now.manifest["generations"]], default=0) + 1
-                now = self.store.commit(now.manifest | {"generations": now.manifest["generations"] + [{"id": building, "status": "building"}]}, {})
+                now = self.store.commit(now.manifest | {"generations": now.manifest["generations"] + [{"id": building, "status": "building"} | self._made_by()], "models": [m for m in now.manifest["models"] if m["id"] != self.model] + [{"id": self.model, "dimensions": self.dimensions}]}, {})
             started = datetime.now(timezone.utc).isoformat()
             entry = {"id": hashlib.sha256(f"{started}{building}".encode()).hexdigest()[:32], "kind": "rebuild", "started_at": started}
             counts, failures = {"chunks": 0, "failed": 0}, []
@@ -283,7 +303,7 @@ class Engine:
         return evaluate.drift(evaluate.vector_differences(now.active_vectors(), now.vectors(building)))
 
     def _activate(self, now: Snapshot, generation: int) -> None:
-        if {"id": generation, "status": "building"} not in now.manifest["generations"]:
+        if not any(g["id"] == generation and g["status"] == "building" for g in now.manifest["generations"]):
             raise StoreError("only a building generation can be activated")
         if sync.missing_vectors(now.table("chunks"), now.vectors(generation), generation).limit(1).count():
             raise StoreError("the generation does not cover all chunks")
@@ -296,8 +316,8 @@ class Engine:
         """Ranked chunks with their documents, from one pinned snapshot."""
         search.validate_request(query, mode, limit, root, media_type)
         now = self.store.current()
-        if now.manifest["flags"].get("synthetic_vectors"):
-            raise StoreError("the store holds synthetic vectors")
+        if now.manifest["generations"]:
+            self._must_fit(now, ("model", "dimensions"))
         known = [(k, v["identity"]) for k, v in now.manifest["roots"].items()]
         if root is not None and not any(root in pair for pair in known) and os.path.exists(root):
             root = "file://" + os.path.realpath(root)  # a local path stands for its root's identity

@@ -165,6 +165,33 @@ def test_drift_of_a_generation_that_is_being_built(spark, tmp_path, tree):
     assert e.store.snapshot().generation() == 1
 
 
+def test_vectors_of_other_models_cuts_or_kinds_are_not_mixed(spark, tmp_path, tree):
+    base = tmp_path / "store"
+    e = engine(spark, base)
+    e.ingest([str(tree / "a.txt")])
+    assert e.store.snapshot().manifest["flags"] == {"synthetic_vectors": True}
+    real = Engine(spark, str(base), lambda texts: hashed_embedder(256)(texts), 256, capacity=8, overlap=2)
+    for act in (lambda: real.ingest([str(tree)]), lambda: real.search("alpha"), real.rebuild):
+        with pytest.raises(StoreError, match="synthetic"):
+            act()
+    other = engine(spark, base, model="other")
+    for act in (lambda: other.ingest([str(tree)]), lambda: other.search("alpha")):
+        with pytest.raises(StoreError, match="model injected, not other"):
+            act()
+    assert other.rebuild(activate=False) == 2
+    with pytest.raises(StoreError, match="generation 2 has model other"):  # another model can't finish what it began
+        e.rebuild()
+    assert other.rebuild() == 2 and other.search("alpha").count() == 2
+    cut = Engine(spark, str(base), hashed_embedder(256), 256, capacity=9, overlap=2, model="other")
+    with pytest.raises(StoreError, match="chunking"):
+        cut.rebuild()
+    own = Engine(spark, str(tmp_path / "real"), lambda texts: hashed_embedder(256)(texts), 256, capacity=8, overlap=2)
+    own.ingest([str(tree / "a.txt")])
+    assert own.search("alpha").count() == 2
+    with pytest.raises(StoreError, match="real"):
+        engine(spark, tmp_path / "real").ingest([str(tree)])
+
+
 def test_pinned_snapshot_and_lock(spark, tmp_path, tree):
     e = engine(spark, tmp_path / "store")
     e.ingest([str(tree)])

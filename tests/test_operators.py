@@ -191,3 +191,11 @@ def test_judgment_counts(spark):
     qrels = spark.createDataFrame([(1, 1, 2), (1, 2, 0), (2, 1, 0), (3, 1, 1)], "query_id int, id int, grade int")
     asked = spark.createDataFrame([(1,), (2,), (2,)], "query_id int")
     assert tuple(evaluate.judgment_counts(asked, qrels).first()) == (1, 2, 1)
+
+
+def test_a_shortfall_of_hard_negatives_is_an_error(spark):
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 10, 1), (2, 11, 2)], "query_id int, id int, rank int")
+    qrels = spark.createDataFrame([(1, 10, 1), (2, 11, 1)], "query_id int, id int, grade int")
+    assert sampling.negatives_quota(ranked, qrels, 1).count() == 2
+    with pytest.raises(ValueError, match="query 2 has 1 of 2"):
+        sampling.negatives_quota(ranked, qrels, 2)
