@@ -18,22 +18,29 @@ def knn(rows: DataFrame, query, k: int, id_col: str = "chunk_id", vec_col: str =
     return rows.select(F.col(id_col), distance.alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def knn_of_row(rows: DataFrame, key, k: int, id_col: str, vec_col: str = "embedding") -> DataFrame:
-    """The same with a stored vector as the query; that row itself takes part. One row is broadcast."""
-    query = rows.filter(F.col(id_col) == key).select(F.col(vec_col).alias("_q")).limit(1)
+def knn_of_row(rows: DataFrame, key, k: int, id_col: str, vec_col: str = "embedding", stored: DataFrame | None = None) -> DataFrame:
+    """The same with a stored vector as the query, taken from ``stored`` or the rows themselves; its row takes part if it is among them. One row is broadcast."""
+    query = (rows if stored is None else stored).filter(F.col(id_col) == key).select(F.col(vec_col).alias("_q")).limit(1)
     distance = vectors.cosine_distance(F.col(vec_col), F.col("_q"))
     return rows.join(F.broadcast(query)).select(F.col(id_col), distance.alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-#: Query vectors that one job broadcasts: of 768 floats, 12 MB. More are joined without a broadcast.
-QUERY_ROWS = 4096
+#: Query vectors of one block: of 768 floats, 12 MB. One block is broadcast; of more, each meets the rows in WAYS parts.
+QUERY_ROWS, WAYS = 4096, 64
 
 
 def scores(queries: DataFrame, rows: DataFrame, query_id: str, id_col: str, vec_col: str = "embedding") -> DataFrame:
-    """Similarity matrix (query_id, id, score) of a stated query set against all rows. Up to QUERY_ROWS queries are broadcast after a count."""
-    few = queries.count() <= QUERY_ROWS
+    """Similarity matrix (query_id, id, score) of a stated query set against all rows, block by block of the queries."""
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("_q"))
-    return rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).crossJoin(F.broadcast(q) if few else q).select("query_id", "id", vectors.dot("_q", "_v").alias("score"))
+    r = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v"))
+    if blocks == 1:
+        met = r.crossJoin(F.broadcast(q))  # at most QUERY_ROWS rows
+    else:
+        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_way", F.explode(F.array(*map(F.lit, range(WAYS)))))
+        r = r.withColumn("_way", F.pmod(F.xxhash64("id"), F.lit(WAYS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = r.join(q, ["_block", "_way"])
+    return met.select("query_id", "id", vectors.dot("_q", "_v").alias("score"))
 
 
 def top_ids(scored: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:

@@ -54,13 +54,14 @@ def _in_scope(t: Tables) -> DataFrame:
     return vectors_of(t).join(scope, "chunk_id", "left_semi")
 
 
-def _query_vector(t: Tables) -> list[float]:
-    return t.embeddings.filter("vec_id = 7").select("embedding").first()[0]
+def _near(t: Tables, rows: DataFrame, k: int) -> DataFrame:
+    """Rows nearest to the stored query vector, which need not be among them."""
+    return dense.knn_of_row(rows, 7, k, "chunk_id", stored=vectors_of(t))
 
 
 @query(f"SELECT chunk_id, round(distance, 6) + 0.0 AS distance FROM ({FILTERED}) ORDER BY distance, chunk_id LIMIT 10")
 def knn_filtered(t):
-    return dense.knn(_in_scope(t), _query_vector(t), 10).select("chunk_id", r6(F.col("distance")).alias("distance"))
+    return _near(t, _in_scope(t), 10).select("chunk_id", r6(F.col("distance")).alias("distance"))
 
 
 @query(f"""
@@ -181,7 +182,7 @@ ALL_DENSE = f"SELECT vec_id AS chunk_id, 1 - {COS.format(a='e.embedding', b='q.v
 
 
 def _hybrid(t: Tables, rows: DataFrame, scope: DataFrame) -> DataFrame:
-    near = dense.knn(rows, _query_vector(t), DEPTH).withColumn("distance", F.round("distance", 9))
+    near = _near(t, rows, DEPTH).withColumn("distance", F.round("distance", 9))
     scored = index_of(chunks(t)).bm25(lexical.query_phrases(WORDS)).join(scope, "chunk_id", "left_semi")
     best = lexical.top(visible(scored, t).withColumn("score", F.round("score", 9)), DEPTH)
     out = search.fuse(near, best, 10)
@@ -208,7 +209,7 @@ SELECT CAST(rank AS INTEGER) AS rank, chunk_id, distance, d.source AS source_roo
 FROM r JOIN documents d ON d.doc_id = r.chunk_id
 """)
 def hydrate_topk(t):
-    best = dense.knn(_in_scope(t), _query_vector(t), 10).withColumn("distance", r6(F.col("distance")))
+    best = _near(t, _in_scope(t), 10).withColumn("distance", r6(F.col("distance")))
     docs = t.documents.select("doc_id", F.col("source").alias("source_root_id"), F.col("lang").alias("media_type"))
     texts = t.documents.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
     full = search.hydrate(search.ranked(best, "distance"), texts, docs, doc_col="doc_id").drop("doc_id")

@@ -24,6 +24,14 @@ def test_dense_order(spark):
     assert [g["distance"] for g in got] == pytest.approx([0, 1 - math.sqrt(0.5), 1], abs=1e-6)
 
 
+def test_scores_of_many_queries_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(30)], "k long, v array<float>")
+    one = sorted(map(tuple, dense.scores(rows, rows, "k", "k", "v").collect()))
+    monkeypatch.setattr(dense, "QUERY_ROWS", 4)
+    many = dense.scores(rows, rows, "k", "k", "v")
+    assert "Cartesian" not in many._jdf.queryExecution().toString() and sorted(map(tuple, many.collect())) == one and len(one) == 900
+
+
 def test_vector_expressions(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([float("nan"), 1.0],), (None,)], "v array<float>")
     got = rows.select(vectors.normalize("v").alias("n"), vectors.is_unit(vectors.normalize("v"), 2).alias("ok"), vectors.is_unit("v", 2).alias("raw")).collect()
