@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order. The index holds, for each tile of rows, an inverted file
-per pivot: the rows that have the pivot among their nearest, each with the pivot's place in its order. A block of
-queries walks the inverted files of their nearest pivots together and sums up, for every row met, how much nearer the
-orders are than if the pivot were in one of them only; that ranks a tile's rows by the footrule distance of
-the orders (a missing pivot stands behind the last place). The best rows are then ranked by true distance.
+per pivot: the rows that have the pivot among their nearest, each with the pivot's place in its order. A query
+walks the inverted files of its few nearest pivots only, and sums up for every row met how much nearer
+the orders are than if the row had none of these pivots; that ranks a tile's rows by the footrule distance
+over the query's pivots (a missing pivot stands behind the last place). The best rows are then ranked by true distance.
 Pivots come from a bounded sample, for each dimension its own; every row is indexed. Rows of a dimension that the sample
 missed have no order, and are all ranked by true distance.
 """
@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from .common import keep, tidy
 from .vectors import Lists, all_blocks, blocks, matrices, merge, valid
 
-#: Pivots, places kept of each order, rows of a tile, and the part of a tile's rows that is ranked by true distance, with the
-#: least number of these. Rows looked at for each pivot that is chosen; queries that walk together.
-PIVOTS, PLACES, TILE_ROWS, DEPTH, LEAST, LOOKED_AT, TOGETHER = 256, 128, 8192, 0.05, 64, 16, 512
+#: Pivots, places kept of a row's order, nearest pivots whose files a query walks: a sixteenth of all files.
+PIVOTS, PLACES, WALKED = 1024, 128, 64
+#: Rows of a tile, and the part of a tile's rows that is ranked by true distance, with the least number of these.
+TILE_ROWS, DEPTH, LEAST = 8192, 0.1, 128
+#: Rows looked at for each pivot that is chosen; rows whose orders are worked out together.
+LOOKED_AT, TOGETHER = 8, 2048
 
 INDEX = "dim int, ids binary, vectors binary, starts binary, rows binary, places binary"
 
@@ -32,12 +35,17 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def orders(m: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:
     """The nearest pivots of each row, nearest first, ties by the pivot's number."""
-    return np.argsort(squares(m, pivots), axis=1, kind="stable")[:, :places]
+    kept, out = min(places, len(pivots)), np.zeros((len(m), min(places, len(pivots))), np.int64)
+    for a in range(0, len(m) if kept else 0, TOGETHER):
+        far = squares(m[a : a + TOGETHER], pivots)
+        near = np.sort(np.argpartition(far, kept - 1, axis=1)[:, :kept], axis=1)
+        out[a : a + TOGETHER] = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
+    return out
 
 
-def choose_pivots(rows: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """For each dimension distinct vectors from the sampled rows, those with the smallest id hashes."""
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(LOOKED_AT * pivots).toArrow()
+def choose_pivots(rows: DataFrame, pivots: int, draw: int = 0) -> dict[int, np.ndarray]:
+    """For each dimension distinct vectors from the sampled rows, those with the smallest id hashes; another ``draw``, other pivots."""
+    got = rows.orderBy(F.xxhash64(F.lit(draw), "vec_id"), "vec_id").limit(LOOKED_AT * pivots).toArrow()
     chosen = {}
     for _, _, m in matrices(got.column("vec_id"), got.column("vector")) if got.num_rows else ():
         _, first = np.unique(m, axis=0, return_index=True)
@@ -74,25 +82,21 @@ def build_index(rows: DataFrame, chosen: dict[int, np.ndarray], places: int = PL
     return keep(rows.mapInArrow(tidy(post), INDEX), "permutation-index")
 
 
-def footrule(near: np.ndarray, starts, rows, places_of, n: int) -> np.ndarray:
-    """Footrule distances of the orders of several queries (rows of ``near``) to all rows of a tile, one column for each query.
+def footrule(near: np.ndarray, starts, rows, places_of, n: int, places: int) -> np.ndarray:
+    """Footrule distances of a query's order ``near``, over the pivots it names, to all rows of a tile.
 
-    Orders keep L places. A pivot at places a and b of two orders makes them nearer, by twice the lesser of L - a and L - b, than if each
-    had it alone, which adds up to L (L + 1).
+    Orders of rows keep ``places`` places. A pivot that is at place a of the query's order adds places - a for a row that does
+    not have it, and the distance of the places for a row that has.
     """
-    queries, places = near.shape
-    kind = np.int16 if places * (places + 1) < 1 << 15 else np.int32
-    own = np.zeros((len(starts) - 1, queries), kind)
-    own[near.T, np.arange(queries)] = (places - np.arange(places))[:, None]
-    shared = np.zeros((n, queries), kind)
-    theirs = (places - places_of.astype(np.int32)).astype(kind)
-    for pivot in np.unique(near).tolist():
-        span = slice(starts[pivot], starts[pivot + 1])
-        shared[rows[span]] += np.minimum(theirs[span, None], own[pivot])
-    return places * (places + 1) - 2 * shared.astype(np.int32)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, places: int = PLACES, depth: float = DEPTH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    a = np.arange(len(near))
+    missing = places - a
+    spans = [slice(starts[p], starts[p + 1]) for p in near.tolist()]
+    gain = (missing[:, None] - np.abs(a[:, None] - np.arange(places))).ravel()
+    at = np.concatenate([places_of[s] for s in spans]).astype(np.int32) + np.repeat(a * places, [s.stop - s.start for s in spans])
+    return missing.sum() - np.bincount(np.concatenate([rows[s] for s in spans]), gain[at], n).astype(np.int64)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, places: int = PLACES, walked: int = WALKED, depth: float = DEPTH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per query the k nearest rows found, by Euclidean distance in double precision: query_id, rank, vec_id, score.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take no
@@ -110,7 +114,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
     index = build_index(rows, chosen, places)
     parts, found, first = index.rdd.getNumPartitions(), [], 0
     for block in blocks(valid(queries, id_col, vec_col).filter(nonzero)):
-        mine = [(first + at, ids, m, orders(m, chosen.get(m.shape[1], np.zeros((0, m.shape[1]))), places)) for at, ids, m in block]
+        mine = [(first + at, ids, m, orders(m, chosen.get(m.shape[1], np.zeros((0, m.shape[1]))), walked)) for at, ids, m in block]
         first += sum(len(at) for at, _, _ in block)
         asked = spark.sparkContext.broadcast(mine)
 
@@ -124,22 +128,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
                     m = np.frombuffer(t["vectors"], np.float64).reshape(len(ids), t["dim"])
                     starts, posted, place = np.frombuffer(t["starts"], np.int32), np.frombuffer(t["rows"], np.int32), np.frombuffer(t["places"], np.uint16)
                     deep = min(len(ids), max(LEAST, k + 1, int(np.ceil(depth * len(ids))))) if len(starts) > 1 else len(ids)
+                    squared, kept = (m * m).sum(axis=1), max(1, len(posted) // len(ids))
                     for top, (_, own, q, near) in zip(tops, asked.value):
                         if q.shape[1] != m.shape[1]:
                             continue
-                        for a in range(0, len(own), TOGETHER):
-                            rule = footrule(near[a : a + TOGETHER], starts, posted, place, len(ids)).T
-                            got = []
-                            for i in range(a, min(a + TOGETHER, len(own))):
-                                pick = _best(np.ascontiguousarray(rule[i - a]), ids, deep)
-                                pick = pick[ids[pick] != own[i]]
-                                gap = m[pick] - q[i]
-                                far = np.sqrt((gap * gap).sum(axis=1))
-                                if len(far) > k:
-                                    ok = far <= np.partition(far, k - 1)[k - 1]
-                                    pick, far = pick[ok], far[ok]
-                                got.append((np.full(len(pick), i), -far, ids[pick]))
-                            top.add(*(np.concatenate(x) for x in zip(*got)))
+                        got = []
+                        for i in range(len(own)):
+                            pick = _best(footrule(near[i], starts, posted, place, len(ids), kept), ids, deep) if deep < len(ids) else np.arange(len(ids))
+                            pick = pick[ids[pick] != own[i]]
+                            if len(pick) > k:  # the products say who may be among the k nearest, give or take their rounding
+                                far = squared[pick] - 2 * (m[pick] @ q[i])
+                                slack = 1e-9 * (squared[pick].max() + q[i] @ q[i])
+                                pick = pick[far <= np.partition(far, k - 1)[k - 1] + slack]
+                            gap = m[pick] - q[i]
+                            got.append((np.full(len(pick), i), -np.sqrt((gap * gap).sum(axis=1)), ids[pick]))
+                        top.add(*(np.concatenate(x) for x in zip(*got)))
             for top, (number, own, _, _) in zip(tops, asked.value):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number[top.rows], own[top.rows], top.ids, 0.0 - top.score)] + [pa.array(np.full(len(top.rows), part, np.int32))], names=["query", "query_id", "vec_id", "score", "part"])
 
