@@ -64,7 +64,7 @@ def build_index(rows: DataFrame, chosen: dict[int, np.ndarray], places: int = PL
             for _, ids, m in matrices(table.column("vec_id"), table.column("vector")):
                 pivots = sent.value.get(m.shape[1], np.zeros((0, m.shape[1])))
                 flat = orders(m, pivots, places).ravel()
-                by = np.argsort(flat, kind="stable")
+                by = np.argsort(flat.astype(np.uint16 if len(pivots) <= 1 << 16 else np.int64), kind="stable")
                 starts = np.searchsorted(flat[by], np.arange(len(pivots) + 1)).astype(np.int32)
                 kept = max(1, min(places, len(pivots)))
                 raw = (ids, m, starts, (by // kept).astype(np.int32), (by % kept).astype(np.uint16))
@@ -90,10 +90,10 @@ def footrule(near: np.ndarray, starts, rows, places_of, n: int, places: int) ->
     """
     a = np.arange(len(near))
     missing = places - a
+    gain = (missing[:, None] - np.abs(a[:, None] - np.arange(places))).astype(np.float64)
     spans = [slice(starts[p], starts[p + 1]) for p in near.tolist()]
-    gain = (missing[:, None] - np.abs(a[:, None] - np.arange(places))).ravel()
-    at = np.concatenate([places_of[s] for s in spans]).astype(np.int32) + np.repeat(a * places, [s.stop - s.start for s in spans])
-    return missing.sum() - np.bincount(np.concatenate([rows[s] for s in spans]), gain[at], n).astype(np.int64)
+    met = np.bincount(np.concatenate([rows[s] for s in spans]), np.concatenate([g[places_of[s]] for g, s in zip(gain, spans)]), n)
+    return missing.sum() - met.astype(np.int64)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, places: int = PLACES, walked: int = WALKED, depth: float = DEPTH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -126,7 +126,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
                 for t in batch.to_pylist():
                     ids = np.frombuffer(t["ids"], np.int64)
                     m = np.frombuffer(t["vectors"], np.float64).reshape(len(ids), t["dim"])
-                    starts, posted, place = np.frombuffer(t["starts"], np.int32), np.frombuffer(t["rows"], np.int32), np.frombuffer(t["places"], np.uint16)
+                    starts, posted, place = (np.frombuffer(t[c], kind).astype(np.intp) for c, kind in (("starts", np.int32), ("rows", np.int32), ("places", np.uint16)))
                     deep = min(len(ids), max(LEAST, k + 1, int(np.ceil(depth * len(ids))))) if len(starts) > 1 else len(ids)
                     squared, kept = (m * m).sum(axis=1), max(1, len(posted) // len(ids))
                     for top, (_, own, q, near) in zip(tops, asked.value):
