@@ -6,6 +6,7 @@ Events are JSON lines on standard output. Exit codes: 0 done, 1 done in part, 2
 from __future__ import annotations
 
 import argparse
+import functools
 import importlib
 import json
 import os
@@ -113,9 +114,10 @@ def run(args, engine, spark) -> int:
             emit("search_result", **r.asDict())
         emit("search_completed", mode=args.mode, results=len(rows), generation=engine.store.snapshot().generation())
     elif args.command == "serve":
-        from .streaming.serve import serve
+        from .streaming.serve import MOST_RESPONSE, serve
 
-        serve(spark, args.requests, engine.search, lambda lines: print("\n".join(lines), flush=True), args.checkpoint).awaitTermination()
+        find = functools.partial(engine.search, budget=MOST_RESPONSE)
+        serve(spark, args.requests, find, lambda lines: print("\n".join(lines), flush=True), args.checkpoint).awaitTermination()
     elif args.command == "status":
         emit("status", **engine.status())
     elif args.command == "sources":

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # Fixed value: the constant of reciprocal-rank fusion.
 RRF_K = 60
 MODES = ("semantic", "lexical", "hybrid")
+# The keys under which a document's metadata list ranges of its text.
+RANGES = ("pages", "cells", "locations")
+MOST_QUERY = 65_536
+#: What of a result counts against a budget of bytes.
+CHARGED = ("chunk_id", "document_id", "text", "uri", "source_root_id", "source", "media_type", "metadata", "source_metadata")
 
 
 def candidate_limit(mode: str, limit: int) -> int:
@@ -23,7 +28,7 @@ def validate_request(query: str, mode: str = "semantic", limit: int = 10, root:
     for name, value in (("root", root), ("media_type", media_type)):
         if value is not None and (not value.strip() or "\0" in value):
             raise ValueError(f"{name} must be non-blank and without NUL")
-    if not query.strip() or "\0" in query or len(query.encode()) > 65_536:
+    if not query.strip() or "\0" in query or len(query.encode()) > MOST_QUERY:
         raise ValueError("invalid query text")
 
 
@@ -82,3 +87,27 @@ def within_budget(results: DataFrame, budget: int, text_col: str = "text") -> Da
 def overlapping(ranges: Column, start: Column, end: Column) -> Column:
     """The half-open byte ranges of an array that overlap [start, end); touching is not overlapping."""
     return F.filter(ranges, lambda r: (r["byte_start"] < end) & (r["byte_end"] > start))
+
+
+def located(metadata: Column, start: Column, end: Column) -> Column:
+    """The ranges that a document's metadata (JSON) list, each as JSON, that overlap bytes [start, end) of its text.
+
+    Pages come before cells, and these before other locations; what is no list, and ranges without both ends as whole numbers,
+    are passed over.
+    """
+    listed = [F.coalesce(F.from_json(F.get_json_object(metadata, f"$.{k}"), "array<string>"), F.array().cast("array<string>")) for k in RANGES]
+
+    def meets(r: Column) -> Column:
+        low, high = (F.get_json_object(r, f"$.{k}").try_cast("long") for k in ("byte_start", "byte_end"))
+        return (low >= 0) & (high >= 0) & (low < end) & (high > start)
+
+    return F.filter(F.concat(*listed), meets)
+
+
+def charged(results: DataFrame, budget: int | None, columns: tuple[str, ...] = CHARGED) -> DataFrame:
+    """Results with ``bytes``, the running bytes of their columns in rank order; the first that passes ``budget`` fails the whole list."""
+    each = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in columns), F.lit(0).cast("long"))
+    run = results.withColumn("bytes", F.sum(each).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    if budget is None:
+        return run
+    return run.filter(F.assert_true(F.col("bytes") <= budget, "response_limit: narrow the query or lower the limit").isNull())

@@ -312,16 +312,19 @@ class Engine:
         drop = {k: None for k in now.manifest["tables"]["embeddings"] if int(k.split("/")[0]) in retired}
         self.store.commit(now.manifest | {"generations": states}, {"embeddings": drop})
 
-    def search(self, query: str, mode: str = "semantic", limit: int = 10, root: str | None = None, media_type: str | None = None) -> DataFrame:
-        """Ranked chunks with their documents, from one pinned snapshot."""
+    def search(self, query: str, mode: str = "semantic", limit: int = 10, root: str | None = None, media_type: str | None = None, budget: int | None = None) -> DataFrame:
+        """Ranked chunks with their documents, sources and the pages or cells they lie in, from one pinned snapshot.
+
+        ``bytes`` runs up what the results hold; a list that passes ``budget`` fails when it is read.
+        """
         search.validate_request(query, mode, limit, root, media_type)
         now = self.store.current()
         if now.manifest["generations"]:
             self._must_fit(now, ("model", "dimensions"))
-        known = [(k, v["identity"]) for k, v in now.manifest["roots"].items()]
-        if root is not None and not any(root in pair for pair in known) and os.path.exists(root):
+        known = [(k, v["identity"], json.dumps(v.get("metadata") or {}, sort_keys=True)) for k, v in now.manifest["roots"].items()]
+        if root is not None and not any(root in one[:2] for one in known) and os.path.exists(root):
             root = "file://" + os.path.realpath(root)  # a local path stands for its root's identity
-        roots = self.spark.createDataFrame(known, "id string, identity string")
+        roots = self.spark.createDataFrame(known, "id string, identity string, metadata string")
         chunks, live = now.table("chunks"), now.active_vectors()
         scope = search.scoped(chunks, roots, root, media_type)
         ids_in_scope = scope.select("chunk_id")
@@ -341,7 +344,10 @@ class Engine:
         else:
             top = search.ranked(words, "score").withColumnRenamed("score", "bm25").withColumn("distance", none).withColumn("fusion_score", none)
         docs = now.table("documents").select("document_id", "uri", "metadata")
-        return search.hydrate(top, chunks, docs).orderBy("rank")
+        sources = roots.select(F.col("id").alias("source_root_id"), F.col("identity").alias("source"), F.col("metadata").alias("source_metadata"))
+        full = search.hydrate(top, chunks, docs).join(sources, "source_root_id")
+        found = full.withColumn("locations", search.located(F.col("metadata"), F.col("byte_start"), F.col("byte_end")))
+        return search.charged(found, budget).orderBy("rank")
 
     def status(self) -> dict:
         now = self.store.snapshot()

@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import OrderedDict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search
 
 MOST_FRAME, MOST_RESPONSE = 128 << 10, 8 << 20
+#: Bytes of an id and of a filter; characters an id must not hold; what a query or filter must hold somewhere.
+MOST_ID, MOST_FILTER = 128, 4096
+CONTROL, VISIBLE = r"[\x00-\x1f\x7f-\x9f]", r"[^\s\x1c-\x1f]"
+#: Fields of each operation with their types: needed, and optional ones.
+FIELDS = {
+    "search": ({"v": int, "id": str, "op": str, "query": str}, {"mode": str, "limit": int, "root": str, "media_type": str}),
+    "cancel": ({"v": int, "id": str, "op": str, "target": str}, {}),
+}
+FILTERS = ("root", "media_type")
 FRAME = "v int, id string, op string, query string, mode string, limit int, root string, media_type string, target string"
 CLIENTS, QUEUED = 8, 2
 
@@ -20,27 +30,40 @@ class FrameError(Exception):
     """A request that breaks the protocol."""
 
 
+def _named(x: str) -> bool:
+    return 0 < len(x.encode()) <= MOST_ID and not re.search(CONTROL, x)
+
+
+def _once(pairs: list[tuple]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise FrameError("a field comes twice")
+    return dict(pairs)
+
+
 def parse(line: str) -> dict:
-    """A request: version 1, an id, and ``search`` with its fields or ``cancel`` with a target."""
-    if len(line.encode()) > MOST_FRAME:
-        raise FrameError("frame too large")
+    """A request: version 1, an id, and ``search`` with its fields or ``cancel`` with a target; a filter may be null."""
     try:
-        frame = json.loads(line)
-    except ValueError as e:
+        if len(line.encode()) > MOST_FRAME:
+            raise FrameError("frame too large")
+        frame = json.loads(line, object_pairs_hook=_once)
+    except (ValueError, RecursionError) as e:
         raise FrameError("not JSON") from e
-    if not isinstance(frame, dict) or frame.get("v") != 1 or not isinstance(frame.get("id"), str) or not frame["id"]:
-        raise FrameError("a frame has v = 1 and an id")
-    op = frame.get("op")
-    allowed = {"search": {"v", "id", "op", "query", "mode", "limit", "root", "media_type"}, "cancel": {"v", "id", "op", "target"}}.get(op)
-    if allowed is None or set(frame) - allowed:
-        raise FrameError("unknown operation or field")
-    if op == "cancel" and not frame.get("target"):
-        raise FrameError("cancel needs a target")
-    if op == "search":
-        try:
-            search.validate_request(frame.get("query") or "", frame.get("mode", "semantic"), frame.get("limit", 10), frame.get("root"), frame.get("media_type"))
-        except (ValueError, TypeError) as e:
-            raise FrameError(str(e)) from e
+    op = frame.get("op") if isinstance(frame, dict) else None
+    if not isinstance(op, str) or op not in FIELDS:
+        raise FrameError("unknown operation")
+    needed, optional = FIELDS[op]
+    kinds = needed | optional
+    if needed.keys() - frame.keys() or frame.keys() - kinds.keys() or any(type(x) is not kinds[k] and not (k in FILTERS and x is None) for k, x in frame.items()):
+        raise FrameError("a field is missing, unknown or of a wrong type")
+    try:
+        if frame["v"] != 1 or not _named(frame["id"]) or op == "cancel" and not _named(frame["target"]):
+            raise FrameError(f"a frame has v = 1, and ids of 1 to {MOST_ID} bytes without control characters")
+        if op == "search":
+            if any(len(frame[k].encode()) > MOST_FILTER for k in FILTERS if frame.get(k) is not None):
+                raise FrameError(f"a filter has at most {MOST_FILTER} bytes")
+            search.validate_request(frame["query"], frame.get("mode", "semantic"), frame.get("limit", 10), frame.get("root"), frame.get("media_type"))
+    except ValueError as e:
+        raise FrameError(str(e)) from e
     return frame
 
 
@@ -116,7 +139,8 @@ def serve(spark: SparkSession, requests: str, find: Callable[..., DataFrame], em
             try:
                 emit(answer(frame, find))
             except Exception as e:  # noqa: BLE001  a failed request must not end the stream
-                emit([json.dumps({"v": 1, "id": frame["id"], "type": "error", "code": "search_failed", "message": str(e)[:500]})])
+                code = "response_limit" if "response_limit:" in str(e) else "search_failed"
+                emit([json.dumps({"v": 1, "id": frame["id"], "type": "error", "code": code, "message": str(e)[:500]})])
             finally:
                 spark.removeTag(f"request-{frame['id']}")
                 queue.done(client, frame)
@@ -125,9 +149,29 @@ def serve(spark: SparkSession, requests: str, find: Callable[..., DataFrame], em
 
 
 def valid_frames(lines: DataFrame) -> DataFrame:
-    """The declarative half: request lines parsed and checked without Python, for streams and tables alike."""
-    x = lines.select("value", F.from_json("value", FRAME).alias("f")).select("value", "f.*")
-    ok = (F.col("v") == 1) & (F.length("id") > 0) & F.when(F.col("op") == "search", (F.length(F.trim("query")) > 0) & F.coalesce(F.col("mode"), F.lit("semantic")).isin(*search.MODES) & F.coalesce(F.col("limit"), F.lit(10)).between(1, 1000)).otherwise(
-        (F.col("op") == "cancel") & (F.length("target") > 0)
-    )
-    return x.withColumn("valid", F.coalesce(ok, F.lit(False)) & (F.octet_length("value") <= MOST_FRAME))
+    """The declarative half: request lines parsed and checked without Python, by the rules of ``parse``, for streams and tables alike."""
+    # the parser passes over what follows a value; no value but a whole one fits into an array and into an object as well
+    whole = [F.try_parse_json(F.concat(F.lit(a), F.col("value"), F.lit(b))) for a, b in (("[", "]"), ('{"f":', "}"))]
+    x = lines.select("value", F.from_json("value", FRAME).alias("f"), F.when(whole[0].isNotNull(), whole[1]).alias("_json")).select("value", "f.*", "_json")
+
+    def fields(op: str) -> Column:
+        """All fields are known, and of their types."""
+        needed, optional = FIELDS[op]
+        names = {int: "BIGINT", str: "STRING"}
+        kind = {k: F.schema_of_variant(F.try_variant_get("_json", f"$.f.{k}", "variant")) for k in needed | optional}
+        ok = F.col("_json").isNotNull() & (F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, needed | optional)))) == 0)
+        for k, t in (needed | optional).items():
+            ok &= F.coalesce(kind[k] == names[t], F.lit(k in optional)) | (F.lit(k in FILTERS) & F.coalesce(kind[k] == "VOID", F.lit(False)))
+        return ok
+
+    def named(c: str) -> Column:
+        return F.octet_length(c).between(1, MOST_ID) & ~F.col(c).rlike(CONTROL)
+
+    def shown(c: str, most: int) -> Column:
+        return F.col(c).rlike(f"(?U){VISIBLE}") & (F.instr(c, "\0") == 0) & (F.octet_length(c) <= most)
+
+    ask = fields("search") & shown("query", search.MOST_QUERY) & F.coalesce("mode", F.lit("semantic")).isin(*search.MODES) & F.coalesce("limit", F.lit(10)).between(1, 1000)
+    for c in FILTERS:
+        ask &= F.col(c).isNull() | shown(c, MOST_FILTER)
+    ok = (F.col("v") == 1) & named("id") & F.when(F.col("op") == "search", ask).when(F.col("op") == "cancel", fields("cancel") & named("target"))
+    return x.withColumn("valid", F.coalesce(ok, F.lit(False)) & (F.octet_length("value") <= MOST_FRAME)).drop("_json")

@@ -133,6 +133,11 @@ def test_search_modes_filters_and_rebuild(spark, tmp_path, tree):
     assert e.status()["roots"] == 2
     hits = e.search("alpha beta", "hybrid", 5).collect()
     assert hits[0]["rank"] == 1 and hits[0]["uri"].endswith("a.txt") and hits[0]["fusion_score"] == pytest.approx(2 / 61)
+    root = e.sources()[0]["identity"]
+    assert hits[0]["source"] == root and hits[0]["source_metadata"] == "{}" and hits[0]["locations"] == [] and hits[-1]["bytes"] > hits[0]["bytes"] > len(hits[0]["text"])
+    assert e.search("alpha beta", "hybrid", 5, budget=hits[-1]["bytes"]).count() == len(hits)
+    with pytest.raises(Exception, match="response_limit"):
+        e.search("alpha beta", "hybrid", 5, budget=hits[-1]["bytes"] - 1).collect()
     assert e.search("alpha", "semantic", 5, media_type="text/markdown").count() == 1
     assert e.search("alpha", "hybrid", 5, root="nowhere").count() == 0
     assert e.search("alpha", "semantic", 5, root=str(tree / "a.txt")).count() == 2

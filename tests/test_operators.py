@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -207,3 +208,19 @@ def test_a_shortfall_of_hard_negatives_is_an_error(spark):
     assert sampling.negatives_quota(ranked, qrels, 1).count() == 2
     with pytest.raises(ValueError, match="query 2 has 1 of 2"):
         sampling.negatives_quota(ranked, qrels, 2)
+
+
+def test_locations_come_from_all_lists_of_the_metadata(spark):
+    meta = '{"pages": [{"page": 1, "byte_start": 0, "byte_end": 10}, {"page": 2, "byte_start": 10, "byte_end": 20, "box": [1, {"a": "]"}]}, {"page": 3}, {"byte_start": 5.5, "byte_end": 19}, {"byte_start": -1, "byte_end": 19}], "cells": {"byte_start": 0, "byte_end": 99}, "locations": [{"byte_start": 19, "byte_end": 21, "kind": "x"}, 7]}'
+    rows = spark.createDataFrame([(1, meta, 10, 20), (2, meta, 20, 21), (3, "{}", 0, 5), (4, None, 0, 5), (5, "no json", 0, 5), (6, '{"pages": [], "cells": null}', 0, 5)], "id int, m string, a long, b long")
+    got = {r["id"]: [json.loads(x) for x in r["x"]] for r in rows.select("id", search.located(F.col("m"), F.col("a"), F.col("b")).alias("x")).collect()}
+    assert [x.get("page", x.get("kind")) for x in got[1]] == [2, "x"] and got[1][0]["box"] == [1, {"a": "]"}]
+    assert [x["kind"] for x in got[2]] == ["x"] and got[3] == got[4] == got[5] == got[6] == []
+
+
+def test_a_budget_fails_the_list_at_the_first_result_that_passes_it(spark):
+    rows = spark.createDataFrame([(2, "é" * 5, None), (1, "abc", "d"), (3, "", "")], "rank int, text string, uri string")
+    assert [tuple(r) for r in search.charged(rows, 14, ("text", "uri")).select("rank", "bytes").orderBy("rank").collect()] == [(1, 4), (2, 14), (3, 14)]
+    assert search.charged(rows, None, ("text", "uri")).count() == 3 and search.charged(rows.limit(0), 0, ("text",)).count() == 0
+    with pytest.raises(Exception, match="response_limit"):
+        search.charged(rows, 13, ("text", "uri")).select("rank").collect()
