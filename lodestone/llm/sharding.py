@@ -2,7 +2,7 @@
 
 Rows are linked to the rows of their group (equal texts). A label is a shard. In each round a unit (a group, or
 a piece of one that is too large for a quarter of a shard) votes: its most frequent label is where its rows want
-to be; the pieces of a large group want to as few shards as can hold it. How many rows may move from each shard to
+to be; the pieces of a large group want to as few shards as can hold it, and small units make room for them there. How many rows may move from each shard to
 each other one follows from the capacities: the matrix of wanted moves of linked rows, one number per pair of shards,
 is scaled down until no shard would be overfull, and units are let through by a hash. Unlinked rows give way.
 After the rounds, the rows above a shard's exact quota, unlinked ones first, fill the shards below theirs.
@@ -12,7 +12,7 @@ Votes are counted before they are shuffled, and a group is never joined with its
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, text_key
@@ -48,6 +48,16 @@ def homes(sizes: dict, pieces: dict, shards: int, quota: float) -> dict:
     return out
 
 
+def _yielding(to: Column, free: np.ndarray) -> Column:
+    """Where small units want to be once large groups have their homes: of those that want to a shard, the part that it has room for; the others, chosen by a hash, to where there is room."""
+    if (free >= 1).all() or not free.any():
+        return to
+    stays, place = (F.pmod(F.xxhash64(F.lit(salt), "group", "piece"), F.lit(STEPS)) for salt in (7, 8))
+    ends = (np.cumsum(free) / free.sum() * STEPS)[:-1]
+    other = F.size(F.filter(F.array(*[F.lit(int(e)).cast("long") for e in ends]), lambda e: e <= place)) if len(ends) else F.lit(0)
+    return F.when(stays < F.element_at(F.array(*[F.lit(int(f * STEPS)) for f in free]), to + 1), to).otherwise(other)
+
+
 def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.02) -> DataFrame:
     """Labels for ``rows`` (row, group, label, ...) after the rounds; adds ``linked``: rows of its unit that share its label.
 
@@ -62,7 +72,12 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.02
     pieces = {g: -(-n // piece) for g, n in big.items()}
     spark = rows.sparkSession
     cuts = spark.createDataFrame([(bytes(g), n) for g, n in pieces.items()], "group binary, _pieces int")
-    home = spark.createDataFrame([(bytes(g), p, s) for (g, p), s in homes(big, pieces, shards, total / shards).items()], "group binary, piece long, _home int")
+    planned = homes(big, pieces, shards, total / shards)
+    home = spark.createDataFrame([(bytes(g), p, s) for (g, p), s in planned.items()], "group binary, piece long, _home int")
+    free = np.full(shards, total / shards)
+    for (g, _), s in planned.items():
+        free[s] -= big[g] / pieces[g]
+    free = np.clip(free * shards / total, 0, 1)
     rows = rows.join(F.broadcast(cuts), "group", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), "_pieces"), F.lit(0)).cast("long")).drop("_pieces")
     rows = keep(rows, "shard-rows")
 
@@ -73,7 +88,7 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.02
         )
 
     for turn in range(rounds):
-        wants = votes(rows).filter("_members > 1").join(F.broadcast(home), ["group", "piece"], "left").select("group", "piece", F.coalesce("_home", "_to").alias("_to"))
+        wants = votes(rows).filter("_members > 1").join(F.broadcast(home), ["group", "piece"], "left").select("group", "piece", F.coalesce("_home", _yielding(F.col("_to"), free)).alias("_to"))
         joined = rows.join(wants, ["group", "piece"], "left").withColumn("_bound", F.col("_to").isNotNull()).withColumn("_to", F.coalesce("_to", "label"))
         joined = keep(joined, "shard-wants")
         moves, sizes = np.zeros((shards, shards)), np.zeros(shards)
@@ -92,6 +107,19 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 4, slack: float = 0.02
     return out.withColumn("linked", F.coalesce(F.col("_by")[F.col("label")], F.lit(1)).cast("long")).drop("_by", "piece")
 
 
+def cut_edges(rows: DataFrame, label: str = "shard", group: str = "text_crc32") -> DataFrame:
+    """One row: ``links`` between rows of equal ``group``, and those that are ``cut``, whose ends have different labels.
+
+    Links are counted from the sizes of groups and of their parts, never listed. Null groups are one group and null labels one label;
+    an empty table has no links.
+    """
+    parts = rows.groupBy(F.col(group).alias("_group"), F.col(label).alias("_label")).agg(F.count("*").cast("decimal(19,0)").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    each = parts.groupBy("_group").agg(pairs(F.sum("n")).alias("links"), F.sum(pairs(F.col("n"))).alias("kept"))
+    one = each.agg(F.coalesce(F.sum("links"), F.lit(0)).cast("decimal(38,0)").alias("links"), F.coalesce(F.sum("kept"), F.lit(0)).cast("decimal(38,0)").alias("_kept"))
+    return one.select("links", (F.col("links") - F.col("_kept")).alias("cut"))
+
+
 def settle(rows: DataFrame, shards: int) -> DataFrame:
     """Exact quotas: ``shard`` and gapless ``slot`` for rows with a label; shard sizes differ by one row at most."""
     rows = keep(rows.withColumn("_p", F.when(F.col("linked") > 1, F.lit(0)).otherwise(F.lit(PARTS)) + F.pmod(F.xxhash64("row", F.lit(3)), F.lit(PARTS))), "shard-labels")

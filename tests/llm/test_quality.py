@@ -85,3 +85,28 @@ def test_table(spark, docs_schema, awkward, clashing, empty):
     plain = sorted(str(tuple(r)) for r in quality.classify(awkward, net).collect())
     assert len(plain) == awkward.count() and sorted(str(tuple(r)) for r in quality.classify(clashing, net).collect()) == plain
     assert quality.classify(empty, net).count() == 0
+
+
+def test_scores_equal_a_naive_convolution():
+    """Every filter at every second byte, the maximum of every chunk, the hidden layer, mean and maximum over chunks: said in loops."""
+    rng = np.random.default_rng(5)
+    net = quality.Net(3)
+    for name in ("bias", "hidden_bias", "out_bias"):
+        net.p[name] = rng.normal(0, 0.3, net.p[name].shape).astype(np.float32)
+    sizes = [0, 1, 7, 8, 255, 256, 257, 511, 512, 513, 700, 1500]
+    texts = [rng.integers(1, 256, n, dtype=np.uint8).tobytes() for n in sizes]
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def naive(text):
+        halves = max(1, -(-len(text) // 256))
+        read = text + bytes(256 * halves - len(text) + 8)
+        best = []
+        for start in range(0, max(1, halves - 1) * 256, 256):  # chunks of 512 bytes, each 256 after the one before
+            places = range(start, min(start + 512, 256 * halves), 2)
+            pooled = np.max([sum(p["filter"][j, read[at + j]] for j in range(8)) for at in places], axis=0)
+            best.append(np.maximum(np.maximum(pooled + p["bias"], 0) @ p["hidden"] + p["hidden_bias"], 0))
+        z = np.concatenate([np.mean(best, axis=0), np.max(best, axis=0)]) @ p["out"] + p["out_bias"][0]
+        return 1 / (1 + np.exp(-z))
+
+    assert net.score(texts) == pytest.approx([naive(t) for t in texts], abs=1e-5)
+    assert net.score(texts[::-1])[::-1] == pytest.approx(net.score(texts), abs=1e-6)

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import sharding
 
@@ -52,3 +53,31 @@ def test_awkward_rows(awkward, clashing, empty):
     check(awkward.collect(), sharding.shard(awkward).collect())
     check(awkward.collect(), sharding.shard(clashing).collect())
     assert sharding.shard(empty).count() == 0
+
+
+def test_cut_edges_are_counted_and_fall(spark, docs_schema):
+    """Of a table with small, middling and hot groups: against all pairs, before and after the propagation."""
+    rows = [(i, "hot" if i % 4 == 0 else f"group {i % 90}" if i % 3 else f"text {i}", "en", "a", 1) for i in range(1600)]
+    df = spark.createDataFrame(rows, docs_schema)
+    dealt = df.select("doc_id", F.crc32("text").alias("text_crc32"), F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("shard"))
+
+    def brute(found):
+        groups = defaultdict(list)
+        for r in found:
+            groups[r["text_crc32"]].append(r["shard"])
+        pairs = [(a, b) for g in groups.values() for i, a in enumerate(g) for b in g[:i]]
+        return len(pairs), sum(a != b for a, b in pairs)
+
+    before, after = dealt.collect(), (done := sharding.shard(df)).collect()
+    counted = [tuple(map(int, sharding.cut_edges(x).first())) for x in (dealt, done)]
+    assert counted == [brute(before), brute(after)]
+    # a group of a quarter of all rows needs four shards at least, which cuts three quarters of its links; the others need cut none
+    hot = 400 * 399 // 2
+    floor = hot - 4 * (100 * 99 // 2)
+    assert floor <= counted[1][1] <= floor + 0.1 * (counted[1][0] - floor) and counted[0][1] > 0.9 * counted[0][0]
+
+
+def test_cut_edges_of_awkward_tables(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (None, None), (7, 1), (7, 1), (8, 3)], "text_crc32 long, shard int")
+    assert tuple(map(int, sharding.cut_edges(rows).first())) == (4, 3)
+    assert tuple(map(int, sharding.cut_edges(rows.limit(0)).first())) == (0, 0)
