@@ -224,3 +224,14 @@ def test_a_budget_fails_the_list_at_the_first_result_that_passes_it(spark):
     assert search.charged(rows, None, ("text", "uri")).count() == 3 and search.charged(rows.limit(0), 0, ("text",)).count() == 0
     with pytest.raises(Exception, match="response_limit"):
         search.charged(rows, 13, ("text", "uri")).select("rank").collect()
+
+
+def test_all_mandatory_rows_stay_where_they_exceed_the_budget(spark, tmp_path):
+    docs = spark.range(20).toDF("id")
+    got = sampling.fill(docs, docs.filter("id < 12"), 8, "s", strict=False)
+    assert sorted(map(tuple, got.collect())) == [(i, True) for i in range(12)]
+    spark.range(900).selectExpr("id as doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(450).selectExpr("id as doc_id", "1 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    from lodestone.registry import QUERIES
+
+    assert QUERIES["corpus_fill"](spark, str(tmp_path)).filter("mandatory").count() == 450
