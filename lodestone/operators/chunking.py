@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import slices
+
 
 def window_count(n: Column, capacity: int, overlap: int) -> Column:
     """Windows over n tokens: none for none, one if they fit, else as many as reach the last token."""
@@ -26,16 +28,23 @@ def windows(rows: DataFrame, count_col: str, capacity: int, overlap: int) -> Dat
 
 
 def with_offsets(rows: DataFrame, offsets: Callable[[str], list[tuple[int, int]]], text_col: str = "text") -> DataFrame:
-    """``rows`` with the byte ranges of their texts' tokens; null and blank texts have none. Tokenizers run in Arrow batches."""
+    """``rows`` with the byte ranges of their texts' tokens; null and blank texts have none. Tokenizers run in Arrow batches, by slices of bounded bytes."""
     schema = T.StructType([*rows.schema.fields, T.StructField("offsets", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))])
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        for batch in batches:
-            found = [offsets(t) if t and t.strip() else [] for t in batch.column(text_col).to_pylist()]
-            made = pa.array([[{"s": a, "e": b} for a, b in x] for x in found], pair)
+        for batch in slices.bounded(batches, slices.of_text(text_col), slices.TEXT_BYTES):
+            ends, parts = [0], []
+            for t in batch.column(text_col):
+                t = t.as_py()
+                found = np.asarray(offsets(t) if t and t.strip() else [], np.int32).reshape(-1, 2)
+                parts.append(found)
+                ends.append(ends[-1] + len(found))
+            flat = np.concatenate(parts)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["s", "e"])
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "offsets"])
 
     return rows.mapInArrow(run, schema)
