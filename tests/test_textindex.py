@@ -213,3 +213,26 @@ def test_index_of_a_table_is_made_anew_when_its_files_change(spark, tmp_path):
     assert "part#" in plan.split("PartitionFilters: ")[1].split("]")[0]
     empty = TextIndex.write(rows.limit(0), str(tmp_path / "none"))
     assert (empty.rows, empty.length) == (0, 0) and empty.bm25([["w0"]]).count() == 0 and empty.bm25_many(rows.limit(3), "chunk_id", "text", 5).count() == 0
+
+
+def test_few_asked_terms_leave_the_entries_where_they_are(spark, monkeypatch):
+    """More terms than one broadcast holds meet the entries by shuffles, with the same parts."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 5}" for j in range(1, 9))) for i in range(300)], "chunk_id long, text string")
+    held = shared.kept(lexical.blocks(lexical.postings(rows), 300, 2400), "test-asked")
+    asked = spark.createDataFrame([(q, f"w{q % 5}", 1.0 + q) for q in range(8)], "query_id long, term string, gain double")
+    few = lexical.scored_entries(asked, held)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(lexical, "ASKED_ROWS", 0)
+    many = lexical.scored_entries(asked, held)
+    flat = lambda df: sorted((a, b, round(c, 9)) for a, b, c in df.collect())
+    assert flat(few) == flat(many) and few.count() > 300
+
+
+def test_blocks_are_written_when_asked_for_and_without_a_shuffle(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"a b{i % 7} a") for i in range(900)], "chunk_id long, text string")
+    index = TextIndex.write(rows, f"{tmp_path}/index")
+    assert not os.path.exists(f"{tmp_path}/index/blocks")
+    assert "Exchange" not in lexical.blocks(index.postings(), index.rows, index.length)._jdf.queryExecution().executedPlan().toString()
+    told = {r["term"]: r["n"] for r in index.blocks().groupBy("term").agg(F.sum("df").alias("n")).collect()}
+    assert told == {"a": 900} | {f"b{i}": len(range(i, 900, 7)) for i in range(7)} and os.path.exists(f"{tmp_path}/index/blocks")
