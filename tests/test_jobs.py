@@ -1,7 +1,9 @@
 """Both jobs: as registered queries against SQL, over growing input, after failures, and from the command line."""
 
+import hashlib
 import json
 import os
+import random
 import re
 import subprocess
 import sys
@@ -150,3 +152,65 @@ def test_command_line(tmp_path, spark):
         index_documents.main([])
     with pytest.raises(SystemExit):
         evaluate_retrieval.main(["--documents", "x"])
+
+
+def moved(spark):
+    """Bytes shuffled and spilled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).diskBytesSpilled() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_once_and_postings_never(spark, tmp_path):
+    g, r = Growing(spark, tmp_path), random.Random(3)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(300)) for _ in range(500)]
+    g.add(*[(i, t, "a") for i, t in enumerate(texts)])
+    before = moved(spark)
+    g.run()
+    assert g.live() == postings(dict(enumerate(texts)))
+    assert moved(spark) - before < 1.3 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_replaced_documents_stay_out_however_many(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(index_documents, "MOST_VOID", most)
+    g = Growing(spark, tmp_path)
+    for text in ("alpha beta", "beta gamma", "beta beta"):
+        g.add((1, text, "a"), (2, "delta", "a"), (3, text + " more", "b"))
+        g.run()
+    assert g.live() == postings({1: "beta beta", 2: "delta", 3: "beta beta more"})
+
+
+def test_postings_count_once_their_documents_are_written(spark, tmp_path, monkeypatch):
+    g = Growing(spark, tmp_path)
+    g.add((1, "alpha", "a"))
+    g.run()
+    g.add((1, "beta", "a"), (2, "gamma", "a"))
+    write = index_documents._overwrite
+
+    def fails(rows, folder):
+        if folder.endswith("documents"):
+            raise RuntimeError("lost")
+        write(rows, folder)
+
+    monkeypatch.setattr(index_documents, "_overwrite", fails)
+    with pytest.raises(Exception, match="lost"):
+        g.run()
+    monkeypatch.undo()
+    assert g.live() == postings({1: "alpha"})
+    g.run()
+    assert g.live() == postings({1: "beta", 2: "gamma"})
+
+
+def test_each_row_of_a_long_file_is_chosen_for_itself(spark, tmp_path):
+    g, n = Growing(spark, tmp_path), 2 * index_documents.BITS + 9
+    made = spark.range(n).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 5).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(0).alias("n_chars"), F.lit("").alias("segment"))
+    again = made.filter("doc_id % 3 = 0").withColumn("text", F.lit("x"))  # of two texts in one file the greater digest counts
+    made.unionByName(again).coalesce(1).write.parquet(g.source)
+    (batch,) = g.run()
+    ids = {i for i in range(n) if i % 1000 != 7}
+    assert batch["documents"] == len(ids) and batch["without_id"] == n - len(ids)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert g.live() == postings({i: max(f"w{i % 5}", "x", key=digest) if i % 3 == 0 else f"w{i % 5}" for i in ids})

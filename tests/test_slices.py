@@ -43,3 +43,13 @@ def test_no_worker_meets_more_than_a_slice(spark, monkeypatch):
     assert both() == whole and len(whole[0]) == 60
     want = sorted((t, i) for i, x in made.collect() if x for t in set(x.replace("é", "e").split()))
     assert sorted((t, c) for t, c, *_ in whole[1]) == want
+
+
+def test_postings_in_order_are_the_same_rows_by_term(spark):
+    texts = [None, "", "b a b", "Ä c", "a " * 40] + [" ".join(f"w{(i * j) % 7}" for j in range(i % 13)) for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(3)
+    made = lexical.postings_in_order(rows)
+    assert made.schema.simpleString() == lexical.postings(rows).schema.simpleString()
+    assert sorted(map(str, made.collect())) == sorted(map(str, lexical.postings(rows).collect()))
+    for part in made.rdd.map(lambda r: r["term"]).glom().collect():
+        assert part == sorted(part)
