@@ -7,7 +7,6 @@ import pytest
 from lodestone.operators import lexical
 from lodestone.plans import catalogue_search, textindex
 from lodestone.plans.catalogue import ORACLE_SQL, QUERIES
-from lodestone.plans.textindex import bm25_of_queries
 
 TABLES = "/root/testdata/sf0.01"
 
@@ -55,28 +54,31 @@ def test_equal_to_blocks_however_it_is_cut(spark, monkeypatch, k, met, kind):
     rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(3).selectExpr(f"cast(chunk_id as {kind}) as chunk_id", "text")
     asked = spark.createDataFrame(asked, "q long, text string")
     monkeypatch.setattr(lexical, "MET", met)
-    monkeypatch.setattr(textindex, "index_of", lambda *_: pytest.fail("an index"))
-    got = bm25_of_queries(rows, asked, "q", "text", k)
+    got = lexical.bm25_of_queries(rows, asked, "q", "text", k)
     assert got.columns == ["query_id", "id", "score", "rank"] and got.schema["id"].dataType == rows.schema["chunk_id"].dataType
     got = listed(got)
-    monkeypatch.undo()
     index = textindex.TextIndex.write(rows, textindex.shared.new_folder(spark, "test-index"))
     assert got == listed(index.bm25_many(asked, "q", "text", k)) and len({g[0] for g in got}) == 16
-    monkeypatch.setattr(lexical, "ASKED_ROWS", 30)
-    monkeypatch.setattr(lexical, "bm25_asked", lambda *_: pytest.fail("a broadcast"))
-    monkeypatch.setattr(textindex, "index_of", lambda *_: index)
-    assert listed(bm25_of_queries(rows, asked, "q", "text", k)) == got
+
+
+def test_more_words_take_more_passes(spark, monkeypatch):
+    texts, asked = corpus(3)
+    rows, asked = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"), spark.createDataFrame(asked, "q long, text string")
+    want, once, asked_in = listed(lexical.bm25_of_queries(rows, asked, "q", "text", 5)), lexical.bm25_asked, []
+    monkeypatch.setattr(lexical, "ASKED_ROWS", 90)
+    monkeypatch.setattr(lexical, "bm25_asked", lambda rows, asked, *a: asked_in.append(asked.num_rows) or once(rows, asked, *a))
+    assert listed(lexical.bm25_of_queries(rows, asked, "q", "text", 5)) == want
+    assert len(asked_in) > 1 and sum(asked_in) == lexical.query_terms(asked, "q", "text").count()
 
 
 def test_nothing_asked_and_nothing_held(spark):
     rows = spark.createDataFrame([(1, "a b"), (None, "b"), (3, None), (4, "b")], "chunk_id long, text string")
     asked = spark.createDataFrame([(None, "b b"), (7, "a"), (8, "c")], "q string, text string")
-    assert [(q, n, i) for q, n, i, _ in listed(bm25_of_queries(rows, asked, "q", "text", 9))] == [("7", 1, 1), (None, 1, 4), (None, 2, None), (None, 3, 1)]
+    assert [(q, n, i) for q, n, i, _ in listed(lexical.bm25_of_queries(rows, asked, "q", "text", 9))] == [("7", 1, 1), (None, 1, 4), (None, 2, None), (None, 3, 1)]
     for texts, queries in ((rows, asked.limit(0)), (rows.limit(0), asked), (rows.filter("text is null"), asked), (rows, asked.filter("q = '8'"))):
-        assert bm25_of_queries(texts, queries, "q", "text", 5).count() == 0
+        assert lexical.bm25_of_queries(texts, queries, "q", "text", 5).count() == 0
 
 
 def test_the_query_makes_no_index(spark, monkeypatch):
     monkeypatch.setattr(catalogue_search, "index_of", lambda *_: pytest.fail("an index"))
-    monkeypatch.setattr(textindex, "index_of", lambda *_: pytest.fail("an index"))
     assert QUERIES["bm25_benchmark_queries"](spark, "/root/testdata/sf0.001").count() > 0
